@@ -44,16 +44,19 @@ def demand_features(df: DataFrame, ts: str = "ts", keys: Iterable[str] = (), loa
 
 
 def supply_features(df: DataFrame, ts: str = "ts", keys: Iterable[str] = (), solar: str = "solar_gen",
-                    wind: str = "wind_gen") -> DataFrame:
+                    wind: str = "wind_gen", fill_capacity: bool = True) -> DataFrame:
     """Rows with known load, solar and wind and all solar and wind features (complete rows only).
 
     Solar and wind features share one pass over the ordered rows; installed
-    capacity is carried forward on the same positions.
+    capacity is carried forward on the same positions, unless it has been
+    filled before (``reconstruct`` does).
     """
     rows = df.dropna("any", subset=["load_actual", solar, wind])
     ordered = with_position(rows, ts, keys)
-    filled = fill_ordered(ordered, {"solar_cap": Fill("forward"), "wind_cap": Fill("forward")})
-    b = Buckets(OrderedRows(filled, ts, ordered.keys, ordered.rows), WEEK_ROWS)
+    if fill_capacity:
+        filled = fill_ordered(ordered, {"solar_cap": Fill("forward"), "wind_cap": Fill("forward")})
+        ordered = OrderedRows(filled, ts, ordered.keys, ordered.rows)
+    b = Buckets(ordered, WEEK_ROWS)
     for kind, column, long_means in (("solar", solar, ()), ("wind", wind, (72,))):
         b = b.lags(column, {f"{kind}_lag_{k}h": k for k in (1, 24, 168)})
         for n in (24, *long_means):
