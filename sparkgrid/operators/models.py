@@ -6,7 +6,6 @@ from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,24 +93,37 @@ def top_importances(table: DataFrame, n: int = 12) -> DataFrame:
 
 
 class MinMax:
-    """Scaling of columns to 0…1 by the range of the training rows; the target can be scaled back."""
+    """Scaling of columns to 0…1 by the range of the training rows; the target can be scaled back.
 
-    def __init__(self, columns: list[str]):
-        self.columns = list(columns)
+    A column that is constant in training is only shifted, so that it becomes 0 there.
+    """
+
+    def __init__(self, model: PipelineModel):
+        self.model = model
+        scaler = model.stages[-1]
+        names = feature_names(model)
+        self.low = dict(zip(names, map(float, scaler.originalMin)))
+        self.high = dict(zip(names, map(float, scaler.originalMax)))
+
+    @classmethod
+    def fit(cls, train: DataFrame, columns: list[str]) -> MinMax:
+        assembler = VectorAssembler(inputCols=list(columns), outputCol="_raw")
+        return cls(Pipeline(stages=[assembler, MinMaxScaler(inputCol="_raw", outputCol="_scaled")]).fit(train))
+
+    @classmethod
+    def load(cls, path: str) -> MinMax:
+        return cls(load_model(path))
+
+    def save(self, path: str) -> None:
+        save_model(self.model, path)
 
-    def fit(self, train: DataFrame) -> MinMax:
-        assembler = VectorAssembler(inputCols=self.columns, outputCol="_raw")
-        self.model = Pipeline(stages=[assembler, MinMaxScaler(inputCol="_raw", outputCol="_scaled")]).fit(train)
-        scaler = self.model.stages[-1]
-        self.low = dict(zip(self.columns, map(float, scaler.originalMin)))
-        self.high = dict(zip(self.columns, map(float, scaler.originalMax)))
-        return self
+    def _range(self, column: str) -> float:
+        return (self.high[column] - self.low[column]) or 1.0
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Replace each column by its scaled value."""
-        scaled = self.model.transform(df).withColumn("_scaled", vector_to_array("_scaled"))
-        return scaled.withColumns({c: F.col("_scaled")[i] for i, c in enumerate(self.columns)}).drop("_raw", "_scaled")
+        """Replace each fitted column by its scaled value."""
+        return df.withColumns({c: (F.col(c) - self.low[c]) / self._range(c) for c in self.low})
 
     def inverse(self, df: DataFrame, column: str, of: str) -> DataFrame:
         """Scale ``column`` back to the range of the fitted column ``of``."""
-        return df.withColumn(column, F.col(column) * (self.high[of] - self.low[of]) + self.low[of])
+        return df.withColumn(column, F.col(column) * self._range(of) + self.low[of])
