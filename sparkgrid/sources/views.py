@@ -43,7 +43,7 @@ def grid_hourly(spark: SparkSession, folder: str) -> DataFrame:
     # The hours between the first and the last event; bounded by the calendar.
     ends = hourly.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     every = F.explode(F.sequence("a", "b", F.expr("interval 1 hour")))
-    spine = ends.where(F.col("a").isNotNull()).select(every.cast("timestamp_ntz").alias("ts"))
+    spine = ends.where(F.col("a").isNotNull()).select(every.alias("ts"))
     wind_c = F.col("onshore_c") + F.col("offshore_c")
     midnight = F.hour("ts") == 0
     return spine.join(hourly, "ts", "left").select(
