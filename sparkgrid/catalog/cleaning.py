@@ -214,8 +214,10 @@ RAW = {"solar_gen": "solar_raw", "wind_gen": "wind_raw"}
 
 
 @query("reconstruct_capacity", """select ts, solar_cap_f solar_cap, wind_cap_f wind_cap,
-  solar_profile * solar_cap_f solar_gen, wind_profile * wind_cap_f wind_gen from (
-  select ts, solar_profile, wind_profile, last_value(solar_cap ignore nulls) over (order by ts) solar_cap_f,
+  case when usable then solar_profile * solar_cap_f else solar_gen end solar_gen,
+  case when usable then wind_profile * wind_cap_f else wind_gen end wind_gen from (
+  select ts, solar_profile, wind_profile, solar_gen, wind_gen,
+  (select count(solar_profile) > 100 and count(wind_profile) > 100 from hourly) usable, last_value(solar_cap ignore nulls) over (order by ts) solar_cap_f,
   last_value(wind_cap ignore nulls) over (order by ts) wind_cap_f from hourly)""", "hourly")
 def _(spark, d):
     raw = grid_hourly(spark, d).withColumnsRenamed(RAW)

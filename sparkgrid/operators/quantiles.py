@@ -1,8 +1,9 @@
 """Exact quantiles (linear interpolation) without one task seeing all values.
 
-``percentile`` keeps every distinct value of a group in one task. Here each
-group is first cut into equal-width bins, whose counts tell which bins hold
-the wanted ranks; only the values of these bins are then ranked.
+``percentile`` keeps every distinct value of a group in one task, so it serves
+groups of a checked size only. Larger groups are cut into equal-width bins,
+whose counts tell which bins hold the wanted ranks; only the values of these
+bins are then ranked.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from sparkgrid.session import join_small, stage
 
 BINS = 4_096
+# Largest group (in rows) that is left to the built-in aggregate.
+AGGREGATE_ROWS = 100_000
 # Largest bin (in rows) that is ranked by one window task; larger ones are range-partitioned.
 WINDOW_ROWS = 1_000_000
 
@@ -22,7 +25,7 @@ NAME, VALUE = "name", "value"
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float]]], keys: Iterable[str] = (),
-                    window_rows: int = WINDOW_ROWS) -> DataFrame:
+                    aggregate_rows: int = AGGREGATE_ROWS, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Quantiles of several expressions at once, per series.
 
     ``wanted`` maps a name to (expression, probabilities); NULL values are left
@@ -34,15 +37,27 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
     entries = F.array(*[F.struct(F.lit(n).alias(NAME), e.cast("double").alias(VALUE))
                         for n, (e, _) in wanted.items()])
     values = df.select(*keys, F.inline(entries)).where(F.col(VALUE).isNotNull())
+    probabilities = F.map_from_arrays(
+        F.array(*[F.lit(n) for n in wanted]),
+        F.array(*[F.array(*map(F.lit, ps)) for _, ps in wanted.values()]),
+    )
 
     extent = values.groupBy(*group).agg(F.count("*").alias("n"), F.min(VALUE).alias("lo"), F.max(VALUE).alias("hi"))
-    # Without keys there is one extent row per name; with keys the series are counted first.
-    extent_rows = len(wanted) if not keys else None
-    spread = F.col("hi") - F.col("lo")
-    bin_no = F.when(spread > 0, F.least(F.floor((F.col(VALUE) - F.col("lo")) / spread * BINS), F.lit(BINS - 1)))
     if keys:
         extent = stage(extent, "extent")
-    binned = join_small(values, extent, group, rows=extent_rows).select(
+        size = extent.agg(F.max("n").alias("largest"), F.count("*").alias("groups")).first()
+        largest, groups = size.largest or 0, size.groups
+    else:
+        # One row per name.
+        rows = extent.collect()
+        largest, groups = max((r.n for r in rows), default=0), len(rows)
+        extent = df.sparkSession.createDataFrame(rows, extent.schema)
+    if largest <= aggregate_rows:
+        return _by_aggregate(values, group, wanted, probabilities)
+
+    spread = F.col("hi") - F.col("lo")
+    bin_no = F.when(spread > 0, F.least(F.floor((F.col(VALUE) - F.col("lo")) / spread * BINS), F.lit(BINS - 1)))
+    binned = join_small(values, extent, group, rows=groups).select(
         *group, "n", VALUE, F.coalesce(bin_no, F.lit(0)).alias("bin"))
 
     # At most BINS rows per group reach the running sum.
@@ -50,10 +65,6 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
                                                    F.max(VALUE).alias("most"))
     running = Window.partitionBy(*group).orderBy("bin")
     cells = cells.withColumn("first", F.sum("c").over(running) - F.col("c"))
-    probabilities = F.map_from_arrays(
-        F.array(*[F.lit(n) for n in wanted]),
-        F.array(*[F.array(*map(F.lit, ps)) for _, ps in wanted.values()]),
-    )
     # The wanted ranks that fall into a cell: (p, rank) pairs, few per group.
     rank = (F.col("n") - 1) * F.col("p")
     hits = (
@@ -85,6 +96,18 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
     return points.groupBy(*group, "p", "n").agg((low + (high - low) * _fraction()).alias("q"))
 
 
+def _by_aggregate(values: DataFrame, group: list[str], wanted: Mapping[str, tuple[Column, list[float]]],
+                  probabilities: Column) -> DataFrame:
+    every = sorted({p for _, ps in wanted.values() for p in ps})
+    found = values.groupBy(*group).agg(
+        F.count("*").alias("n"),
+        F.arrays_zip(F.array(*map(F.lit, every)).alias("p"),
+                     F.percentile(VALUE, F.array(*map(F.lit, every))).alias("q")).alias("_all"))
+    rows = found.select(*group, "n", F.inline("_all").alias("p", "q"))
+    rows = rows.where(F.array_contains(F.element_at(probabilities, F.col(NAME)), F.col("p")))
+    return rows.select(*group, "p", "n", "q")
+
+
 def _fraction() -> Column:
     rank = (F.col("n") - 1) * F.col("p")
     return rank - F.floor(rank)
