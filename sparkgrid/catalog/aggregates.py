@@ -121,14 +121,34 @@ def _(spark, d):
     return rounded(median(grid_daily(spark, d), "pred_gap"), 4)
 
 
-@query("quantiles_by_series", " union all ".join(
+_QUANTILES = " union all ".join(
     f"""select series_id, cast({p} as double) p, count(*) n, round(quantile_cont("value", {p}), 4) + 0.0 q
-  from series group by 1""" for p in (0.1, 0.25, 0.5, 0.9)), "series")
-def _(spark, d):
-    q = exact_quantiles(event_series(spark, d), {"value": (F.col("value"), [0.1, 0.25, 0.5, 0.9])}, ["series_id"])
+  from series group by 1""" for p in (0.1, 0.25, 0.5, 0.9))
+
+
+def _quantiles(spark, d, **limits):
+    wanted = {"value": (F.col("value"), [0.1, 0.25, 0.5, 0.9])}
+    q = exact_quantiles(event_series(spark, d), wanted, ["series_id"], **limits)
     return q.select("series_id", "p", "n", tidy(F.col("q"), 4).alias("q"))
 
 
+@query("quantiles_by_series", _QUANTILES, "series")
+def _(spark, d):
+    return _quantiles(spark, d)
+
+
+@query("quantiles_from_bins", _QUANTILES, "series")
+def _(spark, d):
+    """The way taken by groups too large for one aggregate."""
+    return _quantiles(spark, d, aggregate_rows=0)
+
+
+@query("quantiles_from_ranges", _QUANTILES, "series")
+def _(spark, d):
+    """The way taken by bins too large for one window."""
+    return _quantiles(spark, d, aggregate_rows=0, window_rows=0)
+
+
 _PAIRS = [(b, a) for i, a in enumerate(CORRELATION_COLUMNS) for b in CORRELATION_COLUMNS[i + 1:]]
 
 
