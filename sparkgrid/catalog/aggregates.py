@@ -188,13 +188,10 @@ select (select h from hours where l is not null order by l desc, h limit 1) peak
   (select h from hours where s is not null order by s desc, h limit 1) peak_solar_hour,
   (select h from hours where s is not null order by s, h limit 1) least_solar_hour""", "clean")
 def _(spark, d):
-    from sparkgrid.session import one_row
     hours = rollups.by_hour(clean_hourly(spark, d), ["load_actual", "solar_gen"])
-    peak = stats.group_extreme(hours, "hour", "load_actual", "peak_load_hour")
-    solar = stats.group_extreme(hours, "hour", "solar_gen", "peak_solar_hour")
-    least = stats.group_extreme(hours, "hour", "solar_gen", "least_solar_hour", smallest=True)
-    return peak.withColumns({"_s": one_row(solar), "_l": one_row(least)}).select(
-        "peak_load_hour", "_s.peak_solar_hour", "_l.least_solar_hour")
+    return stats.group_extremes(hours, "hour", {
+        "peak_load_hour": ("load_actual", "most"), "peak_solar_hour": ("solar_gen", "most"),
+        "least_solar_hour": ("solar_gen", "least")})
 
 
 @query("fullest_year", """select cast(year(ts) as int) "year", count(*) "rows" from daily group by 1

@@ -20,11 +20,11 @@ ROUNDS, DEPTH, TREES = 3, 3, 5
 
 def demand_split(spark, d):
     rows = demand_features(grid_hourly(spark, d).select("ts", "load_actual", "load_forecast"))
-    return stage(time_split(rows), "demand")
+    return time_split(rows)
 
 
 def supply_split(spark, d):
-    return stage(time_split(supply_rows(spark, d)), "supply")
+    return time_split(supply_rows(spark, d))
 
 
 def _train(rows):

@@ -67,7 +67,10 @@ def supply_features(df: DataFrame, ts: str = "ts", keys: Iterable[str] = (), sol
 
 
 def time_split(df: DataFrame, train_share: float = TRAIN_SHARE, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
-    """Add ``split``: the first ``int(rows × share)`` rows of a series are "train", the rest "test"."""
+    """Add ``split``: the first ``int(rows × share)`` rows of a series are "train", the rest "test".
+
+    The result reads a written table, so that several fits may use it.
+    """
     ordered = with_position(df, ts, keys).df
     train = F.col(POS) < F.floor(F.col(SIZE) * train_share)
     return ordered.withColumn("split", F.when(train, "train").otherwise("test")).drop(POS, SIZE)

@@ -13,7 +13,7 @@ from sparkgrid.constants import (
 )
 from sparkgrid.functions.columns import signed_whole, whole
 from sparkgrid.operators.quantiles import exact_quantiles
-from sparkgrid.session import join_small, one_row
+from sparkgrid.session import join_small, one_row, stage
 
 
 def quantile_thresholds(df: DataFrame, gap: str = "pred_gap", keys: Iterable[str] = (),
@@ -96,7 +96,8 @@ def classify(df: DataFrame, gap: str = "pred_gap", thresholds: DataFrame | Mappi
     thr: dict[str, Column | float]
     if isinstance(thresholds, DataFrame):
         if keys:
-            df = join_small(df, thresholds, keys)
+            # Counted and then joined: computed once.
+            df = join_small(df, stage(thresholds.select(*keys, *THRESHOLD_NAMES), "thresholds"), keys)
             thr = {name: F.col(name) for name in THRESHOLD_NAMES}
         else:
             df = df.withColumn("_thr", one_row(thresholds, *THRESHOLD_NAMES))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,27 +61,37 @@ def year_month_pivot(df: DataFrame, column: str = "pred_gap", ts: str = "ts", ke
     return pivoted.withColumnsRenamed({str(i + 1): name for i, name in enumerate(MONTH_NAMES)})
 
 
+def add_empty_bins(means: DataFrame, label: str, step: Column, keys: Iterable[str] = ()) -> DataFrame:
+    """Add the missing bins between the first and the last of each series, with NULLs.
+
+    Each bin is followed by those up to the next one, so the data behind the
+    aggregate are read once. The window sees one row per bin; their number is
+    bounded by the calendar, not by the data.
+    """
+    keys = list(keys)
+    ahead = means.withColumn("_next", F.lead(label).over(Window.partitionBy(*keys).orderBy(label)))
+    until = F.coalesce(F.col("_next") - step, F.col(label))
+    bins = ahead.withColumn("_bin", F.explode(F.sequence(F.col(label), until, step)))
+    first = F.col("_bin") == F.col(label)
+    others = [c for c in means.columns if c not in (label, *keys)]
+    return bins.select(*keys, F.col("_bin").alias(label), *[F.when(first, F.col(c)).alias(c) for c in others])
+
+
 def resample(df: DataFrame, unit: str, ts: str = "ts", keys: Iterable[str] = (),
              columns: list[str] | None = None) -> DataFrame:
     """Mean of the numeric columns per day ("D") or per week ending on Sunday ("W").
 
     Every day or week between the first and the last of a series is present,
-    with NULLs if it has no rows. The list of days comes from the aggregate, so
-    the data are read and shuffled once.
+    with NULLs if it has no rows.
     """
     keys = list(keys)
     if columns is None:
         columns = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in keys]
-    label, step = {"D": (day_label(ts), 1), "W": (week_label(ts), 7)}[unit]
-    means = mean_by(df, label, "_label", columns, keys)
-    # One range per series; its length is bounded by the calendar, not by the number of rows.
-    ends = means.groupBy(*keys).agg(F.min("_label").alias("_from"), F.max("_label").alias("_to"))
-    ends = ends.where(F.col("_from").isNotNull())
-    every = F.explode(F.sequence("_from", "_to", F.make_dt_interval(F.lit(step)).cast("interval day")))
-    spine = ends.select(*keys, every.alias("_label"))
-    kind = df.schema[ts].dataType
-    return spine.join(means, [*keys, "_label"], "left").select(
-        *keys, F.col("_label").cast(kind).alias(ts), *columns)
+    label, days = {"D": (day_label(ts), 1), "W": (week_label(ts), 7)}[unit]
+    means = mean_by(df.where(F.col(ts).isNotNull()), label, "_label", columns, keys)
+    step = F.make_dt_interval(F.lit(days)).cast("interval day")
+    every = add_empty_bins(means, "_label", step, keys)
+    return every.select(*keys, F.col("_label").cast(df.schema[ts].dataType).alias(ts), *columns)
 
 
 def years(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -139,11 +139,17 @@ def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFra
     )
 
 
-def group_extreme(means: DataFrame, group: str, column: str, name: str, smallest: bool = False) -> DataFrame:
-    """One row: the group with the largest (or smallest) value; the first group of equals."""
-    known = F.col(column).isNotNull()
-    by = F.struct((F.col(column) if smallest else -F.col(column)).alias("v"), F.col(group).alias("g"))
-    return means.agg(F.min_by(F.col(group), F.when(known, by)).alias(name))
+def group_extremes(means: DataFrame, group: str, wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row: per name the group with the "most" or "least" of a column; the first group of equals.
+
+    ``wanted`` maps a name to (column, "most" or "least").
+    """
+    found = []
+    for name, (column, which) in wanted.items():
+        value = F.col(column) if which == "least" else -F.col(column)
+        by = F.when(value.isNotNull(), F.struct(value.alias("v"), F.col(group).alias("g")))
+        found.append(F.min_by(F.col(group), by).alias(name))
+    return means.agg(*found)
 
 
 def metrics(df: DataFrame, actual: str, predicted: Mapping[str, str], keys: Iterable[str] = ()) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sparkgrid.constants import MIN_PROFILE_ROWS, SOLAR_PEAK_MW, WIND_PEAK_MW
 from sparkgrid.functions.columns import clip
 from sparkgrid.operators.clean import usable
-from sparkgrid.operators.fill import Fill, fill
+from sparkgrid.operators.fill import Fill, fill_ordered
+from sparkgrid.operators.ordered import POS, SIZE, with_position
 from sparkgrid.session import one_row
 
 
@@ -26,9 +27,11 @@ def reconstruct(df: DataFrame, mode: str = "capacity", ts: str = "ts", keys: Ite
 
     Train and score with the same mode: the models learn its scale.
     """
+    # Written once in order; the profile checks read their two columns of it.
+    ordered = with_position(df, ts, keys)
     if mode == "capacity":
-        filled = fill(df, {"solar_cap": Fill("forward"), "wind_cap": Fill("forward")}, ts, keys)
-        flag = filled.withColumn("_ok", one_row(usable(df, "solar_profile", "wind_profile", min_rows)))
+        filled = fill_ordered(ordered, {"solar_cap": Fill("forward"), "wind_cap": Fill("forward")}).drop(POS, SIZE)
+        flag = filled.withColumn("_ok", one_row(usable(ordered.df, "solar_profile", "wind_profile", min_rows)))
         from_profile = F.col("_ok.usable")
         return flag.withColumns({
             "solar_gen": clip(F.when(from_profile, F.col("solar_profile") * F.col("solar_cap"))
@@ -37,8 +40,8 @@ def reconstruct(df: DataFrame, mode: str = "capacity", ts: str = "ts", keys: Ite
                              .otherwise(F.col("wind_raw")), 0),
         }).drop("_ok")
     if mode == "peak":
-        filled = fill(df, {"solar_cap": Fill("both"), "wind_cap": Fill("both")}, ts, keys)
-        return scale_to_peak(filled, df, solar_peak, wind_peak)
+        filled = fill_ordered(ordered, {"solar_cap": Fill("both"), "wind_cap": Fill("both")}).drop(POS, SIZE)
+        return scale_to_peak(filled, ordered.df, solar_peak, wind_peak)
     raise ValueError(f"unknown mode {mode!r}")
 
 

@@ -14,6 +14,7 @@ from sparkgrid.operators.features import last_rows
 from sparkgrid.operators.levels import classify, quantile_thresholds
 from sparkgrid.operators.rollups import by_hour, by_month, resample, year_month_pivot, yearly_summary
 from sparkgrid.operators.stats import frequency, kpis
+from sparkgrid.session import stage
 
 
 @dataclass
@@ -59,7 +60,8 @@ def intervention_log(df: DataFrame, n: int = 72, ts: str = "ts", level: str = "l
 def dashboard(full: DataFrame, year: int | None = None, month: int | None = None, critical: float | None = None,
               high: float | None = None, log_rows: int = 72, ts: str = "ts") -> Dashboard:
     selected, label, unit = date_slice(full, year, month, ts)
-    thresholds = quantile_thresholds(full, "pred_gap", truncate=True)
+    # One row that several of the tables below read.
+    thresholds = stage(quantile_thresholds(full, "pred_gap", truncate=True), "thresholds")
     rows = relevel(selected, thresholds, critical, high)
     return Dashboard(
         label, rows, thresholds,

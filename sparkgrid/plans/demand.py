@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.operators.models import demand_boosted, demand_forest, score
 from sparkgrid.operators.stats import model_comparison
-from sparkgrid.session import stage
 
 MODELS = {"gbt": "pred_gbt", "rf": "pred_rf"}
 
@@ -32,8 +31,8 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     the comparison only, so rows without one are not dropped.
     """
     keys = list(keys)
-    # Read by two fits, by scoring and by the comparison: written once.
-    rows = stage(time_split(demand_features(clean, ts, keys), ts=ts, keys=keys), "demand-features")
+    # Read by two fits, by scoring and by the comparison; the split has written the rows once.
+    rows = time_split(demand_features(clean, ts, keys), ts=ts, keys=keys)
     train = rows.where(F.col("split") == "train")
     models = {"gbt": demand_boosted(train, gbt_rounds, gbt_depth), "rf": demand_forest(train, rf_trees, rf_depth)}
     scored = rows

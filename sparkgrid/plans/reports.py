@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from sparkgrid.constants import CORRELATION_COLUMNS
 from sparkgrid.functions.calendar import month_name
-from sparkgrid.functions.columns import signed_whole
+from sparkgrid.functions.columns import share, signed_whole
 from sparkgrid.functions.energy import errors, split_gap, stack_supply
 from sparkgrid.operators.features import first_rows
 from sparkgrid.operators.levels import ordinal
 from sparkgrid.operators.rollups import (
-    by_hour, by_month, by_season, fullest_year, resample, weekday_weekend_by_hour, year_month_pivot, yearly_summary,
+    by_hour, by_month, by_season, fullest_year, resample, year_month_pivot, yearly_summary,
 )
 from sparkgrid.operators.stats import (
-    axis_limits, correlation_pairs, correlations, error_by_hour, forecast_error, frequency, gap_shares, group_extreme,
-    histogram, metrics,
+    axis_limits, correlation, correlation_pairs, error_by_hour, forecast_error, frequency, group_extremes, histogram,
+    metrics,
 )
 from sparkgrid.session import one_row
 
@@ -34,9 +34,11 @@ def year_series(clean: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def hour_pattern(clean: DataFrame, ts: str = "ts") -> DataFrame:
-    """Per hour: mean solar, wind and load, and mean load of weekdays and weekends."""
-    means = by_hour(clean, ["solar_gen", "wind_gen", "load_actual"], ts)
-    return means.join(weekday_weekend_by_hour(clean, "load_actual", ts), "hour")
+    """Per hour: mean solar, wind and load, and mean load of weekdays and weekends; one pass."""
+    weekend = F.weekday(ts) >= 5
+    split = clean.withColumns({"weekday": F.when(~weekend, F.col("load_actual")),
+                               "weekend": F.when(weekend, F.col("load_actual"))})
+    return by_hour(split, ["solar_gen", "wind_gen", "load_actual", "weekday", "weekend"], ts)
 
 
 def season_averages(clean: DataFrame, ts: str = "ts") -> DataFrame:
@@ -53,28 +55,24 @@ def forecast_error_report(clean: DataFrame, ts: str = "ts") -> tuple[DataFrame,
 
 
 def key_insights(clean: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row: forecast MAE, peak hours, gap shares, best and worst solar season, correlations."""
-    hours = by_hour(clean, ["load_actual", "solar_gen"], ts)
-    seasons = by_season(clean, ["solar_gen"], ts)
-    best = group_extreme(seasons, "season", "solar_gen", "best_solar_season")
-    parts = [
-        forecast_error(clean).select(F.col("mae").alias("forecast_mae")),
-        group_extreme(hours, "hour", "load_actual", "peak_load_hour"),
-        group_extreme(hours, "hour", "solar_gen", "peak_solar_hour"),
-        gap_shares(clean, "supply_gap"),
-        best,
-        group_extreme(seasons, "season", "solar_gen", "worst_solar_season", smallest=True),
-        correlations(clean, {
-            "corr_renewable_load": ("renewable_total", "load_actual"),
-            "corr_solar_load": ("solar_gen", "load_actual"),
-            "corr_wind_load": ("wind_gen", "load_actual"),
-        }),
-    ]
-    names = [n for p in parts for n in p.columns]
-    row = clean.sparkSession.range(1)
-    for i, part in enumerate(parts):
-        row = row.withColumn(f"_{i}", one_row(part))
-    return row.select("*", *[f"_{i}.*" for i in range(len(parts))]).select(*names)
+    """One row: forecast MAE, peak hours, gap shares, best and worst solar season, correlations.
+
+    Three passes over few columns each: overall, per hour, per season.
+    """
+    pairs = {"corr_renewable_load": "renewable_total", "corr_solar_load": "solar_gen", "corr_wind_load": "wind_gen"}
+    overall = clean.agg(
+        F.avg(F.abs("forecast_error")).alias("forecast_mae"),
+        share(F.col("supply_gap") > 0).alias("pct_deficit"),
+        share(F.col("supply_gap") <= 0).alias("pct_surplus"),
+        *[correlation(F.col(c), F.col("load_actual")).alias(n) for n, c in pairs.items()],
+    )
+    hours = group_extremes(by_hour(clean, ["load_actual", "solar_gen"], ts), "hour", {
+        "peak_load_hour": ("load_actual", "most"), "peak_solar_hour": ("solar_gen", "most")})
+    seasons = group_extremes(by_season(clean, ["solar_gen"], ts), "season", {
+        "best_solar_season": ("solar_gen", "most"), "worst_solar_season": ("solar_gen", "least")})
+    row = overall.withColumns({"_h": one_row(hours), "_s": one_row(seasons)})
+    return row.select("forecast_mae", "_h.peak_load_hour", "_h.peak_solar_hour", "pct_deficit", "pct_surplus",
+                      "_s.best_solar_season", "_s.worst_solar_season", *pairs)
 
 
 # --- demand predictions ----------------------------------------------------

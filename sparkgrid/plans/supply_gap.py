@@ -15,7 +15,6 @@ from sparkgrid.operators.levels import classify
 from sparkgrid.operators.models import score, solar_boosted, wind_boosted
 from sparkgrid.operators.stats import metrics
 from sparkgrid.operators.supply import reconstruct
-from sparkgrid.session import stage
 from sparkgrid.sources.readers import demand_source
 
 
@@ -48,7 +47,7 @@ def supply_gap(raw: DataFrame, predictions: DataFrame | None, mode: str = "capac
     """Train solar and wind on the first 80 %, then classify the gap of the remaining rows."""
     keys = list(keys)
     features = supply_features(reconstruct(raw, mode, ts, keys), ts, keys, fill_capacity=False)
-    rows = stage(time_split(features, ts=ts, keys=keys), "supply-features")
+    rows = time_split(features, ts=ts, keys=keys)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     solar, wind = solar_boosted(train, rounds, solar_depth), wind_boosted(train, rounds, wind_depth)
     scored = score(wind, score(solar, test, "pred_solar", 0), "pred_wind", 0)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgrid.functions.calendar import start_of_hour
+from sparkgrid.operators.rollups import add_empty_bins
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +29,7 @@ def grid_hourly(spark: SparkSession, folder: str) -> DataFrame:
     """One row per hour of the events, with gaps where an hour lacks an event type."""
     kind, c = F.col("event_type"), F.col("c")
     hourly = (
-        table(spark, folder, "events")
+        table(spark, folder, "events").where(F.col("ts").isNotNull())
         .select(start_of_hour("ts").alias("ts"), "event_type", cents("value").alias("c"))
         .groupBy("ts")
         .agg(
@@ -40,13 +41,10 @@ def grid_hourly(spark: SparkSession, folder: str) -> DataFrame:
             F.max(F.when(kind == "purchase", c)).alias("price_c"),
         )
     )
-    # The hours between the first and the last event; bounded by the calendar.
-    ends = hourly.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    every = F.explode(F.sequence("a", "b", F.expr("interval 1 hour")))
-    spine = ends.where(F.col("a").isNotNull()).select(every.alias("ts"))
+    every = add_empty_bins(hourly, "ts", F.make_dt_interval(F.lit(0), F.lit(1)))
     wind_c = F.col("onshore_c") + F.col("offshore_c")
     midnight = F.hour("ts") == 0
-    return spine.join(hourly, "ts", "left").select(
+    return every.select(
         "ts",
         F.col("load_c").cast("double").alias("load_actual"),
         F.col("forecast_c").cast("double").alias("load_forecast"),

@@ -84,8 +84,8 @@ def test_histogram_equals_numpy(spark, values):
 
 def test_extremes_take_the_first_of_equals(spark):
     means = spark.createDataFrame([(0, None), (3, 5.0), (1, 5.0), (2, 4.0)], "hour int, v double")
-    assert stats.group_extreme(means, "hour", "v", "h").first().h == 1
-    assert stats.group_extreme(means, "hour", "v", "h", smallest=True).first().h == 2
+    found = stats.group_extremes(means, "hour", {"most": ("v", "most"), "least": ("v", "least")}).first()
+    assert (found.most, found.least) == (1, 2)
 
 
 def test_metrics_equal_formulas(spark):
