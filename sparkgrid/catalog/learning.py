@@ -92,7 +92,7 @@ def _(spark, d):
     raw = stage(grid_hourly(spark, d).withColumnsRenamed({"solar_gen": "solar_raw", "wind_gen": "wind_raw"}), "raw")
     demand = models.demand_forest(_train(demand_split(spark, d)), TREES, DEPTH)
     supply = supply_gap(raw, None, mode="peak", rounds=1, solar_depth=DEPTH, wind_depth=DEPTH)
-    return full_gap(raw.select("ts", "load_actual"), raw, demand, supply.solar, supply.wind)
+    return full_gap(raw.select("ts", "load_actual"), raw, demand, supply.solar, supply.wind, supply.mode)
 
 
 _MODELS = {"gbt": "pred_gbt", "rf": "pred_rf", "baseline": "baseline_forecast"}

@@ -9,6 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkgrid.operators.clean import require_unique
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.operators.models import demand_boosted, demand_forest, score
 from sparkgrid.operators.stats import model_comparison
@@ -19,8 +20,9 @@ MODELS = {"gbt": "pred_gbt", "rf": "pred_rf"}
 @dataclass
 class DemandResult:
     models: dict[str, PipelineModel]
-    predictions: DataFrame      # keys, ts, load_actual, pred_gbt, pred_rf, [baseline_forecast], split
+    predictions: DataFrame      # test rows: keys, ts, load_actual, pred_gbt, pred_rf, [baseline_forecast]
     comparison: DataFrame       # on the test rows
+    scored: DataFrame           # all rows, with split; "train" rows are in-sample
 
 
 def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (), gbt_rounds: int = 500,
@@ -32,7 +34,7 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     """
     keys = list(keys)
     # Read by two fits, by scoring and by the comparison; the split has written the rows once.
-    rows = time_split(demand_features(clean, ts, keys), ts=ts, keys=keys)
+    rows = require_unique(time_split(demand_features(clean, ts, keys), ts=ts, keys=keys), ts, keys)
     train = rows.where(F.col("split") == "train")
     models = {"gbt": demand_boosted(train, gbt_rounds, gbt_depth), "rf": demand_forest(train, rf_trees, rf_depth)}
     scored = rows
@@ -42,8 +44,9 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     if "load_forecast" in scored.columns:
         scored = scored.withColumnRenamed("load_forecast", "baseline_forecast")
         columns.append("baseline_forecast")
-    predictions = scored.select(*columns, "split")
-    return DemandResult(models, predictions, compare(predictions.where(F.col("split") == "test")))
+    scored = scored.select(*columns, "split")
+    predictions = scored.where(F.col("split") == "test").drop("split")
+    return DemandResult(models, predictions, compare(predictions), scored)
 
 
 def compare(predictions: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from sparkgrid.constants import DEMAND_FEATURES, SOLAR_FEATURES, WIND_FEATURES
 from sparkgrid.functions.energy import scored_balance
+from sparkgrid.operators.clean import require_unique
 from sparkgrid.operators.features import demand_features, supply_features
 from sparkgrid.operators.joins import full_gap_rows
 from sparkgrid.operators.levels import classify, quantile_thresholds
@@ -18,10 +19,10 @@ from sparkgrid.session import stage
 
 
 def full_gap(clean: DataFrame, raw: DataFrame, demand_model: PipelineModel, solar_model: PipelineModel,
-             wind_model: PipelineModel, mode: str = "peak", ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+             wind_model: PipelineModel, mode: str, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
     """Score every complete hour, join demand with supply, classify by quantile thresholds.
 
-    ``mode`` must be the one the supply models were trained with.
+    ``mode`` is the one the supply models were trained with (``SupplyResult.mode``).
     """
     keys = list(keys)
     for model, features in ((demand_model, DEMAND_FEATURES), (solar_model, SOLAR_FEATURES),
@@ -32,4 +33,6 @@ def full_gap(clean: DataFrame, raw: DataFrame, demand_model: PipelineModel, sola
     supply = score(wind_model, score(solar_model, supply, "pred_solar", 0), "pred_wind", 0)
     # Read for the thresholds and again for the result: written once.
     rows = stage(scored_balance(full_gap_rows(demand, supply, ts, keys)), "full-gap")
+    # Two rows for one time on either side would have been multiplied by the join.
+    require_unique(rows, ts, keys)
     return classify(rows, "pred_gap", quantile_thresholds(rows, "pred_gap", keys), keys)

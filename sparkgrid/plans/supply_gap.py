@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.constants import FIXED_THRESHOLDS
+from sparkgrid.operators.clean import require_unique
 from sparkgrid.operators.features import supply_features, time_split
 from sparkgrid.operators.levels import classify
 from sparkgrid.operators.models import score, solar_boosted, wind_boosted
@@ -24,6 +25,7 @@ class SupplyResult:
     wind: PipelineModel
     metrics: DataFrame
     interventions: DataFrame
+    mode: str                   # how the models' generation was made; score with the same
 
 
 def gap_rows(supply: DataFrame, demand: DataFrame, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
@@ -47,11 +49,11 @@ def supply_gap(raw: DataFrame, predictions: DataFrame | None, mode: str = "capac
     """Train solar and wind on the first 80 %, then classify the gap of the remaining rows."""
     keys = list(keys)
     features = supply_features(reconstruct(raw, mode, ts, keys), ts, keys, fill_capacity=False)
-    rows = time_split(features, ts=ts, keys=keys)
+    rows = require_unique(time_split(features, ts=ts, keys=keys), ts, keys)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     solar, wind = solar_boosted(train, rounds, solar_depth), wind_boosted(train, rounds, wind_depth)
     scored = score(wind, score(solar, test, "pred_solar", 0), "pred_wind", 0)
     quality = metrics(scored, "solar_gen", {"solar": "pred_solar"}).unionByName(
         metrics(scored, "wind_gen", {"wind": "pred_wind"}))
     gaps = gap_rows(scored, demand_source(scored, predictions, ts=ts, keys=keys), ts, keys)
-    return SupplyResult(solar, wind, quality, classify(gaps, "pred_gap", thresholds, detail_name="detail"))
+    return SupplyResult(solar, wind, quality, classify(gaps, "pred_gap", thresholds, detail_name="detail"), mode)

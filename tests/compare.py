@@ -27,6 +27,15 @@ def _key(row):
     return tuple((v is not None, str(type(v)), v) if not isinstance(v, float) else (True, "f", v) for v in row)
 
 
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas")
+
+
+def unwanted(df) -> list[str]:
+    """Operators that no plan should hold."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [name for name in UNWANTED if name in plan]
+
+
 def compare(df, connection, sql: str) -> str | None:
     """None if equal, else what differs."""
     names = sorted(df.columns)
@@ -57,7 +66,7 @@ def main(folder: str, names: list[str]) -> int:
         try:
             df = run(spark, folder)
             if name in sql:
-                result = compare(df, connection, sql[name])
+                result = compare(df, connection, sql[name]) or unwanted(df) or None
                 verdict = "equal" if result is None else f"DIFFERENT: {result}"
             else:
                 verdict = f"rows only: {df.count()}"
