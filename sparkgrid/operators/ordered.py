@@ -87,8 +87,10 @@ class Buckets:
         size = ordered.bucket_rows(back)
         self._home = F.floor(F.col(POS) / size)
         overlap = F.when(F.col(POS) % size >= size - back, F.array(self._home, self._home + 1))
-        self.df = ordered.df.withColumn(BUCKET, F.explode(overlap.otherwise(F.array(self._home))))
         self._within = [*ordered.keys, BUCKET]
+        # One exchange for all windows: without it, a window within blocks would partition by block first.
+        self.df = ordered.df.withColumn(BUCKET, F.explode(overlap.otherwise(F.array(self._home)))).repartition(
+            *self._within)
 
     def window(self) -> Window:
         return Window.partitionBy(*self._within).orderBy(POS)
@@ -126,12 +128,12 @@ class Buckets:
         aggregates within a block; they merge by the parallel variance formula,
         which subtracts no large sums.
         """
-        block = F.floor(F.col(POS) / rows)
-        inside = Window.partitionBy(*self._within, block)
+        self.df = self.df.withColumn("_half_block", F.floor(F.col(POS) / rows))
+        inside = Window.partitionBy(*self._within, "_half_block")
         running = (Window.unboundedPreceding, Window.currentRow)
         frames = {
-            "head": inside.orderBy(POS).rowsBetween(*running),
             "tail": inside.orderBy(F.desc(POS)).rowsBetween(*running),
+            "head": inside.orderBy(POS).rowsBetween(*running),
         }
         for half, frame in frames.items():
             n = F.count(column).over(frame)
@@ -140,7 +142,8 @@ class Buckets:
                 F.sum(column).over(frame).alias("s"),
                 (F.var_pop(column).over(frame) * n).alias("q"),
             ))
-        w = self.window()
+        # The order of positions, put so that the sort of the head serves it too.
+        w = Window.partitionBy(*self._within).orderBy("_half_block", POS)
         # The block ends right before this row when its position is a multiple of the block length:
         # then the head alone is the whole run.
         self.df = self.df.withColumns({

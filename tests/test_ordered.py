@@ -116,6 +116,15 @@ def test_no_data_row_passes_through_one_task(spark):
         assert "_part" in before.splitlines()[1]
 
 
+def test_rolling_windows_share_one_exchange(spark):
+    rows = frame(spark, hours(400, v=gappy(400, 0.0)))
+    out = buckets(rows, 168).rolling("v", 168, "m", "s").rolling("v", 72, "m2").close()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(_bucket") == 1
+    # The offsets, and per window one sort of the tails and one of the heads.
+    assert plan.count("Sort [") == 1 + 2 * 2
+
+
 def test_first_and_last_rows(spark):
     rows = frame(spark, hours(50, v=np.arange(50, dtype=float)))
     assert [r.v for r in features.first_rows(rows, 3).collect()] == [0, 1, 2]
