@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest table that is ever broadcast on purpose; checked by counting first.
+# Largest table that is ever broadcast on purpose; both limits are checked first.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "sparkgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,17 +72,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(f"{shared_folder(spark)}/sparkgrid/checkpoints")
 
 
+def table_size(small: DataFrame) -> tuple[int, int]:
+    """Rows of a table and their approximate bytes in memory, from one pass."""
+    def width(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+        if kind.startswith(("array", "map", "struct")):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 16
+        return F.lit(8)
+
+    per_row = F.lit(16)
+    for name, kind in small.dtypes:
+        per_row = per_row + width(name, kind)
+    row = small.agg(F.count("*").alias("rows"), F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()
+    return row.rows, row.bytes
+
+
+def join_keys(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key; the key columns come from the left side."""
+    taken = [f"_right_{c}" for c in on]
+    renamed = other.withColumnsRenamed(dict(zip(on, taken)))
+    condition = F.lit(True)
+    for c, t in zip(on, taken):
+        condition = condition & df[c].eqNullSafe(renamed[t])
+    return df.join(renamed, condition, how).drop(*taken)
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
                rows: int | None = None) -> DataFrame:
-    """Equi-join with a side that is usually small.
+    """NULL-safe equi-join with a side that is usually small.
 
-    ``rows`` is its row count if known, else it is counted. Up to
-    ``BROADCAST_ROWS`` it is broadcast; beyond that the join shuffles and
-    adaptive execution splits hot keys.
+    Its rows and bytes are measured unless ``rows`` is known and the columns
+    are numbers. Up to ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` it is
+    broadcast; beyond that the join shuffles and adaptive execution splits hot
+    keys.
     """
-    if rows is None:
-        rows = small.count()
-    return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
+    if rows is None or any(kind in ("string", "binary") or "<" in kind for _, kind in small.dtypes):
+        rows, size = table_size(small)
+    else:
+        size = rows * 8 * (len(small.columns) + 2)
+    fits = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return join_keys(df, F.broadcast(small) if fits else small, on, how)
 
 
 def one_row(df: DataFrame, *columns: str):
