@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkgrid.llm import exact_dedup, mixing, sharding
+import public_tokenizers
+
+from sparkgrid.llm import distinct_bpe, exact_dedup, mixing, sharding, token_counts, toxicity
 from sparkgrid.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -35,3 +37,25 @@ select doc_id, max(doc_id) over (partition by t) keep_id, cast(count(*) over (pa
 @query
 def op9_sharding(spark, sf_dir):
     return sharding.assign_shards(documents(spark, sf_dir, "doc_id", "text"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.score_documents(documents(spark, sf_dir, "doc_id", "text"), labels)
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), path)
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op5_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = distinct_bpe.encode_documents(
+        documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
+    return distinct_bpe.round_trip(encoded, path).withColumnRenamed("id", "doc_id")
