@@ -27,11 +27,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkgrid.llm.common import ship, text_or_empty
 from sparkgrid.llm.pieces import Ragged, cut, gather, read_ranks, row_sums
@@ -86,18 +88,22 @@ class Block:
                 yield number, bucket, pack(SEPARATOR.join([runs[i] for i in order[a:b]])), None, None, None, None
 
 
-def cut_blocks(batches: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    columns = ["block", "bucket", "runs", "ids", "pieces", "stream", "homes"]
+def cut_blocks(batches: Iterable[pa.RecordBatch], buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 24
     block = Block()
+
+    def written() -> pa.RecordBatch:
+        columns = zip(*block.rows(number, buckets))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
     for batch in batches:
-        for doc_id, text in zip(batch["id"].astype(object), batch["text"]):
-            block.add(None if doc_id is None or doc_id != doc_id else doc_id, text)
+        for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+            block.add(doc_id, text.as_py())
             if block.chars >= BLOCK_CHARS:
-                yield pd.DataFrame(list(block.rows(number, buckets)), columns=columns)
+                yield written()
                 number, block = number + 1, Block()
     if block.ids:
-        yield pd.DataFrame(list(block.rows(number, buckets)), columns=columns)
+        yield written()
 
 
 def encoder(path: str, pattern: str):
@@ -124,24 +130,24 @@ def encode_buckets(batches: Iterable[pd.DataFrame], path: str, pattern: str) ->
         yield pd.DataFrame(out, columns=["block", "bucket", "ids"])
 
 
-def put_together(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(id, ids) of each document; the rows of a block follow each other, its stream first."""
-    block, head, parts = None, None, {}
+    head, parts = None, {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.bucket < 0:
+        for k in range(batch.num_rows):
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            if row["bucket"].as_py() < 0:
                 if head is not None:
-                    yield _documents(head, parts)
-                block, head, parts = row.block, row, {}
+                    yield _documents(head, parts, schema)
+                head, parts = row, {}
             else:
-                assert row.block == block
-                parts[row.bucket] = row.coded
+                parts[row["bucket"].as_py()] = row["coded"].as_py()
     if head is not None:
-        yield _documents(head, parts)
+        yield _documents(head, parts, schema)
 
 
-def _documents(head, parts: dict[int, bytes]) -> pd.DataFrame:
-    homes = unsqueeze(head.homes)
+def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> pa.RecordBatch:
+    homes = unsqueeze(head["homes"].as_py())
     order = np.argsort(homes, kind="stable")
     coded = [unsqueeze(parts[b]) for b in sorted(parts)]
     lengths = np.concatenate([c[1:1 + c[0]] for c in coded]).astype(np.int64)
@@ -149,11 +155,12 @@ def _documents(head, parts: dict[int, bytes]) -> pd.DataFrame:
     starts = np.cumsum(lengths) - lengths
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    stream = place[unsqueeze(head.stream)]
-    ids = gather(values, starts[stream], lengths[stream])
-    per_document = row_sums(lengths[stream], unsqueeze(head.pieces).astype(np.int64))
-    rows = np.split(ids.astype(np.int32), np.cumsum(per_document)[:-1])
-    return pd.DataFrame({"id": pd.Series(list(head.ids), dtype=object), "ids": rows})
+    stream = place[unsqueeze(head["stream"].as_py())]
+    ids = gather(values, starts[stream], lengths[stream]).astype(np.int32)
+    per_document = row_sums(lengths[stream], unsqueeze(head["pieces"].as_py()).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(per_document))).astype(np.int32)
+    rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(schema.field("ids").type)
+    return pa.RecordBatch.from_arrays([head["ids"].values.cast(schema.field("id").type), rows], schema=schema)
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
@@ -165,7 +172,12 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     kind = rows.schema["id"].dataType.simpleString()
     buckets = max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    blocks = stage(rows.mapInPandas(lambda b: cut_blocks(b, buckets), BLOCK_SCHEMA.format(id=kind)), "blocks")
+    block_schema = T._parse_datatype_string(BLOCK_SCHEMA.format(id=kind))
+    out_schema = T.StructType([T.StructField("id", rows.schema["id"].dataType),
+                               T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    block_arrow, out_arrow = to_arrow_schema(block_schema), to_arrow_schema(out_schema)
+
+    blocks = stage(rows.mapInArrow(lambda b: cut_blocks(b, buckets, block_arrow), block_schema), "blocks")
     dealt = blocks.where("bucket >= 0").select("block", "bucket", "runs").repartition("bucket").sortWithinPartitions(
         "bucket", "block")
     coded = dealt.mapInPandas(lambda b: encode_buckets(b, path, pattern), IDS_SCHEMA)
@@ -173,9 +185,8 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
                                               F.lit(None).cast("binary").alias("coded"))
     nothing = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("ids", "pieces", "stream", "homes")]
     both = heads.union(coded.select("block", "bucket", *nothing, F.col("ids").alias("coded")))
-    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInPandas(
-        put_together, T.StructType([T.StructField("id", rows.schema["id"].dataType),
-                                    T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(
+        lambda b: put_together(b, out_arrow), out_schema)
 
 
 def token_table(path: str) -> list[bytes]:
@@ -191,29 +202,29 @@ def round_trip(encoded: DataFrame, path: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) from (id, ids)."""
     ship(encoded.sparkSession)
 
-    def digests(batches):
+    @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
+    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = token_table(path)
         numbers = [str(i) for i in range(len(table))]
         for batch in batches:
-            ids = [v.tolist() for v in batch["ids"]]
+            ids = [v.tolist() for v in batch]
             yield pd.DataFrame({
-                "id": batch["id"], "n_tokens": [len(v) for v in ids],
                 "ids_sha256": [hashlib.sha256(" ".join([numbers[i] for i in v]).encode()).hexdigest() for v in ids],
                 "decoded_sha256": [hashlib.sha256(b"".join([table[i] for i in v])).hexdigest() for v in ids]})
 
-    kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInPandas(digests, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), digests("ids").alias("d")).select(
+        "id", "n_tokens", "d.*")
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
     """(id, text) from (id, ids)."""
     ship(encoded.sparkSession)
 
-    def decode(batches):
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = token_table(path)
         for batch in batches:
-            texts = [b"".join([table[i] for i in v.tolist()]).decode("utf-8", "replace") for v in batch["ids"]]
-            yield pd.DataFrame({"id": batch["id"], "text": texts})
+            yield pd.Series([b"".join([table[i] for i in v.tolist()]).decode("utf-8", "replace") for v in batch],
+                            dtype=object)
 
-    kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInPandas(decode, f"id {kind}, text string")
+    return encoded.select("id", decode("ids").alias("text"))

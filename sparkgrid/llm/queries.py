@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkgrid.llm import distinct_bpe, exact_dedup, mixing, sharding, token_counts, toxicity
+from sparkgrid.llm import distinct_bpe, exact_dedup, mixing, sharding, token_counts, token_files, toxicity
 from sparkgrid.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -59,3 +59,10 @@ def op5_byte_bpe(spark, sf_dir):
     encoded = distinct_bpe.encode_documents(
         documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.PATTERN)
     return distinct_bpe.round_trip(encoded, path).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op6_token_files(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    digests = token_files.token_file_digests(documents(spark, sf_dir, "doc_id", "text"), path)
+    return digests.withColumnRenamed("id", "doc_id")
