@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from sparkgrid.llm import distinct_bpe, exact_dedup, mixing, sharding, token_counts, token_files, toxicity
+from sparkgrid.llm import (
+    distinct_bpe, exact_dedup, mixing, near_dedup, sharding, token_counts, token_files, toxicity,
+)
 from sparkgrid.llm.common import documents
 
 QUERIES, SQL = {}, {}
@@ -66,3 +69,9 @@ def op6_token_files(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     digests = token_files.token_file_digests(documents(spark, sf_dir, "doc_id", "text"), path)
     return digests.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_minhash_near_dedup(spark, sf_dir):
+    found = near_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
