@@ -1,29 +1,59 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last
+return the columns of ``documents``. Mixing has a random part (a hash of id and
+text), and trained scores have no SQL twin, so ``ORACLE_SQL`` is None; the
+tests compare ``run`` with a version without Spark.
+"""
 
 from __future__ import annotations
 
-from sparkgrid.llm import exact_dedup, mixing
+import public_tokenizers
+
+from sparkgrid.llm import distinct_bpe, exact_dedup, mixing, near_dedup, toxicity
 from sparkgrid.llm.common import documents
 from sparkgrid.session import staging_path
 
 
+def without_toxic(spark, docs, sf_dir):
+    """Documents that the string-kernel machine does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.clean_documents(docs, labels)
+
+
 def without_copies(spark, docs, sf_dir):
+    """Of equal texts the one with the largest id."""
     return exact_dedup.kept_documents(docs)
 
 
+def without_near_copies(spark, docs, sf_dir):
+    """Of each near-duplicate group the document with the smallest id."""
+    return near_dedup.kept_documents(docs)
+
+
 def mixed(spark, docs, sf_dir):
+    """A sample in which sources, languages and topics have their target weights."""
     return mixing.sampled_documents(docs)
 
 
+def encoded(spark, docs, sf_dir):
+    """Token ids of each document, checked by decoding them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = distinct_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    return distinct_bpe.round_trip(ids, path).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
     ("mixing", mixed),
+    ("byte-level BPE", encoded),
 ]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages over ``documents``, each written and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         path = staging_path(spark, name.replace(" ", "-"))

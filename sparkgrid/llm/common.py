@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgrid.session import join_small
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -47,3 +49,12 @@ def unpacked(df: DataFrame, name: str = "row", **added: Column) -> DataFrame:
     inner = df.schema[name].dataType.names
     return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in inner if c not in added],
                      *[c.alias(n) for n, c in added.items()])
+
+
+def sample_texts(df: DataFrame, most: int, chars: int, text: str = "text", id_column: str = "doc_id") -> list[str]:
+    """Texts of up to ``most`` documents of at most ``chars`` characters, the same for the same ids."""
+    bodies = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text"))
+    chosen = df.select(F.col(f"`{id_column}`").alias("id")).where("id is not null").distinct().orderBy(
+        F.xxhash64("id"), "id").limit(most)
+    rows = join_small(bodies.where(F.char_length("text") <= chars), chosen, ["id"])
+    return [r.text for r in rows.dropDuplicates(["id"]).orderBy("id").select("text").collect()]

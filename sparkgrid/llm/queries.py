@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sparkgrid.llm import (
-    distinct_bpe, exact_dedup, mixing, near_dedup, sharding, token_counts, token_files, toxicity,
+    distinct_bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_counts, token_files, toxicity,
 )
 from sparkgrid.llm.common import documents
 
@@ -75,3 +75,16 @@ def op6_token_files(spark, sf_dir):
 def op10_minhash_near_dedup(spark, sf_dir):
     found = near_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query
+def op7_quality_rules(spark, sf_dir):
+    judged = quality.judge(documents(spark, sf_dir, "doc_id", "lang", "text"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "class_distance", "word_distance")
+
+
+@query
+def op8_secret_scan(spark, sf_dir):
+    found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

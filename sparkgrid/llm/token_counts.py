@@ -22,9 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.common import packed, ship, text_or_empty
+from sparkgrid.llm.common import packed, sample_texts, ship, text_or_empty
 from sparkgrid.llm.pieces import cut
-from sparkgrid.session import join_small
 
 LIMIT = 512
 FREQUENT = 50_000
@@ -82,12 +81,8 @@ _loaded: dict[tuple, PieceLengths] = {}
 
 def frequent_pieces(df: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> dict[str, int]:
     """Lengths of the most frequent runs of a bounded sample of documents."""
-    bodies = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text"))
-    chosen = df.select(F.col(f"`{id_column}`").alias("id")).where("id is not null").distinct().orderBy(
-        F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    rows = join_small(bodies.where(F.char_length("text") <= SAMPLE_CHARS), chosen, ["id"]).select("text").limit(
-        2 * SAMPLE_DOCS).collect()
-    counts = Counter(p for r in rows for p in cut(r.text)[1:])
+    texts = sample_texts(df, SAMPLE_DOCS, SAMPLE_CHARS, text, id_column)
+    counts = Counter(p for body in texts for p in cut(body)[1:])
     common = [p for p, _ in counts.most_common(FREQUENT)]
     lengths = PieceLengths(path, {}, len(common) + 1)
     lengths.learn(common)
