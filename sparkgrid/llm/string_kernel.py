@@ -1,9 +1,9 @@
 """A gap-weighted subsequence kernel on short windows of letters, with vectorized evaluation.
 
-Texts become letter codes: case, accents of rare letters and runs of other
-characters are folded away. A window is represented by all its subsequences
+Texts become letter codes: case, rare letters and runs of white space are
+folded, and signs that are neither are left out. A window is represented by all its subsequences
 of ``ORDER`` letters that span at most ``SPAN`` places, each weighted by ``DECAY``
-for every place skipped; so a letter or sign put between two others lowers the
+for every place skipped; so a letter or space put between two others lowers the
 weight of a feature but does not remove it. The kernel of two windows is the
 inner product of these weights (Lodhi et al., 2002).
 
@@ -20,12 +20,13 @@ import numpy as np
 
 ORDER = 4
 SPAN = 7
-DECAY = 0.6
+DECAY = 0.7
 WINDOW = 10                      # places at which the features of a window start
 # Places of the second to last letter of a subsequence after its first, and its weight.
 STEPS = [(after, DECAY ** (after[-1] - ORDER + 1)) for after in combinations(range(1, SPAN), ORDER - 1)]
 
-GAP, LETTERS = 0, 48             # codes: 0 other characters, 1..47 letters, 48 break between texts
+GAP, LETTERS = 0, 48             # codes: 0 white space, 1..47 letters, 48 break between texts
+LEFT_OUT = 255
 OTHER_LETTER, BREAK = LETTERS - 1, LETTERS
 SIZE = LETTERS + 1
 SEPARATOR = "\0" * (WINDOW + SPAN)
@@ -36,10 +37,12 @@ CHUNK = 1 << 16
 
 def letter_codes(letters: str) -> np.ndarray:
     """Code of each character: the given lower-case letters by rank, other letters share one code."""
-    codes = np.zeros(PLANE, np.uint8)
+    codes = np.full(PLANE, LEFT_OUT, np.uint8)
     for point in range(PLANE):
         if chr(point).isalpha():
             codes[point] = OTHER_LETTER
+        elif chr(point).isspace():
+            codes[point] = GAP
     for rank, letter in enumerate(letters[:OTHER_LETTER - 1], start=1):
         for form in (letter, letter.upper()):
             if len(form) == 1 and ord(form) < PLANE:
@@ -53,15 +56,17 @@ def letter_codes(letters: str) -> np.ndarray:
 def encode(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all texts in one stream, the place where each sentence starts, and its text's number.
 
-    Each text has at least one sentence. Runs of non-letters are one place. A
+    Each text has at least one sentence. A run of white space is one place. A
     sentence ends with a line, or with . ! ? before white space.
     """
     parts = [t.replace("\0", " ") + SEPARATOR for t in texts]
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
     code = codes[np.minimum(points, PLANE - 1)]
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != GAP) | (code[:-1] != GAP)
+    keep = code != LEFT_OUT
+    rest = np.flatnonzero(keep)
+    again = (code[rest[1:]] == GAP) & (code[rest[:-1]] == GAP)
+    keep[rest[1:][again]] = False
 
     line = points == 10
     stop = (points == 46) | (points == 33) | (points == 63)
@@ -78,7 +83,10 @@ def encode(texts: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def window_scores(code: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each place the sum of the weights of the features that start in the window from there."""
+    """For each place the sum of the weights of the features that start in the window from there.
+
+    Windows do not start between texts: those places score minus infinity.
+    """
     n = len(code)
     running = np.zeros(n + WINDOW + 1)
     padded = np.concatenate((code, np.full(SPAN, BREAK, np.uint8))).astype(np.int32)
@@ -94,7 +102,9 @@ def window_scores(code: np.ndarray, table: np.ndarray) -> np.ndarray:
             total += np.float32(weight) * table.take(index)
         running[start + 1:start + m + 1] = total
     np.cumsum(running, out=running)
-    return running[WINDOW:WINDOW + n] - running[:n]
+    scores = running[WINDOW:WINDOW + n] - running[:n]
+    scores[code == BREAK] = -np.inf  # such windows reach into the next text
+    return scores
 
 
 def sentence_best(scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -153,7 +163,7 @@ class Landmarks:
         return out
 
 
-def support_vector_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0,
+def support_vector_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float,
                            steps: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps in the primal; ``y`` is -1 or 1."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)

@@ -115,8 +115,8 @@ def encode_batches(batches: Iterable[pa.RecordBatch], path: str, end: int, bound
             yield coded(rows)
 
 
-def pack_segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Sorted documents of one or more shards, as segments."""
+def pack_segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted documents of one or more shards, as segments of ``size`` ids or a little more."""
     shard, segment, ids, tokens, held = None, 0, [], [], 0
 
     def segment_row() -> pa.RecordBatch:
@@ -129,7 +129,7 @@ def pack_segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Itera
     for batch in batches:
         for to, doc_id, body in zip(batch.column("shard").to_pylist(), batch.column("id").to_pylist(),
                                     batch.column("tokens")):
-            if ids and (to != shard or held >= SEGMENT):
+            if ids and (to != shard or held >= size):
                 yield segment_row()
                 segment, ids, tokens, held = (segment + 1 if to == shard else 0), [], [], 0
             shard = to
@@ -142,7 +142,7 @@ def pack_segments(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Itera
 
 
 def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int = END, text: str = "text",
-                 id_column: str = "doc_id") -> None:
+                 id_column: str = "doc_id", segment: int = SEGMENT) -> None:
     """Write the token ids of ``df`` to ``path``, documents in id order."""
     spark = df.sparkSession
     ship(spark)
@@ -164,7 +164,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int = END, text
     coded_arrow, file_arrow = to_arrow_schema(coded_schema), to_arrow_schema(file_schema)
     coded = rows.mapInArrow(lambda b: encode_batches(b, vocabulary, end, shared.value, coded_arrow), coded_schema)
     dealt = coded.repartition("shard").sortWithinPartitions("shard", *order)
-    dealt.mapInArrow(lambda b: pack_segments(b, file_arrow), file_schema).write.parquet(path)
+    dealt.mapInArrow(lambda b: pack_segments(b, file_arrow, segment), file_schema).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

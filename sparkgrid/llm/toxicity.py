@@ -13,7 +13,7 @@ Scoring reads every character of every text, in Arrow batches; the model is a
 table of under a megabyte whatever the size of the corpus.
 
 Defined cases: NULL text counts as empty; an empty text scores like a text
-whose windows have weight zero; documents without id or label do not train;
+whose windows are all as clean as can be; documents without id or label do not train;
 without labelled documents of both classes the score of every text is the
 share of toxic ones (0.5 without any).
 """
@@ -36,6 +36,7 @@ MAX_NEGATIVE = 6_000
 MAX_CHARS = 20_000
 ROUNDS = 3
 LANDMARKS = 320
+PENALTY = 20.0
 TOP_SENTENCES = 3
 HELD_BACK = 4             # every so many-th document trains the logistic model only
 THRESHOLD = 0.3
@@ -130,7 +131,7 @@ def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7)
             rng.permutation(np.flatnonzero(sign < 0))[:LANDMARKS // 3]])
         landmarks = sk.Landmarks(windows[marks])
         weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)) * len(sign)
-        coefficients, constant = sk.support_vector_machine(landmarks.project(windows), sign, weight)
+        coefficients, constant = sk.support_vector_machine(landmarks.project(windows), sign, weight, PENALTY)
         table = landmarks.table(coefficients)
 
     x = document_features([t for t, h in zip(texts, held) if h], codes, table, constant)
