@@ -14,9 +14,14 @@
    counted by comparing signatures of the pairs found.
 4. In each list the members are first paired with its hub, the document whose
    values are shared most. What the links (exact on full shingle sets) join
-   into one component needs no further pairs; only members of different
-   components are then paired. A group of thousands of copies thus costs one
-   pair per member and list.
+   into one component needs no further pairs. What is left open are members of
+   different components in one list. A shingle that no other open document has
+   cannot be common, so a document of which over a quarter is its own drops
+   out, and pairs need enough shared shingles on both sides. Short lists are
+   paired by a join; long ones are compared in blocks of ``BLOCK`` documents,
+   from which only links come out, and blocks of one component meet only
+   others. A group of thousands of copies thus costs one pair per member and
+   list, besides its members that no hub can link.
 
 Defined cases: NULL text counts as empty; a document without words has no
 shingles, links with nothing and stays; fewer than five words are one shingle;
@@ -30,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,6 +52,8 @@ SIMILAR = 75          # percent
 COORDINATES = 32
 MATCHES = 12
 CHUNK = 4096
+SHORT_LIST = 64       # members up to which the open pairs of a list are joined as rows
+BLOCK = 512           # documents on a side that are compared at a time
 
 _rng = np.random.default_rng(20_24)
 SEEDS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -137,8 +145,7 @@ def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     tested = _hub_pairs(prefixes)
     links = _links(tested, narrow, sets)
     labels = connected_components(links)
-    open_pairs = _open_pairs(prefixes, labels, narrow)
-    more = _links(open_pairs, narrow, sets)
+    more = _open_links(prefixes, labels, narrow, sets)
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
@@ -189,19 +196,95 @@ def _hub_pairs(prefixes: DataFrame) -> DataFrame:
     return pairs.select(F.col("uid").alias("a"), "b").distinct()
 
 
-def _open_pairs(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame) -> DataFrame:
-    """Pairs that share a list but lie in different components, and whose sizes allow the similarity."""
-    marked = prefixes.select("list", "uid").join(
-        labels.withColumnRenamed("vertex", "uid"), "uid", "left").join(narrow.select("uid", "n"), "uid").select(
-        "list", "uid", "n", F.coalesce("label", "uid").alias("label"))
-    marked = stage(marked, "marked")
-    mixed = stage(marked.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        "low < high").select("list"), "mixed")
-    open_lists = stage(marked.join(mixed, "list", "left_semi"), "open")
-    left = open_lists.select("list", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = open_lists.select("list", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    near = (F.col("la") < F.col("lb")) & (100 * F.least("na", "nb") >= SIMILAR * F.greatest("na", "nb"))
-    return left.join(right, "list").where(near).select("a", "b").distinct()
+def _open_links(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of a list that lie in different components."""
+    marked = stage(prefixes.select("list", "uid").join(
+        labels.withColumnRenamed("vertex", "uid"), "uid", "left").select(
+        "list", "uid", F.coalesce("label", "uid").alias("label")), "marked")
+    # Of lists with the same members one is enough.
+    lists = marked.groupBy("list").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"),
+        F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"))
+    one = lists.where("low < high").groupBy("c", "members").agg(F.min("list").alias("list")).select("list")
+    opened = stage(marked.join(one, "list", "left_semi"), "open")
+
+    # Only shingles that two open documents have can be common to a pair.
+    entries = sets.join(opened.select("uid").distinct(), "uid", "left_semi").select(
+        "uid", F.explode("set").alias("shingle"))
+    known = stage(entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "shingles")
+    shared = entries.join(known, "shingle").groupBy("uid").agg(F.collect_list("shingle").alias("shared")).join(
+        narrow.select("uid", "n"), "uid").withColumn("s", F.size("shared"))
+    shared = stage(shared.where(100 * F.col("s") >= SIMILAR * F.col("n")), "shared")
+
+    members = opened.join(shared.select("uid", "n", "s"), "uid")
+    sizes = members.groupBy("list").agg(F.count("*").alias("length"), F.min("label").alias("low"),
+                                        F.max("label").alias("high")).where("low < high").select("list", "length")
+    members = stage(members.join(sizes, "list"), "members")
+    return _short_list_links(members.where(F.col("length") <= SHORT_LIST), shared).union(
+        _long_list_links(members.where(F.col("length") > SHORT_LIST), shared))
+
+
+def _short_list_links(members: DataFrame, shared: DataFrame) -> DataFrame:
+    def side(name: str) -> DataFrame:
+        return members.select("list", *[F.col(c).alias(x) for c, x in (
+            ("uid", name), ("label", f"l{name}"), ("n", f"n{name}"), ("s", f"s{name}"))])
+
+    both = F.col("na") + F.col("nb")
+    possible = (F.col("la") < F.col("lb")) & (
+        (100 + SIMILAR) * F.least("sa", "sb", "na", "nb") >= SIMILAR * both)
+    pairs = stage(side("a").join(side("b"), "list").where(possible).select("a", "b").distinct(), "pairs")
+    sets = shared.select("uid", "n", "shared")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return (pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+            .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), common.alias("common"))
+            .where(100 * F.col("common") >= SIMILAR * (F.col("both") - F.col("common"))).select("a", "b"))
+
+
+def _long_list_links(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """Compare the members of a list block by block; a large component has blocks of its own."""
+    counts = members.groupBy("list", "label").agg(F.count("*").alias("c"))
+    large = F.col("c") >= BLOCK
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("length")) / BLOCK)
+    dealt = F.when(large, F.xxhash64("uid")).otherwise(F.xxhash64("label"))
+    homes = stage(members.join(counts, ["list", "label"]).select(
+        "list", "uid", "label", F.when(large, F.col("label")).otherwise(-1).alias("home"),
+        F.pmod(dealt, parts).alias("part")), "homes")
+    blocks = stage(homes.select("list", "home", "part").distinct(), "blocks")
+    left, right = blocks.toDF("list", "ha", "pa"), blocks.toDF("list", "hb", "pb")
+    ordered = (F.struct("ha", "pa") <= F.struct("hb", "pb")) & ((F.col("ha") != F.col("hb")) | (F.col("ha") == -1))
+    meetings = stage(left.join(right, "list").where(ordered), "meetings")
+    key = ["list", "ha", "pa", "hb", "pb"]
+    first = homes.join(meetings, (homes["list"] == meetings["list"]) & (F.col("home") == F.col("ha")) & (
+        F.col("part") == F.col("pa"))).select(meetings["list"], *key[1:], "uid", "label", F.lit(0).alias("side"))
+    second = homes.join(meetings, (homes["list"] == meetings["list"]) & (F.col("home") == F.col("hb")) & (
+        F.col("part") == F.col("pb"))).where("ha <> hb or pa <> pb").select(
+        meetings["list"], *key[1:], "uid", "label", F.lit(1).alias("side"))
+    rows = first.union(second).join(shared.select("uid", "n", "shared"), "uid")
+    return rows.groupBy(*key).applyInPandas(_compare, "a long, b long").distinct()
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links across two blocks, or within one, of different components."""
+    rows = rows.reset_index(drop=True)
+    sets = rows["shared"].to_numpy()
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    for start in range(0, int(number[-1]) + 1, 4096):  # some thousand shingles at a time
+        a, b = np.searchsorted(number, (start, start + 4096))
+        held = np.zeros((len(rows), 4096), np.float32)
+        held[owner[a:b], number[a:b] - start] = 1
+        common += held @ held.T
+    n, label, side = (rows[c].to_numpy() for c in ("n", "label", "side"))
+    similar = 100 * common >= SIMILAR * (n[:, None] + n[None, :] - common)
+    similar &= label[:, None] != label[None, :]
+    if side.any():
+        similar &= (side[:, None] == 0) & (side[None, :] == 1)
+    a, b = np.nonzero(similar)
+    uid = rows["uid"].to_numpy()
+    return pd.DataFrame({"a": uid[a], "b": uid[b]})
 
 
 def _links(pairs: DataFrame, narrow: DataFrame, sets: DataFrame) -> DataFrame:
