@@ -31,22 +31,31 @@ class Ragged:
 
     def __init__(self, dtype=np.uint32):
         self.values = np.zeros(1 << 12, dtype)
-        self.used, self.starts, self.lengths, self._arrays = 0, [], [], None
+        self.ends = np.zeros(1 << 10, np.int64)
+        self.rows = 0
 
     def __len__(self) -> int:
-        return len(self.starts)
+        return self.rows
 
     def append(self, row) -> None:
-        n = len(row)
-        while self.used + n > len(self.values):
+        start = int(self.ends[self.rows])
+        end = start + len(row)
+        while end > len(self.values):
             self.values = np.concatenate((self.values, np.zeros_like(self.values)))
-        self.values[self.used:self.used + n] = row
-        self.starts.append(self.used)
-        self.lengths.append(n)
-        self.used += n
-        self._arrays = None
+        if self.rows + 2 > len(self.ends):
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.values[start:end] = row
+        self.rows += 1
+        self.ends[self.rows] = end
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen rows one after another, and their lengths."""
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        return gather(self.values, starts, lengths), lengths
+
+
+def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen rows one after another, and their lengths."""
         if self._arrays is None:
             self._arrays = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)

@@ -32,9 +32,9 @@ from sparkgrid.llm.token_counts import added_tokens, load_tokenizer
 from sparkgrid.session import join_small, staging_path
 
 END = 2
-SEGMENT = 1 << 20
-CACHE = 600_000
-GROUP_CHARS = 1 << 20
+SEGMENT = 1 << 18
+CACHE = 300_000
+GROUP_CHARS = 1 << 19
 
 WHITE = "\n\t\r\x0b\x0c"
 FILE_COLUMNS = "shard int, segment int, n_docs long, n_ids long, ids array<{id}>, lengths binary, words binary, offsets binary"
@@ -150,7 +150,9 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int = END, text
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.crc32(F.encode(body, "UTF-8")).alias("check"),
                      F.monotonically_increasing_id().alias("tie"), body.alias("text"))
     order = ["id", "check", "tie"]
-    ranges = rows.select(*order).repartitionByRange(*order).groupBy(F.spark_partition_id().alias("part")).agg(
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # With a number given, adaptive execution leaves the ranges as they are.
+    ranges = rows.select(*order).repartitionByRange(shards, *order).groupBy(F.spark_partition_id().alias("part")).agg(
         F.min(F.struct(*order)).alias("first"))
     # One row per shuffle partition.
     bounds = sorted(_key(*r["first"]) for r in ranges.collect())[1:]
@@ -163,7 +165,7 @@ def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int = END, text
     file_schema = T._parse_datatype_string(FILE_COLUMNS.format(id=id_type.simpleString()))
     coded_arrow, file_arrow = to_arrow_schema(coded_schema), to_arrow_schema(file_schema)
     coded = rows.mapInArrow(lambda b: encode_batches(b, vocabulary, end, shared.value, coded_arrow), coded_schema)
-    dealt = coded.repartition("shard").sortWithinPartitions("shard", *order)
+    dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", *order)
     dealt.mapInArrow(lambda b: pack_segments(b, file_arrow, segment), file_schema).write.parquet(path)
 
 
