@@ -1,18 +1,19 @@
-"""Byte-level BPE in which the cluster encodes each distinct run of pre-tokens once.
-
-1. Blocks of documents are cut into runs of pre-tokens. A block keeps its
-   distinct runs once and the positions as a stream of numbers of runs; both
-   are written.
-2. The distinct runs are dealt out by a hash of their bytes: all blocks' copies
-   of a run meet in one bucket, where it is encoded once. However frequent a
-   run is, it arrives once per block.
+"""Byte-level BPE in which the cluster encodes each distinct pre-token once.
+
+1. Blocks of documents are cut into pre-tokens. A block keeps its distinct
+   pre-tokens once, and the positions as a stream of their numbers.
+2. The distinct pre-tokens are dealt out by a hash of their bytes: all blocks'
+   copies of one meet in a bucket, where it is encoded once. However frequent
+   it is, it arrives once per block.
 3. The ids go back to the blocks, where the stream of positions puts them in
    order. Decoding looks the ids up in the table of token bytes.
 
-The runs of a block that fall into a bucket travel as one compressed row, so
-the shuffle carries as many rows as it has segments anyway. Blocks are bounded
-by ``BLOCK_CHARS`` (or hold one larger document); buckets by their number,
-which follows ``spark.sql.shuffle.partitions``.
+The pre-tokens of a block that fall into a bucket travel as one compressed
+row, so the shuffle carries no more rows than it has segments anyway. The
+streams pass through the same two shuffles unchanged: blocks are cut once, and
+a lost executor costs only its own blocks. Blocks are bounded by
+``BLOCK_CHARS`` (or hold one larger document); buckets by their number, which
+follows ``spark.sql.shuffle.partitions``.
 
 Defined cases: NULL text counts as empty and has no ids; special strings are
 ordinary text; NULL and repeated ids are carried through row by row; an empty
@@ -28,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,14 +39,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkgrid.llm.common import ship, text_or_empty
 from sparkgrid.llm.pieces import Ragged, cut, gather, read_ranks, row_sums
-from sparkgrid.session import stage
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 10 << 20
 MIN_BUCKETS = 48
 SEPARATOR = b"\xff"       # never part of UTF-8
 
-BLOCK_SCHEMA = "block long, bucket int, runs binary, ids array<{id}>, pieces binary, stream binary, homes binary"
-IDS_SCHEMA = "block long, bucket int, ids binary"
+# A block's stream (bucket -1), or the pre-tokens of a block that go to a bucket; in time, their ids.
+BLOCK_SCHEMA = ("route int, block long, bucket int, words binary, ids array<{id}>, pieces binary, stream binary, "
+                "homes binary")
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -59,38 +61,57 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """Documents of one task whose runs are numbered together."""
+    """Documents of one task whose pre-tokens are numbered together."""
 
-    def __init__(self):
-        self.ids, self.pieces, self.numbers, self.chars = [], [], [], 0
-        self.known: dict[str, int] = {}
+    def __init__(self, pattern: regex.Pattern):
+        self.pattern = pattern
+        self.ids, self.counts, self.streams, self.chars = [], [], [], 0
+        self.runs: dict[str, int] = {}      # runs of pre-tokens between single spaces, cut once
+        self.cuts = Ragged()                # the pre-tokens of each run
+        self.words: dict[str, int] = {}
 
     def add(self, doc_id, text: str) -> None:
-        runs = cut(text)
-        if len(runs) > 1:
-            runs[1:] = [" " + r for r in runs[1:]]
-        known = self.known
-        self.numbers.append(np.array([known.setdefault(r, len(known)) for r in runs], np.uint32))
+        first, *rest = cut(text)
+        rows = []
+        for lead, runs in (("", [first] if first else []), (" ", rest)):
+            for r in runs:
+                at = self.runs.get(lead + r)
+                if at is None:
+                    at = self.runs[lead + r] = len(self.cuts)
+                    words = self.words
+                    self.cuts.append([words.setdefault(w, len(words)) for w in self.pattern.findall(lead + r)])
+                rows.append(at)
+        stream, _ = self.cuts.gather(np.array(rows, np.int64))
+        self.streams.append(stream)
         self.ids.append(doc_id)
-        self.pieces.append(len(runs))
+        self.counts.append(len(stream))
         self.chars += len(text)
 
     def rows(self, number: int, buckets: int) -> Iterator[tuple]:
-        runs = [r.encode("utf-8") for r in self.known]
-        homes = np.array([zlib.crc32(r) % buckets for r in runs], np.uint32)
-        order = np.argsort(homes, kind="stable")
-        ends = np.searchsorted(homes[order], np.arange(1, buckets + 1))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield (number, -1, None, self.ids, squeeze(np.array(self.pieces)), squeeze(np.concatenate(self.numbers)),
+        stream = np.concatenate(self.streams)
+        # Frequent pre-tokens get small numbers, which compress best.
+        order = np.argsort(-np.bincount(stream, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        every = list(self.words)
+        words = [every[k].encode("utf-8") for k in order]
+        homes = np.array([zlib.crc32(w) % buckets for w in words], np.uint32)
+        by_home = np.argsort(homes, kind="stable")
+        ends = np.searchsorted(homes[by_home], np.arange(1, buckets + 1))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield (number % buckets, number, -1, None, self.ids, squeeze(np.array(self.counts)), squeeze(rank[stream]),
                squeeze(homes))
         for bucket, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
             if b > a:
-                yield number, bucket, pack(SEPARATOR.join([runs[i] for i in order[a:b]])), None, None, None, None
+                held = pack(SEPARATOR.join([words[k] for k in by_home[a:b]]))
+                yield bucket, number, bucket, held, None, None, None, None
 
 
-def cut_blocks(batches: Iterable[pa.RecordBatch], buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def cut_blocks(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int,
+               schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    compiled = regex.compile(pattern)
     number = TaskContext.get().partitionId() << 24
-    block = Block()
+    block = Block(compiled)
 
     def written() -> pa.RecordBatch:
         columns = zip(*block.rows(number, buckets))
@@ -101,7 +122,7 @@ def cut_blocks(batches: Iterable[pa.RecordBatch], buckets: int, schema: pa.Schem
             block.add(doc_id, text.as_py())
             if block.chars >= BLOCK_CHARS:
                 yield written()
-                number, block = number + 1, Block()
+                number, block = number + 1, Block(compiled)
     if block.ids:
         yield written()
 
@@ -111,23 +132,30 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def encode_buckets(batches: Iterable[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
-    """Ids of the runs of each row; rows come sorted by bucket, and a bucket encodes a run once."""
+def encode_buckets(batches: Iterable[pa.RecordBatch], path: str, pattern: str,
+                   schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Puts ids in the place of pre-tokens; rows come sorted by bucket, and a bucket encodes a pre-token once."""
     encode = encoder(path, pattern).encode_ordinary
     bucket, known, ids = None, {}, Ragged()
+    words_at = schema.get_field_index("words")
     for batch in batches:
         out = []
-        for block, home, packed in zip(batch["block"], batch["bucket"], batch["runs"]):
+        for home, packed in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+            if home < 0:
+                out.append(None)
+                continue
             if home != bucket:
                 bucket, known, ids = home, {}, Ragged()
-            runs = zstandard.ZstdDecompressor().decompress(packed).split(SEPARATOR)
-            for r in runs:
-                if r not in known:
-                    known[r] = len(ids)
-                    ids.append(encode(r.decode("utf-8")))
-            values, lengths = ids.gather(np.array([known[r] for r in runs]))
-            out.append((block, home, squeeze(np.concatenate(([len(lengths)], lengths, values)))))
-        yield pd.DataFrame(out, columns=["block", "bucket", "ids"])
+            words = zstandard.ZstdDecompressor().decompress(packed.as_py()).split(SEPARATOR)
+            for w in words:
+                if w not in known:
+                    known[w] = len(ids)
+                    ids.append(encode(w.decode("utf-8")))
+            values, lengths = ids.gather(np.array([known[w] for w in words]))
+            out.append(squeeze(np.concatenate(([len(lengths)], lengths, values))))
+        columns = batch.columns
+        columns[words_at] = pa.array(out, schema.field("words").type)
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -141,7 +169,7 @@ def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterat
                     yield _documents(head, parts, schema)
                 head, parts = row, {}
             else:
-                parts[row["bucket"].as_py()] = row["coded"].as_py()
+                parts[row["bucket"].as_py()] = row["words"].as_py()
     if head is not None:
         yield _documents(head, parts, schema)
 
@@ -149,7 +177,7 @@ def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterat
 def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> pa.RecordBatch:
     homes = unsqueeze(head["homes"].as_py())
     order = np.argsort(homes, kind="stable")
-    coded = [unsqueeze(parts[b]) for b in sorted(parts)]
+    coded = [unsqueeze(parts[b]) for b in sorted(parts)] or [np.zeros(1, np.uint32)]
     lengths = np.concatenate([c[1:1 + c[0]] for c in coded]).astype(np.int64)
     values = np.concatenate([c[1 + c[0]:] for c in coded])
     starts = np.cumsum(lengths) - lengths
@@ -177,15 +205,10 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
                                T.StructField("ids", T.ArrayType(T.IntegerType()))])
     block_arrow, out_arrow = to_arrow_schema(block_schema), to_arrow_schema(out_schema)
 
-    blocks = stage(rows.mapInArrow(lambda b: cut_blocks(b, buckets, block_arrow), block_schema), "blocks")
-    dealt = blocks.where("bucket >= 0").select("block", "bucket", "runs").repartition("bucket").sortWithinPartitions(
-        "bucket", "block")
-    coded = dealt.mapInPandas(lambda b: encode_buckets(b, path, pattern), IDS_SCHEMA)
-    heads = blocks.where("bucket < 0").select("block", "bucket", "ids", "pieces", "stream", "homes",
-                                              F.lit(None).cast("binary").alias("coded"))
-    nothing = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in ("ids", "pieces", "stream", "homes")]
-    both = heads.union(coded.select("block", "bucket", *nothing, F.col("ids").alias("coded")))
-    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(
+    blocks = rows.mapInArrow(lambda b: cut_blocks(b, pattern, buckets, block_arrow), block_schema)
+    dealt = blocks.repartition(buckets, "route").sortWithinPartitions("bucket", "block")
+    coded = dealt.mapInArrow(lambda b: encode_buckets(b, path, pattern, block_arrow), block_schema)
+    return coded.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(
         lambda b: put_together(b, out_arrow), out_schema)
 
 

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as public
 import pytest
+import regex
 import tiktoken
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -83,13 +84,15 @@ def test_byte_bpe_round_trip(spark, encoding):
 def test_many_blocks(spark, encoding):
     """A block per document or two: runs meet in buckets across blocks."""
     rows = [(k, data.sentence(random.Random(k), 40), None, None, None) for k in range(50)]
-    block = distinct_bpe.Block()
+    block = distinct_bpe.Block(regex.compile(public.PATTERN))
     for k, t, *_ in rows[:3]:
         block.add(k, t)
     head, *parts = list(block.rows(5, 8))
-    assert head[0] == 5 and head[3] == [0, 1, 2]
-    assert distinct_bpe.unsqueeze(head[4]).tolist() == [40, 40, 40]
-    assert len({p[1] for p in parts}) == len(parts) <= 8
+    assert head[1:3] == (5, -1) and head[4] == [0, 1, 2]
+    counts = [len(regex.findall(public.PATTERN, t)) for _, t, *_ in rows[:3]]
+    assert distinct_bpe.unsqueeze(head[5]).tolist() == counts
+    assert len(distinct_bpe.unsqueeze(head[6])) == sum(counts)
+    assert len({p[2] for p in parts}) == len(parts) <= 8
     wide = spark.createDataFrame(rows, data.SCHEMA).repartition(25)
     found = {r.id: r.ids for r in distinct_bpe.encode_documents(wide, RANKS, public.PATTERN).collect()}
     assert found == {k: encoding.encode_ordinary(t) for k, t, *_ in rows}
