@@ -20,6 +20,8 @@ share of toxic ones (0.5 without any).
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +42,7 @@ PENALTY = 20.0
 TOP_SENTENCES = 3
 HELD_BACK = 4             # every so many-th document trains the logistic model only
 THRESHOLD = 0.3
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 
 
 @dataclass
@@ -115,17 +117,17 @@ def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7)
     held = np.arange(len(texts)) % HELD_BACK == 0
     if min(np.bincount(toxic[held], minlength=2).min(), np.bincount(toxic[~held], minlength=2).min()) < 2:
         return ToxicityModel(np.zeros(1, np.uint8), np.zeros(1, np.float32), 0.0, None, share)
-    letters, counts = np.unique(np.frombuffer("".join(texts).lower().encode("utf-32-le", "replace"), np.uint32),
-                                return_counts=True)
-    ranked = sorted(((c, p) for c, p in zip(counts, letters) if chr(p).isalpha()), key=lambda x: (-x[0], x[1]))
-    codes = sk.letter_codes("".join(chr(p) for _, p in ranked))
+    letters: Counter[str] = Counter()
+    for text in texts:
+        letters.update(text.lower())
+    ranked = sorted((c for c in letters if c.isalpha()), key=lambda c: (-letters[c], c))
+    codes = sk.letter_codes("".join(ranked))
 
     rng = np.random.default_rng(seed)
-    code, starts, owner = sk.encode([t for t, h in zip(texts, held) if not h], codes)
-    y = np.where(toxic[~held] == 1, 1, -1)
-    table, constant = _contrast(code, starts, owner, y), 0.0
+    trained = [(t, 1 if y else -1) for t, y, h in zip(texts, toxic, held) if not h]
+    table, constant = _contrast(trained, codes), 0.0
     for _ in range(ROUNDS):
-        windows, sign = _witnesses(code, starts, owner, y, sk.window_scores(code, table))
+        windows, sign = _witnesses(trained, codes, table)
         marks = np.concatenate([
             rng.permutation(np.flatnonzero(sign > 0))[:LANDMARKS * 2 // 3],
             rng.permutation(np.flatnonzero(sign < 0))[:LANDMARKS // 3]])
@@ -141,32 +143,56 @@ def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7)
     return ToxicityModel(codes, table, float(constant), sk.logistic_regression(x, target.astype(float), weight), share)
 
 
-def _contrast(code: np.ndarray, starts: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _groups(trained: list[tuple[str, int]]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and signs, some million characters at a time."""
+    texts, signs, chars = [], [], 0
+    for text, sign in trained:
+        texts.append(text)
+        signs.append(sign)
+        chars += len(text)
+        if chars >= BLOCK_CHARS:
+            yield texts, np.array(signs)
+            texts, signs, chars = [], [], 0
+    if texts:
+        yield texts, np.array(signs)
+
+
+def _contrast(trained: list[tuple[str, int]], codes: np.ndarray) -> np.ndarray:
     """First weights: smoothed log ratio of the shares of toxic and clean texts that hold the letters in a row."""
-    size, last = sk.SIZE ** sk.ORDER, len(code) - sk.ORDER + 1
-    runs = np.lib.stride_tricks.sliding_window_view(code, sk.ORDER)
-    number = np.zeros(last, np.int64)
-    for k in range(sk.ORDER):
-        number = number * sk.SIZE + runs[:, k]
-    doc = owner[np.searchsorted(starts, np.arange(last), side="right") - 1]
-    whole = (runs != sk.BREAK).all(axis=1)
-    pairs = np.unique(doc[whole].astype(np.int64) * size + number[whole])
-    doc, number = pairs // size, pairs % size
-    share = (y > 0).mean()
-    toxic = np.bincount(number, weights=y[doc] > 0, minlength=size) + 3 * share
-    clean = np.bincount(number, weights=y[doc] < 0, minlength=size) + 3 * (1 - share)
-    return (np.log(toxic / clean) - np.log(share / (1 - share))).astype(np.float32)
-
-
-def _witnesses(code, starts, owner, y, scores):
-    """The best windows of the best sentences of each text, and the label of the text."""
-    best = sk.sentence_best(scores, starts)
-    order = np.lexsort((-best, owner))
-    rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-    chosen = np.sort(order[rank < TOP_SENTENCES])
-    ends = np.append(starts[1:], len(code))
-    places = np.array([starts[i] + int(np.argmax(scores[starts[i]:max(ends[i], starts[i] + 1)])) for i in chosen])
-    return sk.windows_at(code, places), y[owner[chosen]]
+    size = sk.SIZE ** sk.ORDER
+    share = np.mean([sign > 0 for _, sign in trained])
+    toxic = np.full(size, 3 * share, np.float32)
+    clean = np.full(size, 3 * (1 - share), np.float32)
+    for texts, signs in _groups(trained):
+        code, starts, owner = sk.encode(texts, codes)
+        runs = np.lib.stride_tricks.sliding_window_view(code, sk.ORDER)
+        number = np.zeros(len(runs), np.int64)
+        for k in range(sk.ORDER):
+            number = number * sk.SIZE + runs[:, k]
+        doc = owner[np.searchsorted(starts, np.arange(len(runs)), side="right") - 1]
+        whole = (runs != sk.BREAK).all(axis=1)
+        pairs = np.unique(doc[whole].astype(np.int64) * size + number[whole])
+        positive = signs[pairs // size] > 0
+        np.add.at(toxic, pairs[positive] % size, np.float32(1))
+        np.add.at(clean, pairs[~positive] % size, np.float32(1))
+    return np.log(toxic / clean) - np.float32(np.log(share / (1 - share)))
+
+
+def _witnesses(trained: list[tuple[str, int]], codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best windows of the best sentences of each text, and the sign of the text."""
+    windows, sign = [], []
+    for texts, signs in _groups(trained):
+        code, starts, owner = sk.encode(texts, codes)
+        scores = sk.window_scores(code, table)
+        best = sk.sentence_best(scores, starts)
+        order = np.lexsort((-best, owner))
+        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        chosen = np.sort(order[rank < TOP_SENTENCES])
+        ends = np.append(starts[1:], len(code))
+        places = np.array([starts[i] + int(np.argmax(scores[starts[i]:max(ends[i], starts[i] + 1)])) for i in chosen])
+        windows.append(sk.windows_at(code, np.minimum(places, len(code) - 1)))
+        sign.append(signs[owner[chosen]])
+    return np.concatenate(windows), np.concatenate(sign)
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
