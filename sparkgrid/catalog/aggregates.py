@@ -266,3 +266,100 @@ def _(spark, d):
   from daily""", "daily")
 def _(spark, d):
     return stats.preview(grid_daily(spark, d))
+
+
+# --- several series, one of them without a name -----------------------------
+
+_PARTS = """, parts as (select nullif(series_id, 'view') series_id, ts, "value" from series)"""
+
+
+def _parts(spark, d):
+    return event_series(spark, d).withColumn("series_id", F.nullif(F.col("series_id"), F.lit("view")))
+
+
+_NULL_QUANTILES = _PARTS + " " + " union all ".join(
+    f"""select series_id, cast({p} as double) p, count(*) n, round(quantile_cont("value", {p}), 4) + 0.0 q
+  from parts group by 1""" for p in (0.25, 0.5, 0.9))
+
+
+def _null_quantiles(spark, d, **limits):
+    found = exact_quantiles(_parts(spark, d), {"v": (F.col("value"), [0.25, 0.5, 0.9])}, ["series_id"], **limits)
+    return rounded(found.drop("name"), 4, "q")
+
+
+@query("quantiles_null_series", _NULL_QUANTILES, "series")
+def _(spark, d):
+    return _null_quantiles(spark, d)
+
+
+@query("quantiles_null_series_from_bins", _NULL_QUANTILES, "series")
+def _(spark, d):
+    return _null_quantiles(spark, d, aggregate_rows=0)
+
+
+@query("describe_by_series", _PARTS + """ select series_id, 'value' "column", count("value") "count",
+  round_even(avg("value"), 1) mean, round_even(stddev_samp("value"), 1) std, min("value") "min",
+  round_even(quantile_cont("value", 0.25), 1) q25, round_even(quantile_cont("value", 0.5), 1) q50,
+  round_even(quantile_cont("value", 0.75), 1) q75, max("value") "max" from parts group by 1""", "series")
+def _(spark, d):
+    return stats.describe(_parts(spark, d), ["value"], keys=["series_id"])
+
+
+@query("frequency_by_series", """, sized as (select series_id, case when load_actual > 20000000 then 'high' else 'low' end size
+  from regional), counted as (select series_id, size, count(*) "rows" from sized group by all)
+select series_id, size, "rows", "rows" / sum("rows") over (partition by series_id) * 100 pct from counted""", "regional")
+def _(spark, d):
+    size = F.when(F.col("load_actual") > 20_000_000, "high").otherwise("low")
+    return stats.frequency(regional_demand(spark, d).withColumn("size", size), "size", ["series_id"])
+
+
+@query("histogram_by_series", _PARTS + """, ends as (select series_id, min("value") lo, max("value") hi from parts group by 1),
+counted as (select p.series_id, least(cast(floor(8 * ("value" - lo) / (hi - lo)) as int) + 1, 8) bin, count(*) c
+  from parts p join ends e on p.series_id is not distinct from e.series_id group by all)
+select e.series_id, cast(b as int) bin, round(lo + (b - 1) * ((hi - lo) / 8), 4) + 0.0 low,
+  round(lo + b * ((hi - lo) / 8), 4) + 0.0 high, coalesce(c, 0) "rows"
+  from ends e cross join (select unnest(generate_series(1, 8)) b)
+  left join counted n on bin = b and n.series_id is not distinct from e.series_id""", "series")
+def _(spark, d):
+    return rounded(stats.histogram(_parts(spark, d), "value", 8, ["series_id"]), 4, "low", "high")
+
+
+@query("kpis_by_series", """, gaps as (select series_id, load_actual pred_demand, load_actual / 4 pred_solar,
+  load_actual / 2 pred_wind, load_actual - 20000000 pred_gap from regional)
+select series_id, round(avg(pred_gap), 4) + 0.0 avg_gap, round(avg(pred_demand), 4) + 0.0 avg_demand,
+  round(avg(pred_solar), 4) + 0.0 avg_solar, round(avg(pred_wind), 4) + 0.0 avg_wind,
+  avg(case when pred_gap > 0 then 1.0 else 0.0 end) * 100 pct_deficit,
+  avg(case when pred_gap <= 0 then 1.0 else 0.0 end) * 100 pct_surplus from gaps group by 1""", "regional")
+def _(spark, d):
+    load = F.col("load_actual")
+    rows = regional_demand(spark, d).select("series_id", load.alias("pred_demand"), (load / 4).alias("pred_solar"),
+                                            (load / 2).alias("pred_wind"), (load - 20_000_000).alias("pred_gap"))
+    return rounded(stats.kpis(rows, ["series_id"]), 4, "avg_gap", "avg_demand", "avg_solar", "avg_wind")
+
+
+@query("correlation_pairs_by_series", """, pairs as (select series_id, load_actual a, day(ts) b, month(ts) c from regional)
+select series_id, 'b' "first", 'a' "second", round(corr(b, a), 8) + 0.0 corr from pairs group by 1
+union all select series_id, 'c', 'a', round(corr(c, a), 8) + 0.0 from pairs group by 1
+union all select series_id, 'c', 'b', round(corr(c, b), 8) + 0.0 from pairs group by 1""", "regional")
+def _(spark, d):
+    rows = regional_demand(spark, d).select("series_id", F.col("load_actual").alias("a"), F.day("ts").alias("b"),
+                                            F.month("ts").alias("c"))
+    return rounded(stats.correlation_pairs(rows, ["a", "b", "c"], ["series_id"]), 8)
+
+
+@query("fullest_year_by_series", """select series_id, cast("year" as int) "year", "rows" from (
+  select *, row_number() over (partition by series_id order by "rows" desc, "year") r from (
+    select series_id, year(ts) "year", count(*) "rows" from regional group by all)) where r = 1""", "regional")
+def _(spark, d):
+    return rollups.fullest_year(regional_demand(spark, d), keys=["series_id"])
+
+
+@query("seasons_by_series", """, names as (select * from (values (0, 'Winter'), (1, 'Spring'), (2, 'Summer'), (3, 'Autumn'))
+  t(ordinal, season)),
+means as (select series_id, case when month(ts) in (12, 1, 2) then 'Winter' when month(ts) in (3, 4, 5) then 'Spring'
+  when month(ts) in (6, 7, 8) then 'Summer' else 'Autumn' end season, avg(load_actual) load_actual from regional group by all)
+select s.series_id, cast(ordinal as int) ordinal, n.season, round(load_actual, 4) + 0.0 load_actual
+  from (select distinct series_id from means) s cross join names n
+  left join means m on m.series_id = s.series_id and m.season = n.season""", "regional")
+def _(spark, d):
+    return rounded(rollups.by_season(regional_demand(spark, d), ["load_actual"], keys=["series_id"]), 4)

@@ -281,3 +281,62 @@ def _(spark, d):
     return axis_limits(demand_predictions(spark, d), ["load_actual", "pred_gbt"])
 
 
+@query("fill_null_series", """, gappy as (select nullif(series_id, 'view') series_id, ts,
+  case when "value" >= 3000 then "value" end v, row_number() over (partition by series_id order by ts) - 1 pos from series),
+seen as (select *, last_value(v ignore nulls) over b pv,
+  last_value(case when v is not null then pos end ignore nulls) over b pp from gappy
+  window b as (partition by series_id order by ts rows between unbounded preceding and current row))
+select series_id, ts, coalesce(v, case when pos - pp <= 3 then pv end) short, coalesce(v, pv) "full" from seen""", "series")
+def _(spark, d):
+    v = F.when(F.col("value") >= 3000, F.col("value"))
+    rows = event_series(spark, d).select(F.nullif(F.col("series_id"), F.lit("view")).alias("series_id"), "ts",
+                                         v.alias("short"), v.alias("full"))
+    return fill(rows, {"short": Fill("forward", 3), "full": Fill("forward")}, keys=["series_id"])
+
+
+# Profiles by series: one exceeds 1, one is empty, one is negative in places.
+_PROFILES = """, profiles as (select series_id, ts, load_actual,
+  case when series_id = 'NATION_1' then null when series_id = 'NATION_2' then load_actual / 1048576 * 8 - 0.5
+       when series_id = 'NATION_3' then load_actual / 1048576 + 1 else load_actual / 134217728 end profile,
+  load_actual / 64 raw from regional)"""
+
+
+def _profiles(spark, d):
+    load, series = F.col("load_actual"), F.col("series_id")
+    profile = (F.when(series == "NATION_1", F.lit(None)).when(series == "NATION_2", load / 1048576 * 8 - 0.5)
+               .when(series == "NATION_3", load / 1048576 + 1).otherwise(load / 134217728))
+    return regional_demand(spark, d).select(
+        "series_id", "ts", "load_actual", profile.alias("solar_profile"), (profile / 2).alias("wind_profile"),
+        (load / 64).alias("solar_raw"), (load / 64 - 100000).alias("wind_raw"),
+        F.lit(1024.0).alias("solar_cap"), F.lit(2048.0).alias("wind_cap"))
+
+
+def _floor(value: str) -> str:
+    return f"case when {value} < 0 then 0.0 else {value} end"
+
+
+@query("reconstruct_capacity_by_series", _PROFILES + f""", flags as (select series_id, count(profile) > 100 usable
+  from profiles group by 1)
+select p.series_id, ts, case when usable then {_floor('profile * 1024')} else {_floor('raw')} end solar_gen,
+  case when usable then {_floor('profile / 2 * 2048')} else {_floor('raw - 100000')} end wind_gen
+  from profiles p join flags f on p.series_id = f.series_id""", "regional")
+def _(spark, d):
+    made = reconstruct(_profiles(spark, d), "capacity", keys=["series_id"], min_rows=100)
+    return made.select("series_id", "ts", "solar_gen", "wind_gen")
+
+
+@query("reconstruct_peak_by_series", _PROFILES + f""", tops as (select series_id, max(profile) top from profiles group by 1)
+select p.series_id, ts,
+  round({_floor('case when top > 1 then profile / top else profile end * 30000.0')}, 6) + 0.0 solar_gen,
+  round({_floor('case when top / 2 > 1 then profile / 2 / (top / 2) else profile / 2 end * 45000.0')}, 6) + 0.0 wind_gen
+  from profiles p join tops t on p.series_id = t.series_id""", "regional")
+def _(spark, d):
+    made = reconstruct(_profiles(spark, d), "peak", keys=["series_id"])
+    return rounded(made.select("series_id", "ts", "solar_gen", "wind_gen"), 6)
+
+
+@query("utilisation_clipped", """select ts, case when u < 0 then 0.0 when u > 100 then 100.0 else u end solar_utilisation
+  from (select ts, (load_actual - load_forecast) / nullif(price, 0) * 100 u from hourly)""", "hourly")
+def _(spark, d):
+    rows = grid_hourly(spark, d).withColumn("solar_gen", F.col("load_actual") - F.col("load_forecast"))
+    return energy.utilisation(rows, "solar_gen", "price").select("ts", "solar_utilisation")

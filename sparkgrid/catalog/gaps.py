@@ -157,3 +157,18 @@ def _(spark, d):
 def level_frequency(spark, d):
     rows = grid_daily(spark, d).select("ts", "pred_gap")
     return frequency(levels.classify(rows, thresholds=levels.quantile_thresholds(rows)), "level")
+
+
+@query("classify_null_series", """, gapped as (select nullif(series_id, 'view') series_id, ts, "value" - 6000 pred_gap from series),
+thr as (select series_id, """ + ", ".join([
+    _side("low_def", .25, ">", "500.0"), _side("high_def", .65, ">", "3000.0"),
+    _side("crit_def", .90, ">", "8000.0"), _side("low_sur", .75, "<", "-500.0"),
+    _side("high_sur", .35, "<", "-3000.0"), _side("crit_sur", .10, "<", "-8000.0")]).replace(" g ", " pred_gap ") +
+       f""" from gapped group by 1)
+select gapped.series_id, ts, pred_gap, {level_case('pred_gap')} "level" from gapped join thr
+  on gapped.series_id is not distinct from thr.series_id""", "series")
+def _(spark, d):
+    gaps = event_series(spark, d).select(F.nullif(F.col("series_id"), F.lit("view")).alias("series_id"), "ts",
+                                         (F.col("value") - 6000).alias("pred_gap"))
+    thresholds = rounded(levels.quantile_thresholds(gaps, keys=["series_id"]), 4)
+    return levels.classify(gaps, thresholds=thresholds, keys=["series_id"]).drop("action")

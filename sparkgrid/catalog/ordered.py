@@ -33,9 +33,9 @@ def _(spark, d):
     return ops.lags(event_series(spark, d), "value", {"lag_1h": 1, "lag_168h": 168}, keys=S).drop("value")
 
 
-def _roll(column: str, n: int, f: str, by: str = "") -> str:
+def _roll(column: str, n: int, f: str, by: str = "", decimals: int = 6) -> str:
     frame = f"over ({by}order by ts rows between {n} preceding and 1 preceding)"
-    return f"case when count({column}) {frame} = {n} then round({f}({column}) {frame}, 6) + 0.0 end"
+    return f"case when count({column}) {frame} = {n} then round({f}({column}) {frame}, {decimals}) + 0.0 end"
 
 
 @query("rolling_mean", f"""select ts, {_roll('solar_gen', 6, 'avg')} roll_6h, {_roll('solar_gen', 24, 'avg')} roll_24h
@@ -163,19 +163,19 @@ def demand_rows(spark, d):
     return _tidy_features(rows.select("ts", "load_actual", *DEMAND_FEATURES), DEMAND_FEATURES)
 
 
-_SUPPLY = f""", filled as (select ts, load_actual, solar_profile, wind_profile,
+SUPPLY_SQL = f""", filled as (select ts, load_actual, solar_profile, wind_profile,
   last_value(solar_cap ignore nulls) over (order by ts) solar_cap,
   last_value(wind_cap ignore nulls) over (order by ts) wind_cap from hourly),
 made as (select ts, solar_cap, wind_cap, solar_profile * solar_cap solar_gen, wind_profile * wind_cap wind_gen
   from filled where load_actual is not null and solar_profile * solar_cap is not null
   and wind_profile * wind_cap is not null),
-built as (select ts, {_angles('hour', 'month', 'doy')}, {_FLAGS},
+built as (select ts, solar_gen, wind_gen, {_angles('hour', 'month', 'doy')}, {_FLAGS},
   lag(solar_gen, 1) over w solar_lag_1h, lag(solar_gen, 24) over w solar_lag_24h,
   lag(solar_gen, 168) over w solar_lag_168h, {_roll('solar_gen', 24, 'avg')} solar_roll_24h, solar_cap,
   lag(wind_gen, 1) over w wind_lag_1h, lag(wind_gen, 24) over w wind_lag_24h,
   lag(wind_gen, 168) over w wind_lag_168h, {_roll('wind_gen', 24, 'avg')} wind_roll_24h,
-  {_roll('wind_gen', 72, 'avg')} wind_roll_72h, wind_cap from made window w as (order by ts))
-select ts, {{columns}} from built where solar_lag_168h is not null and wind_lag_168h is not null"""
+  {_roll('wind_gen', 72, 'avg')} wind_roll_72h, wind_cap from made window w as (order by ts))"""
+_SUPPLY = SUPPLY_SQL + " select ts, {columns} from built where solar_lag_168h is not null and wind_lag_168h is not null"
 
 
 def supply_rows(spark, d):
@@ -197,3 +197,68 @@ def _(spark, d):
 @query("wind_features", _SUPPLY.format(columns=_quoted(WIND_FEATURES)), "hourly")
 def _(spark, d):
     return _tidy_features(supply_rows(spark, d).select("ts", *WIND_FEATURES), WIND_FEATURES)
+
+
+# --- a series without a name, and several series ---------------------------
+
+NULL_SERIES = """, parts as (select nullif(series_id, 'view') series_id, ts, "value" from series)"""
+
+
+def null_series(spark, d):
+    """The event series with one of them unnamed."""
+    return event_series(spark, d).withColumn("series_id", F.nullif(F.col("series_id"), F.lit("view")))
+
+
+@query("lags_null_series", NULL_SERIES + """ select series_id, ts, lag("value", 1) over w lag_1h,
+  lag("value", 24) over w lag_24h from parts window w as (partition by series_id order by ts)""", "series")
+def _(spark, d):
+    return ops.lags(null_series(spark, d), "value", {"lag_1h": 1, "lag_24h": 24}, keys=S).drop("value")
+
+
+@query("time_split_null_series", NULL_SERIES + """ select series_id, ts, case when row_number() over w - 1
+  < floor(count(*) over (partition by series_id) * 0.80) then 'train' else 'test' end split from parts
+  window w as (partition by series_id order by ts)""", "series")
+def _(spark, d):
+    return ops.time_split(null_series(spark, d).select("series_id", "ts"), keys=S)
+
+
+def _first_last(which, order):
+    return f"""select series_id, ts, load_actual from (select *, row_number() over (partition by series_id
+  order by ts{order}) r from regional) where r <= 5"""
+
+
+@query("first_rows_by_series", _first_last("first", ""), "regional")
+def _(spark, d):
+    return ops.first_rows(regional_demand(spark, d), 5, keys=S)
+
+
+@query("last_rows_by_series", _first_last("last", " desc"), "regional")
+def _(spark, d):
+    return ops.last_rows(regional_demand(spark, d), 5, keys=S)
+
+
+@query("demand_features_by_series", f""", built as (select series_id, ts, load_actual,
+  {", ".join(f"lag(load_actual, {k}) over w lag_{k}h" for k in (1, 24, 168))},
+  {_roll('load_actual', 6, 'avg', _by, 3)} roll_6h, {_roll('load_actual', 168, 'avg', _by, 3)} roll_168h,
+  {_roll('load_actual', 168, 'stddev_samp', _by, 3)} roll_std_168h from regional
+  window w as (partition by series_id order by ts))
+select * from built where lag_168h is not null""", "regional")
+def _(spark, d):
+    rows = ops.demand_features(regional_demand(spark, d), keys=S)
+    return rounded(rows.select("series_id", "ts", "load_actual", "lag_1h", "lag_24h", "lag_168h", "roll_6h",
+                               "roll_168h", "roll_std_168h"), 3, "roll_6h", "roll_168h", "roll_std_168h")
+
+
+@query("supply_features_by_series", f""", made as (select series_id, ts, load_actual / 4 solar_gen,
+  load_actual / 2 wind_gen from regional),
+built as (select series_id, ts, lag(solar_gen, 1) over w solar_lag_1h, lag(wind_gen, 168) over w wind_lag_168h,
+  {_roll('solar_gen', 24, 'avg', _by)} solar_roll_24h, {_roll('wind_gen', 72, 'avg', _by)} wind_roll_72h
+  from made window w as (partition by series_id order by ts))
+select * from built where wind_lag_168h is not null""", "regional")
+def _(spark, d):
+    made = regional_demand(spark, d).withColumns({
+        "solar_gen": F.col("load_actual") / 4, "wind_gen": F.col("load_actual") / 2,
+        "solar_cap": F.lit(1.0), "wind_cap": F.lit(1.0)})
+    rows = ops.supply_features(made, keys=S)
+    return rounded(rows.select("series_id", "ts", "solar_lag_1h", "wind_lag_168h", "solar_roll_24h", "wind_roll_72h"),
+                   6, "solar_roll_24h", "wind_roll_72h")

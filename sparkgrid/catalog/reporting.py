@@ -214,3 +214,22 @@ def _(spark, d):
     return board.kpis(date_slice(grid_daily(spark, d), 1996)[0])
 
 
+@query("dashboard_series_hourly", f"""select ts, pred_demand, pred_solar, pred_wind, pred_gap, pred_solar solar_top,
+  pred_solar + pred_wind wind_top, {_HALVES.format('pred_gap')} from daily
+  where ts >= timestamp '1997-03-01' and ts < timestamp '1997-04-01'""", "daily")
+def _(spark, d):
+    """A month is shown as it is, without means."""
+    rows, _, unit = date_slice(
+        grid_daily(spark, d).select("ts", "pred_demand", "pred_solar", "pred_wind", "pred_gap"), 1997, 3)
+    return board.time_series(rows, unit)
+
+
+@query("dashboard_selectors", """select cast(count(distinct year(ts)) as bigint) "years",
+  round(quantile_cont(pred_gap, 0.5), 4) + 0.0 "median", cast(trunc(min(pred_gap)) as bigint) gap_min,
+  cast(trunc(max(pred_gap)) as bigint) gap_max from scored where pred_gap is not null""", "scored")
+def _(spark, d):
+    from sparkgrid.session import one_row
+    shown = board.dashboard(_complete(spark, d))
+    row = shown.limits.select("gap_min", "gap_max").withColumns({
+        "_m": one_row(shown.median), "_y": one_row(shown.years.agg(F.count("*").alias("years")))})
+    return rounded(row.select("_y.years", "_m.median", "gap_min", "gap_max"), 4)

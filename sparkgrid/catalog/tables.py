@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from sparkgrid.catalog.base import query
-from sparkgrid.constants import CLEANING_COLUMNS, RAW_TIME
+from sparkgrid.catalog.base import FIXED_SQL, level_case, lookup_case, query
+from sparkgrid.constants import ACTIONS, CLEANING_COLUMNS, RAW_TIME
 from sparkgrid.operators.clean import date_slice
+from sparkgrid.operators.levels import classify
+from sparkgrid.operators.stats import column_types
 from sparkgrid.session import staging_path
 from sparkgrid.sources import readers, writers
 from sparkgrid.sources.views import grid_daily, grid_hourly, table
@@ -69,3 +71,18 @@ def _(spark, d):
     gaps = rows.select("ts", (F.col("value") - 60).alias("pred_gap"))
     thresholds = {"low_def": 5, "high_def": 30, "crit_def": 80, "low_sur": -5, "high_sur": -30, "crit_sur": -50}
     return run_to_table(classify_stream(gaps, thresholds).select("ts", "pred_gap", "level"))
+
+
+@query("csv_interventions", f"""select *, {lookup_case('level', ACTIONS)} "action" from (
+  select ts, pred_gap, {level_case('pred_gap', overrides=FIXED_SQL)} "level" from daily)""", "daily")
+def _(spark, d):
+    """Levels and actions written as CSV and read back without a schema."""
+    path = staging_path(spark, "interventions")
+    writers.write_table(classify(grid_daily(spark, d).select("ts", "pred_gap")), path, "csv")
+    return readers.read_table(spark, path, "csv").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("column_types", """select cast(0 as int) "position", 'o_orderkey' "column", 'bigint' "type"
+  union all select 1, 'o_totalprice', 'double'""")
+def _(spark, d):
+    return column_types(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))

@@ -30,13 +30,9 @@ SUPPLY_COLUMNS = {
     "DE_load_actual_entsoe_transparency": "load_actual",
 }
 
-FULL_RANGE_COLUMNS = {
-    "DE_solar_profile": "solar_profile",
-    "DE_solar_capacity": "solar_cap",
-    "DE_wind_profile": "wind_profile",
-    "DE_wind_capacity": "wind_cap",
-    "DE_load_actual_entsoe_transparency": "load_actual",
-}
+# Columns of the package's own tables that hold text, for reading them back from CSV.
+TEXT_COLUMNS = ["level", "action", "detail", "live_level", "live_action", "season", "split", "series_id", "model",
+                "verdict", "recommended_action"]
 
 # ---------------------------------------------------------------------------
 # Model feature lists; the order is part of the contract.

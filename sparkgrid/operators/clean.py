@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from sparkgrid.constants import MIN_PROFILE_ROWS, MONTH_NAMES
 
 
-def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, missing, missing_pct): one pass, one row per column, per cent to 2 decimals."""
-    columns = columns or df.columns
-    counted = df.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
-    long = counted.unpivot("_rows", columns, "column", "present")
+def missing_profile(df: DataFrame, columns: list[str] | None = None, keys: Iterable[str] = ()) -> DataFrame:
+    """(keys…, column, missing, missing_pct): one pass, one row per column, per cent to 2 decimals."""
+    keys = list(keys)
+    columns = columns or [c for c in df.columns if c not in keys]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in columns])
+    long = counted.unpivot([*keys, "_rows"], columns, "column", "present")
     missing = F.col("_rows") - F.col("present")
     return long.select(
-        "column",
+        *keys, "column",
         missing.alias("missing"),
         F.bround(F.try_divide(missing, F.col("_rows")) * 100, 2).alias("missing_pct"),
     )
@@ -33,9 +34,10 @@ def drop_missing(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.dropna("any", subset=[c for c in columns if c in df.columns])
 
 
-def usable(df: DataFrame, first: str, second: str, rows: int = MIN_PROFILE_ROWS) -> DataFrame:
-    """One row, one flag: both columns have more than ``rows`` known values."""
-    return df.agg(((F.count(first) > rows) & (F.count(second) > rows)).alias("usable"))
+def usable(df: DataFrame, first: str, second: str, rows: int = MIN_PROFILE_ROWS,
+           keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series, one flag: both columns have more than ``rows`` known values."""
+    return df.groupBy(*keys).agg(((F.count(first) > rows) & (F.count(second) > rows)).alias("usable"))
 
 
 def without_zone(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgrid.constants import DEMAND_FEATURES, SEQUENCE_ROWS, SOLAR_FEATURES, TRAIN_SHARE, WIND_FEATURES
@@ -90,11 +90,19 @@ def sequences(df: DataFrame, features: list[str], target: str, rows: int = SEQUE
     return out.where(F.col(name).isNotNull()).select(*keys, ts, name, F.col(target).alias("target"))
 
 
-def first_rows(df: DataFrame, n: int, ts: str = "ts") -> DataFrame:
-    """The first ``n`` rows in time."""
-    return df.orderBy(ts).limit(n)
+def first_rows(df: DataFrame, n: int, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """The first ``n`` rows in time, of each series."""
+    keys = list(keys)
+    return _top(df, n, F.asc(ts), keys) if keys else df.orderBy(ts).limit(n)
+
+
+def last_rows(df: DataFrame, n: int, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """The last ``n`` rows in time, of each series; shown in time order."""
+    keys = list(keys)
+    return (_top(df, n, F.desc(ts), keys) if keys else df.orderBy(F.desc(ts)).limit(n)).orderBy(*keys, ts)
 
 
-def last_rows(df: DataFrame, n: int, ts: str = "ts") -> DataFrame:
-    """The last ``n`` rows in time, shown in time order."""
-    return df.orderBy(F.desc(ts)).limit(n).orderBy(ts)
+def _top(df: DataFrame, n: int, order: Column, keys: list[str]) -> DataFrame:
+    """A rank filter: each task hands on at most ``n`` rows per series."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sparkgrid.operators.ordered import BUCKET, POS, SIZE, OrderedRows, with_position
 
+_SERIES = "_series"
+
 
 @dataclass(frozen=True)
 class Fill:
@@ -39,8 +41,12 @@ def fill(df: DataFrame, rules: dict[str, Fill], order: str = "ts", keys: Iterabl
 
 def fill_ordered(ordered: OrderedRows, rules: dict[str, Fill]) -> DataFrame:
     """As ``fill`` on rows that already have positions; keeps the positions."""
-    keys, columns = ordered.keys, ordered.df.columns
+    columns = ordered.df.columns
     df = ordered.df.withColumn(BUCKET, F.floor(F.col(POS) / ordered.bucket_rows()))
+    keys = []
+    if ordered.keys:
+        # NULLs inside a struct are equal to each other, in joins too.
+        df, keys = df.withColumn(_SERIES, F.struct(*ordered.keys)), [_SERIES]
     backward = {c for c, rule in rules.items() if rule.method != "forward"}
 
     edges = []

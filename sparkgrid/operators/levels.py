@@ -13,7 +13,7 @@ from sparkgrid.constants import (
 )
 from sparkgrid.functions.columns import signed_whole, whole
 from sparkgrid.operators.quantiles import exact_quantiles
-from sparkgrid.session import join_small, one_row, stage
+from sparkgrid.session import join_keys, join_small, one_row, stage
 
 
 def quantile_thresholds(df: DataFrame, gap: str = "pred_gap", keys: Iterable[str] = (),
@@ -41,7 +41,7 @@ def quantile_thresholds(df: DataFrame, gap: str = "pred_gap", keys: Iterable[str
     if not keys:
         return found.agg(*columns)
     series = df.select(*keys).distinct()
-    return series.join(found, keys, "left").groupBy(*keys).agg(*columns)
+    return join_keys(series, found, keys, "left").groupBy(*keys).agg(*columns)
 
 
 def level(gap: Column, thr: Mapping[str, Column | float]) -> Column:
@@ -115,15 +115,19 @@ def classify(df: DataFrame, gap: str = "pred_gap", thresholds: DataFrame | Mappi
 
 
 def override_limits(df: DataFrame, gap: str = "pred_gap", thresholds: DataFrame | None = None,
-                    critical: float | None = None) -> DataFrame:
-    """One row: allowed range, start and step of the caller's critical and high thresholds.
+                    critical: float | None = None, keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: allowed range, start and step of the caller's critical and high thresholds.
 
     ``critical`` is the value the caller has set; by default the computed one.
     """
+    keys = list(keys)
     if thresholds is None:
-        thresholds = quantile_thresholds(df, gap, truncate=True)
-    extremes = df.agg(F.min(gap).cast("bigint").alias("gap_min"), F.max(gap).cast("bigint").alias("gap_max"))
-    row = extremes.withColumn("_thr", one_row(thresholds, "high_def", "crit_def"))
+        thresholds = quantile_thresholds(df, gap, keys, truncate=True)
+    row = df.groupBy(*keys).agg(F.min(gap).cast("bigint").alias("gap_min"), F.max(gap).cast("bigint").alias("gap_max"))
+    if keys:
+        row = join_keys(row, thresholds.select(*keys, F.struct("high_def", "crit_def").alias("_thr")), keys)
+    else:
+        row = row.withColumn("_thr", one_row(thresholds, "high_def", "crit_def"))
     chosen = F.lit(critical) if critical is not None else F.col("_thr.crit_def")
 
     def part(c: Column, n: int) -> Column:
@@ -132,7 +136,7 @@ def override_limits(df: DataFrame, gap: str = "pred_gap", thresholds: DataFrame
     return row.withColumns({
         "crit": chosen.cast("bigint"),
     }).select(
-        "gap_min", "gap_max",
+        *keys, "gap_min", "gap_max",
         F.greatest(F.lit(0), part(F.col("gap_max"), 10)).alias("crit_from"),
         F.greatest(F.col("gap_max"), F.lit(1)).alias("crit_to"),
         F.col("crit").alias("crit_value"),

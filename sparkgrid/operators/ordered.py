@@ -20,7 +20,7 @@ from sparkgrid.session import join_small, stage
 POS = "_pos"          # 0-based position within the series
 SIZE = "_size"        # number of rows of the series
 BUCKET = "_bucket"
-_PART, _ROW = "_part", "_row"
+_PART, _ROW, _SAME = "_part", "_row", "_same"
 
 MAX_BUCKET_ROWS = 131_072
 MIN_BUCKET_ROWS = 1_024
@@ -43,9 +43,6 @@ class OrderedRows:
         wanted = math.ceil(self.rows / (4 * tasks))
         return max(min(wanted, MAX_BUCKET_ROWS), MIN_BUCKET_ROWS, 8 * back)
 
-    def drop_positions(self) -> DataFrame:
-        return self.df.drop(POS, SIZE)
-
 
 def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
                   bucket_rows: int | None = None) -> OrderedRows:
@@ -55,16 +52,23 @@ def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
     pass over the plan could draw other range bounds, and a lost executor would
     then renumber rows; reading a written table cannot. Only one count per
     (partition, series) goes through a window of its own.
+
+    Rows without a time have no position and are left out. Two rows of a series
+    with the same time are an error; they are counted on the sorted rows, which
+    needs no further exchange.
     """
     keys = list(keys)
     by = [*keys, order]
+    df = df.where(F.col(order).isNotNull())
     row_id = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     staged = stage(
-        ranged.withColumns({_PART: F.shiftright(row_id, 33), _ROW: row_id.bitwiseAND(F.lit((1 << 33) - 1))}),
+        ranged.withColumns({_PART: F.shiftright(row_id, 33), _ROW: row_id.bitwiseAND(F.lit((1 << 33) - 1))})
+        .withColumn(_SAME, F.count("*").over(Window.partitionBy(*by))),
         "ordered",
     )
-    blocks = staged.groupBy(*keys, _PART).agg(F.count("*").alias("_n"), F.min(_ROW).alias("_first"))
+    blocks = staged.groupBy(*keys, _PART).agg(F.count("*").alias("_n"), F.min(_ROW).alias("_first"),
+                                                F.max(_SAME).alias("_same"))
     series = Window.partitionBy(*keys)
     before = F.sum("_n").over(series.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select(
@@ -72,7 +76,11 @@ def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
         (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(series).alias(SIZE),
     )
-    totals = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    totals = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                        F.max("_same").alias("same")).first()
+    if (totals.same or 0) > 1:
+        found = staged.where(F.col(_SAME) > 1).select(*by).first()
+        raise ValueError(f"more than one row for {found.asDict()}")
     numbered = join_small(staged, offsets, [*keys, _PART], rows=totals.blocks)
     result = numbered.select(*df.columns, (F.col("_shift") + F.col(_ROW)).alias(POS), SIZE)
     return OrderedRows(result, order, keys, totals.rows, bucket_rows)

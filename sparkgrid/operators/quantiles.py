@@ -34,7 +34,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
     """
     keys = list(keys)
     group = [*keys, NAME]
-    entries = F.array(*[F.struct(F.lit(n).alias(NAME), e.cast("double").alias(VALUE))
+    # Adding zero makes -0.0 a plain zero, so that both ways return the same.
+    entries = F.array(*[F.struct(F.lit(n).alias(NAME), (e.cast("double") + 0.0).alias(VALUE))
                         for n, (e, _) in wanted.items()])
     values = df.select(*keys, F.inline(entries)).where(F.col(VALUE).isNotNull())
     probabilities = F.map_from_arrays(
@@ -93,7 +94,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
     )
     points = known.unionByName(found)
     low, high = F.min_by("v", "k"), F.max_by("v", "k")
-    return points.groupBy(*group, "p", "n").agg((low + (high - low) * _fraction()).alias("q"))
+    return points.groupBy(*group, "p", "n").agg(low.alias("_low"), high.alias("_high")).select(
+        *group, "p", "n", _between(F.col("_low"), F.col("_high")).alias("q"))
 
 
 def _by_aggregate(values: DataFrame, group: list[str], wanted: Mapping[str, tuple[Column, list[float]]],
@@ -108,9 +110,10 @@ def _by_aggregate(values: DataFrame, group: list[str], wanted: Mapping[str, tupl
     return rows.select(*group, "p", "n", "q")
 
 
-def _fraction() -> Column:
+def _between(low: Column, high: Column) -> Column:
+    """Linear interpolation as the built-in ``percentile`` has it, to the last digit and for infinities."""
     rank = (F.col("n") - 1) * F.col("p")
-    return rank - F.floor(rank)
+    return F.when(low == high, low).otherwise((F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high)
 
 
 def _rank_in_window(distinct_values: DataFrame, cell: list[str]) -> DataFrame:

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from sparkgrid.constants import MONTH_NAMES, SEASONS
 from sparkgrid.functions.calendar import day_label, season, week_label
 from sparkgrid.functions.columns import share
+from sparkgrid.operators.clean import date_slice
+from sparkgrid.session import join_keys
+
+# Longest array of empty bins in one row.
+MAX_BINS = 4_096
 
 
 def mean_by(df: DataFrame, unit: Column, name: str, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
@@ -35,12 +40,15 @@ def weekday_weekend_by_hour(df: DataFrame, column: str, ts: str = "ts", keys: It
     )
 
 
-def by_season(df: DataFrame, columns: list[str], ts: str = "ts") -> DataFrame:
+def by_season(df: DataFrame, columns: list[str], ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
     """Mean per season in fixed order (``ordinal``); a season without rows is present with NULLs."""
+    keys = list(keys)
     names = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(s).alias("season")) for i, s in enumerate(SEASONS)])
-    seasons = df.sparkSession.range(1).select(F.inline(names))
-    means = mean_by(df, season(F.month(ts)), "season", columns)
-    return seasons.join(means, "season", "left").select("ordinal", "season", *columns)
+    means = mean_by(df, season(F.month(ts)), "season", columns, keys)
+    series = means.select(*keys).distinct() if keys else df.sparkSession.range(1)
+    seasons = series.select(*keys, F.inline(names))
+    return join_keys(seasons, means, [*keys, "season"], "left", known=["season"]).select(
+        *keys, "ordinal", "season", *columns)
 
 
 def yearly_summary(df: DataFrame, decimals: int = 0, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
@@ -71,7 +79,12 @@ def add_empty_bins(means: DataFrame, label: str, step: Column, keys: Iterable[st
     keys = list(keys)
     ahead = means.withColumn("_next", F.lead(label).over(Window.partitionBy(*keys).orderBy(label)))
     until = F.coalesce(F.col("_next") - step, F.col(label))
-    bins = ahead.withColumn("_bin", F.explode(F.sequence(F.col(label), until, step)))
+    # Over a gap of centuries a single array of bins could outgrow a row, so it is made in two steps.
+    stretch = step * MAX_BINS
+    starts = ahead.withColumn("_until", until).withColumn(
+        "_start", F.explode(F.sequence(F.col(label), F.col("_until"), stretch)))
+    end = F.least(F.col("_until"), F.col("_start") + stretch - step)
+    bins = starts.withColumn("_bin", F.explode(F.sequence(F.col("_start"), end, step)))
     first = F.col("_bin") == F.col(label)
     others = [c for c in means.columns if c not in (label, *keys)]
     return bins.select(*keys, F.col("_bin").alias(label), *[F.when(first, F.col(c)).alias(c) for c in others])
@@ -94,17 +107,22 @@ def resample(df: DataFrame, unit: str, ts: str = "ts", keys: Iterable[str] = (),
     return every.select(*keys, F.col("_label").cast(df.schema[ts].dataType).alias(ts), *columns)
 
 
-def years(df: DataFrame, ts: str = "ts") -> DataFrame:
+def years(df: DataFrame, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
     """Distinct years in order."""
-    return df.select(F.year(ts).alias("year")).distinct().orderBy("year")
+    return df.select(*keys, F.year(ts).alias("year")).distinct().orderBy(*keys, "year")
 
 
-def months(df: DataFrame, year: int, ts: str = "ts") -> DataFrame:
-    """Distinct months of one year in order."""
-    return df.where(F.year(ts) == year).select(F.month(ts).alias("month")).distinct().orderBy("month")
+def months(df: DataFrame, year: int, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """Distinct months of one year in order; the year is a range of the scan."""
+    rows = date_slice(df.select(*keys, ts), year, ts=ts)[0]
+    return rows.select(*keys, F.month(ts).alias("month")).distinct().orderBy(*keys, "month")
 
 
-def fullest_year(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """The year with most rows; the earliest of equals."""
-    counted = df.groupBy(F.year(ts).alias("year")).agg(F.count("*").alias("rows"))
-    return counted.orderBy(F.desc("rows"), "year").limit(1)
+def fullest_year(df: DataFrame, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """The year with most rows, of each series; the earliest of equals."""
+    keys = list(keys)
+    counted = df.groupBy(*keys, F.year(ts).alias("year")).agg(F.count("*").alias("rows"))
+    if not keys:
+        return counted.orderBy(F.desc("rows"), "year").limit(1)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("rows"), "year"))
+    return counted.withColumn("_place", place).where("_place = 1").drop("_place")

@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkgrid.constants import HISTOGRAM_BINS
 from sparkgrid.functions.columns import share
 from sparkgrid.operators.quantiles import exact_quantiles
-from sparkgrid.session import one_row
+from sparkgrid.session import join_keys, join_small, stage
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def describe(df: DataFrame, columns: list[str] | None = None, decimals: int = 1) -> DataFrame:
+def describe(df: DataFrame, columns: list[str] | None = None, decimals: int = 1,
+             keys: Iterable[str] = ()) -> DataFrame:
     """Per column: count, mean, std, min, exact quartiles, max, rounded half to even."""
-    columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+    keys = list(keys)
+    columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in keys]
     stats = [F.struct(
         F.lit(c).alias("column"),
         F.count(c).alias("count"),
@@ -28,46 +30,48 @@ def describe(df: DataFrame, columns: list[str] | None = None, decimals: int = 1)
         F.min(c).cast("double").alias("min"),
         F.max(c).cast("double").alias("max"),
     ) for c in columns]
-    moments = df.agg(F.array(*stats).alias("_all")).select(F.inline("_all"))
+    moments = df.groupBy(*keys).agg(F.array(*stats).alias("_all")).select(*keys, F.inline("_all"))
     quartiles = (
-        exact_quantiles(df, {c: (F.col(c), list(QUARTILES.values())) for c in columns})
-        .groupBy(F.col("name").alias("column"))
+        exact_quantiles(df, {c: (F.col(c), list(QUARTILES.values())) for c in columns}, keys)
+        .groupBy(*keys, F.col("name").alias("column"))
         .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in QUARTILES.items()])
     )
-    both = moments.join(quartiles, "column", "left")
-    return both.select("column", "count", *[F.bround(c, decimals).alias(c)
+    both = join_keys(moments, quartiles, [*keys, "column"], "left", known=["column"])
+    return both.select(*keys, "column", "count", *[F.bround(c, decimals).alias(c)
                                             for c in ("mean", "std", "min", *QUARTILES, "max")])
 
 
-def preview(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row: number of rows and columns, first and last time."""
-    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"),
-                  F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+def preview(df: DataFrame, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: number of rows and columns, first and last time."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"),
+                                 F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    return df.dtypes
+def column_types(df: DataFrame) -> DataFrame:
+    """(position, column, type), one row per column of the table."""
+    return df.sparkSession.createDataFrame(
+        [(k, *pair) for k, pair in enumerate(df.dtypes)], "position int, column string, type string")
 
 
-def extremes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: mean, min and max of each column."""
+def extremes(df: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: mean, min and max of each column."""
     aggs = []
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    return df.agg(*aggs)
+    return df.groupBy(*keys).agg(*aggs)
 
 
-def axis_limits(df: DataFrame, columns: list[str]) -> DataFrame:
+def axis_limits(df: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
     """Lower and upper limit of a chart that shows all of the columns: min × 0.95 and max × 1.05."""
     low, high = [F.min(c) for c in columns], [F.max(c) for c in columns]
-    return df.agg((F.least(*low) if len(low) > 1 else low[0]).alias("low"),
+    return df.groupBy(*keys).agg((F.least(*low) if len(low) > 1 else low[0]).alias("low"),
                   (F.greatest(*high) if len(high) > 1 else high[0]).alias("high")
-                  ).select((F.col("low") * 0.95).alias("low"), (F.col("high") * 1.05).alias("high"))
+                  ).select(*keys, (F.col("low") * 0.95).alias("low"), (F.col("high") * 1.05).alias("high"))
 
 
-def kpis(df: DataFrame) -> DataFrame:
-    """One row: mean gap, demand, solar and wind; per cent of rows in deficit and in surplus."""
-    return df.agg(
+def kpis(df: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: mean gap, demand, solar and wind; per cent of rows in deficit and in surplus."""
+    return df.groupBy(*keys).agg(
         F.avg("pred_gap").alias("avg_gap"),
         F.avg("pred_demand").alias("avg_demand"),
         F.avg("pred_solar").alias("avg_solar"),
@@ -77,18 +81,20 @@ def kpis(df: DataFrame) -> DataFrame:
     )
 
 
-def gap_shares(df: DataFrame, gap: str) -> DataFrame:
-    """One row: per cent of rows in deficit (> 0) and in surplus (<= 0)."""
-    return df.agg(share(F.col(gap) > 0).alias("pct_deficit"), share(F.col(gap) <= 0).alias("pct_surplus"))
+def gap_shares(df: DataFrame, gap: str, keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: per cent of rows in deficit (> 0) and in surplus (<= 0)."""
+    return df.groupBy(*keys).agg(share(F.col(gap) > 0).alias("pct_deficit"), share(F.col(gap) <= 0).alias("pct_surplus"))
 
 
-def frequency(df: DataFrame, column: str) -> DataFrame:
-    """(column, rows, pct) in descending order of rows; equals in order of the value."""
-    counted = df.groupBy(column).agg(F.count("*").alias("rows"))
-    total = one_row(counted.agg(F.sum("rows").alias("total")))
-    shared = counted.withColumn("_all", total)
-    return shared.select(column, "rows", (F.col("rows") / F.col("_all.total") * 100).alias("pct")).orderBy(
-        F.desc("rows"), column)
+def frequency(df: DataFrame, column: str, keys: Iterable[str] = ()) -> DataFrame:
+    """(keys…, column, rows, pct) in descending order of rows; equals in order of the value.
+
+    The totals come from the grouped rows, so the data are read once.
+    """
+    keys = list(keys)
+    counted = df.groupBy(*keys, column).agg(F.count("*").alias("rows"))
+    total = F.sum("rows").over(Window.partitionBy(*keys))
+    return counted.withColumn("pct", F.col("rows") / total * 100).orderBy(*keys, F.desc("rows"), column)
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -97,8 +103,8 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(first, second, corr) for every pair below the diagonal of the matrix, pairwise complete.
+def correlation_pairs(df: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
+    """(keys…, first, second, corr) for every pair below the diagonal of the matrix, pairwise complete.
 
     Each row yields its pairs, which are summed up before the shuffle; only one
     partial state per pair and task is exchanged.
@@ -106,33 +112,45 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [F.struct(F.lit(b).alias("first"), F.lit(a).alias("second"),
                       F.col(b).cast("double").alias("x"), F.col(a).cast("double").alias("y"))
              for a, b in combinations(columns, 2)]
-    rows = df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    found = rows.groupBy("first", "second").agg(
+    rows = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    found = rows.groupBy(*keys, "first", "second").agg(
         F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
     return found
 
 
-def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """One row with one correlation per name."""
-    return df.agg(*[correlation(F.col(a), F.col(b)).alias(n) for n, (a, b) in pairs.items()])
+def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]], keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series with one correlation per name."""
+    return df.groupBy(*keys).agg(*[correlation(F.col(a), F.col(b)).alias(n) for n, (a, b) in pairs.items()])
 
 
-def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """(bin 1…bins, low, high, rows): equal bins from min to max, the last one closed.
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, keys: Iterable[str] = ()) -> DataFrame:
+    """(keys…, bin 1…bins, low, high, rows): equal bins from min to max, the last one closed.
 
-    A constant column gets bins over ± 0.5 around its value.
+    A constant column gets bins over ± 0.5 around its value. Each series has
+    its own range; one without known values has no rows.
     """
-    ends = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return histograms(df, {column: column}, bins, keys).drop("name")
+
+
+def histograms(df: DataFrame, columns: Mapping[str, str], bins: int = HISTOGRAM_BINS,
+               keys: Iterable[str] = ()) -> DataFrame:
+    """(keys…, name, bin, low, high, rows): the histograms of several columns, in two passes for all of them."""
+    keys = list(keys)
+    group = [*keys, "name"]
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("_value")) for n, c in columns.items()])
+    values = df.select(*keys, F.inline(entries)).where(F.col("_value").isNotNull())
+    ends = values.groupBy(*group).agg(F.min("_value").alias("lo"), F.max("_value").alias("hi"))
     half = F.when(F.col("lo") == F.col("hi"), 0.5).otherwise(0.0)
-    ends = ends.select((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi"))
-    located = df.select(column).where(F.col(column).isNotNull()).withColumn("_e", one_row(ends))
-    number = F.least(F.width_bucket(F.col(column), F.col("_e.lo"), F.col("_e.hi"), F.lit(bins)), F.lit(bins))
-    counted = located.groupBy(number.cast("int").alias("bin")).agg(F.count("*").alias("rows"))
+    # One row per series and column, read by both joins.
+    ends = stage(ends.select(*group, (F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi")), "ends")
+    number = F.least(F.width_bucket(F.col("_value"), F.col("lo"), F.col("hi"), F.lit(bins)), F.lit(bins))
+    counted = join_small(values, ends, group).groupBy(*group, number.cast("int").alias("bin")).agg(
+        F.count("*").alias("rows"))
     width = (F.col("hi") - F.col("lo")) / bins
-    every = ends.where(F.col("lo").isNotNull()).select(
-        "lo", width.alias("width"), F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    return every.join(counted, "bin", "left").select(
-        "bin",
+    every = ends.select(*group, "lo", width.alias("width"),
+                        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    return join_keys(every, counted, [*group, "bin"], "left", known=["name", "bin"]).select(
+        *group, "bin",
         (F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"),
         (F.col("lo") + F.col("bin") * F.col("width")).alias("high"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
@@ -169,29 +187,31 @@ def metrics(df: DataFrame, actual: str, predicted: Mapping[str, str], keys: Iter
     )
 
 
-def forecast_error(df: DataFrame, error: str = "forecast_error") -> DataFrame:
-    """One row: mean absolute and mean signed error over known rows."""
-    return df.agg(F.avg(F.abs(F.col(error))).alias("mae"), F.avg(error).alias("mean_error"))
+def forecast_error(df: DataFrame, error: str = "forecast_error", keys: Iterable[str] = ()) -> DataFrame:
+    """One row per series: mean absolute and mean signed error over known rows."""
+    return df.groupBy(*keys).agg(F.avg(F.abs(F.col(error))).alias("mae"), F.avg(error).alias("mean_error"))
 
 
-def error_by_hour(df: DataFrame, actual: str, predicted: Mapping[str, str], ts: str = "ts") -> DataFrame:
+def error_by_hour(df: DataFrame, actual: str, predicted: Mapping[str, str], ts: str = "ts",
+                  keys: Iterable[str] = ()) -> DataFrame:
     """Mean absolute error per hour, one column per model."""
-    return df.groupBy(F.hour(ts).alias("hour")).agg(
+    return df.groupBy(*keys, F.hour(ts).alias("hour")).agg(
         *[F.avg(F.abs(F.col(actual) - F.col(c))).alias(n) for n, c in predicted.items()])
 
 
-def model_comparison(df: DataFrame, actual: str, predicted: Mapping[str, str], baseline: str) -> DataFrame:
+def model_comparison(df: DataFrame, actual: str, predicted: Mapping[str, str], baseline: str,
+                     keys: Iterable[str] = ()) -> DataFrame:
     """Metrics per model, its improvement over the baseline model in per cent, and a verdict.
 
     ``baseline`` is one of the names in ``predicted``; its own row has no improvement.
     """
-    table = metrics(df, actual, predicted)
-    base = one_row(table.where(F.col("model") == baseline).select("mae"), "mae")
-    compared = table.withColumn("_base", base)
+    keys = list(keys)
+    base = F.max(F.when(F.col("model") == baseline, F.col("mae"))).over(Window.partitionBy(*keys))
+    compared = metrics(df, actual, predicted, keys).withColumn("_base", base)
     improvement = F.when(F.col("model") != baseline,
-                         F.try_divide(F.col("_base.mae") - F.col("mae"), F.col("_base.mae")) * 100)
+                         F.try_divide(F.col("_base") - F.col("mae"), F.col("_base")) * 100)
     return compared.select(
-        "model", "rows", "mae", "rmse", "r2",
+        *keys, "model", "rows", "mae", "rmse", "r2",
         improvement.alias("improvement_pct"),
         F.when(F.col("model") == baseline, "baseline").when(improvement > 0, "better").otherwise("worse")
         .alias("verdict"),

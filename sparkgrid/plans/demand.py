@@ -9,10 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.operators.clean import require_unique
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.operators.models import demand_boosted, demand_forest, score
 from sparkgrid.operators.stats import model_comparison
+from sparkgrid.session import stage
 
 MODELS = {"gbt": "pred_gbt", "rf": "pred_rf"}
 
@@ -33,8 +33,8 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     the comparison only, so rows without one are not dropped.
     """
     keys = list(keys)
-    # Read by two fits, by scoring and by the comparison; the split has written the rows once.
-    rows = require_unique(time_split(demand_features(clean, ts, keys), ts=ts, keys=keys), ts, keys)
+    # Read by two fits and by scoring; the split has written the rows once, and found their times unique.
+    rows = time_split(demand_features(clean, ts, keys), ts=ts, keys=keys)
     train = rows.where(F.col("split") == "train")
     models = {"gbt": demand_boosted(train, gbt_rounds, gbt_depth), "rf": demand_forest(train, rf_trees, rf_depth)}
     scored = rows
@@ -44,12 +44,13 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     if "load_forecast" in scored.columns:
         scored = scored.withColumnRenamed("load_forecast", "baseline_forecast")
         columns.append("baseline_forecast")
-    scored = scored.select(*columns, "split")
+    # Written, so that no reader runs the trees again.
+    scored = stage(scored.select(*columns, "split"), "scored")
     predictions = scored.where(F.col("split") == "test").drop("split")
-    return DemandResult(models, predictions, compare(predictions), scored)
+    return DemandResult(models, predictions, compare(predictions, keys), scored)
 
 
-def compare(predictions: DataFrame) -> DataFrame:
+def compare(predictions: DataFrame, keys: Iterable[str] = ()) -> DataFrame:
     """Metrics of the model columns present, against the forecast column if present."""
     present = {n: c for n, c in {**MODELS, "baseline": "baseline_forecast"}.items() if c in predictions.columns}
-    return model_comparison(predictions, "load_actual", present, "baseline")
+    return model_comparison(predictions, "load_actual", present, "baseline", keys)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +52,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application for later removal."""
-    app = spark.conf.get("spark.app.id", "session")
-    return f"{shared_folder(spark)}/sparkgrid/{app}/{label}-{uuid.uuid4().hex}"
+    scope = "".join(f"/{name}" for name in _scopes)
+    return f"{application_folder(spark)}{scope}/{label}-{uuid.uuid4().hex}"
+
+
+def application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/sparkgrid/{spark.conf.get('spark.app.id', 'session')}"
+
+
+_scopes: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Owner of the tables staged inside: they are dropped at its end.
+
+    Results that still read them must be written or collected before.
+    """
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = f"{application_folder(spark)}/{'/'.join(_scopes)}"
+    try:
+        yield folder
+    finally:
+        _scopes.pop()
+        remove_folder(spark, folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "table") -> DataFrame:
@@ -88,13 +119,16 @@ def table_size(small: DataFrame) -> tuple[int, int]:
     return row.rows, row.bytes
 
 
-def join_keys(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a NULL key meets a NULL key; the key columns come from the left side."""
+def join_keys(df: DataFrame, other: DataFrame, on: list[str], how: str = "inner",
+              known: Iterable[str] = ()) -> DataFrame:
+    """Equi-join in which a NULL key meets a NULL key; the key columns come from the left side.
+
+    ``known`` are key columns that are not NULL, or whose NULLs must not meet.
+    """
     taken = [f"_right_{c}" for c in on]
     renamed = other.withColumnsRenamed(dict(zip(on, taken)))
-    condition = F.lit(True)
-    for c, t in zip(on, taken):
-        condition = condition & df[c].eqNullSafe(renamed[t])
+    condition = reduce(lambda a, b: a & b, [
+        df[c] == renamed[t] if c in known else df[c].eqNullSafe(renamed[t]) for c, t in zip(on, taken)])
     return df.join(renamed, condition, how).drop(*taken)
 
 

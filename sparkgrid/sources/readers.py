@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkgrid.constants import CLEANING_COLUMNS, RAW_TIME
+from sparkgrid.constants import CLEANING_COLUMNS, RAW_TIME, TEXT_COLUMNS
 from sparkgrid.functions.columns import nan_to_null
+from sparkgrid.session import join_keys
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
@@ -61,13 +62,20 @@ def read_short(spark: SparkSession, path: str, mapping: Mapping[str, str] = CLEA
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None,
-               ts: str = "ts") -> DataFrame:
-    """An intermediate table; CSV takes its schema, or is read as doubles around the time."""
+               ts: str = "ts", text: Iterable[str] = ()) -> DataFrame:
+    """An intermediate table; CSV takes its schema.
+
+    Without one the time is a timestamp, the columns that hold text in the
+    package's own tables (``TEXT_COLUMNS``) and those in ``text`` stay text, and
+    all others are numbers.
+    """
     if fmt != "csv":
         return spark.read.format(fmt).load(path)
     if schema is None:
-        schema = T.StructType([T.StructField(c, T.TimestampType() if c == ts else T.DoubleType())
-                               for c in csv_columns(spark, path)])
+        words = {*TEXT_COLUMNS, *text}
+        schema = T.StructType([
+            T.StructField(c, T.TimestampType() if c == ts else T.StringType() if c in words else T.DoubleType())
+            for c in csv_columns(spark, path)])
     return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
 
 
@@ -107,4 +115,4 @@ def demand_source(actuals: DataFrame, predictions: DataFrame | None, models: Ite
     column = next((m for m in models if m in predictions.columns), "load_actual")
     known = predictions.select(*keys, ts, F.col("load_actual").alias("actual_demand"),
                                F.col(column).alias("pred_demand"))
-    return known.join(actuals.select(*keys, ts), [*keys, ts])
+    return join_keys(known, actuals.select(*keys, ts), [*keys, ts], known=[ts])

@@ -10,17 +10,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from sparkgrid.constants import THRESHOLD_NAMES
 from sparkgrid.operators.levels import classify
 from sparkgrid.session import staging_path
 
 
-def threshold_numbers(thresholds: DataFrame) -> dict[str, float]:
-    """The single row of a threshold table as numbers."""
-    row = thresholds.select(*THRESHOLD_NAMES).first()
-    return {name: row[name] for name in THRESHOLD_NAMES}
-
-
 def classify_stream(stream: DataFrame, thresholds: Mapping[str, float], gap: str = "pred_gap") -> DataFrame:
     return classify(stream, gap, thresholds)
 
