@@ -56,11 +56,12 @@ def exact_dedup(df: DataFrame, text: str = "text", id_column: str = "doc_id") ->
         normal = F.encode(ascii_lower(text_or_empty(f"row.`{text}`")), "UTF-8")
         keys = ["group", "size", "digit"]
         members = active.select("uid", "group", "size", "row", F.substring(normal, start + 1, width).alias("digit"))
-        groups = members.groupBy(*keys).agg(
-            F.max(F.struct(own_id.alias("id"), "uid")).alias("keep"), F.count("*").alias("members"))
+        # Written, so that the join is a stage of its own in which a large group can be split.
+        groups = stage(members.groupBy(*keys).agg(
+            F.max(F.struct(own_id.alias("id"), "uid")).alias("keep"), F.count("*").alias("members")), "groups")
         split = stage(
-            members.join(groups, keys).select(
-                members["uid"], F.col("keep.uid").alias("group"), F.col("keep.id").alias("keep_id"), "members", "size", "row"),
+            join_small(members, groups, keys).select(
+                "uid", F.col("keep.uid").alias("group"), F.col("keep.id").alias("keep_id"), "members", "size", "row"),
             "split")
         start, width = start + width, width * GROWTH
         ended = (F.col("members") == 1) | (F.col("size") <= start)
