@@ -181,11 +181,12 @@ def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> pa.Rec
     lengths = np.concatenate([c[1:1 + c[0]] for c in coded]).astype(np.int64)
     values = np.concatenate([c[1 + c[0]:] for c in coded])
     starts = np.cumsum(lengths) - lengths
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     stream = place[unsqueeze(head["stream"].as_py())]
-    ids = gather(values, starts[stream], lengths[stream]).astype(np.int32)
-    per_document = row_sums(lengths[stream], unsqueeze(head["pieces"].as_py()).astype(np.int64))
+    counts = lengths[stream]
+    ids = gather(values, starts[stream], counts).view(np.int32)
+    per_document = row_sums(counts, unsqueeze(head["pieces"].as_py()).astype(np.int64))
     ends = np.concatenate(([0], np.cumsum(per_document))).astype(np.int32)
     rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(schema.field("ids").type)
     return pa.RecordBatch.from_arrays([head["ids"].values.cast(schema.field("id").type), rows], schema=schema)
@@ -229,11 +230,13 @@ def round_trip(encoded: DataFrame, path: str) -> DataFrame:
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table = token_table(path)
         numbers = [str(i) for i in range(len(table))]
+        def row(ids: list[int]) -> tuple[str, str]:
+            written = " ".join([numbers[i] for i in ids]).encode()
+            return hashlib.sha256(written).hexdigest(), hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest()
+
         for batch in batches:
-            ids = [v.tolist() for v in batch]
-            yield pd.DataFrame({
-                "ids_sha256": [hashlib.sha256(" ".join([numbers[i] for i in v]).encode()).hexdigest() for v in ids],
-                "decoded_sha256": [hashlib.sha256(b"".join([table[i] for i in v])).hexdigest() for v in ids]})
+            # One document at a time: as Python numbers the ids of a batch would take ten times their size.
+            yield pd.DataFrame([row(v.tolist()) for v in batch], columns=["ids_sha256", "decoded_sha256"])
 
     return encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), digests("ids").alias("d")).select(
         "id", "n_tokens", "d.*")
