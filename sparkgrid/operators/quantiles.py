@@ -22,6 +22,8 @@ AGGREGATE_ROWS = 100_000
 WINDOW_ROWS = 1_000_000
 
 NAME, VALUE = "name", "value"
+# Names of result and helper columns.
+RESERVED = {NAME, VALUE, "n", "p", "k", "v", "q", "c", "lo", "hi", "bin", "first", "start", "least", "most"}
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float]]], keys: Iterable[str] = (),
@@ -33,6 +35,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, list[float
     without values has no rows.
     """
     keys = list(keys)
+    if clash := RESERVED & {*keys}:
+        raise ValueError(f"series keys may not be named {sorted(clash)}")
     group = [*keys, NAME]
     # Adding zero makes -0.0 a plain zero, so that both ways return the same.
     entries = F.array(*[F.struct(F.lit(n).alias(NAME), (e.cast("double") + 0.0).alias(VALUE))
