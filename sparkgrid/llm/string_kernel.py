@@ -33,6 +33,7 @@ SEPARATOR = "\0" * (WINDOW + SPAN)
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 PLANE = 0x30000
 CHUNK = 1 << 16
+BLOCK_ROWS = 2048
 
 
 def letter_codes(letters: str) -> np.ndarray:
@@ -154,7 +155,11 @@ class Landmarks:
         return out
 
     def project(self, windows: np.ndarray) -> np.ndarray:
-        return self.kernel(windows) @ self.basis
+        out = np.empty((len(windows), self.basis.shape[1]), np.float32)
+        for start in range(0, len(windows), BLOCK_ROWS):
+            part = slice(start, start + BLOCK_ROWS)
+            out[part] = self.kernel(windows[part]) @ self.basis
+        return out
 
     def table(self, coefficients: np.ndarray) -> np.ndarray:
         """Weight of each feature under a linear decision on the projected windows."""
@@ -165,17 +170,25 @@ class Landmarks:
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float,
                            steps: int = 25) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by Newton steps in the primal; ``y`` is -1 or 1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    ridge = np.full(x1.shape[1], penalty)
+    """Linear machine with squared hinge loss, by Newton steps in the primal; ``y`` is -1 or 1.
+
+    Gradient and curvature are summed over blocks of rows, so that no copy of ``x`` is made.
+    """
+    size = x.shape[1] + 1
+    ridge = np.full(size, penalty)
     ridge[-1] = 1e-6
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(size)
     for _ in range(steps):
-        short = 1 - y * (x1 @ w)
-        active = short > 0
-        xa, wa = x1[active], weight[active]
-        gradient = ridge * w - xa.T @ (wa * y[active] * short[active])
-        step = np.linalg.solve(np.diag(ridge) + (xa * wa[:, None]).T @ xa, gradient)
+        gradient, curve = ridge * w, np.diag(ridge)
+        for start in range(0, len(x), BLOCK_ROWS):
+            part = slice(start, start + BLOCK_ROWS)
+            x1 = np.hstack([x[part], np.ones((len(x[part]), 1), x.dtype)]).astype(np.float64)
+            short = 1 - y[part] * (x1 @ w)
+            active = short > 0
+            xa, wa = x1[active], weight[part][active]
+            gradient -= xa.T @ (wa * y[part][active] * short[active])
+            curve += (xa * wa[:, None]).T @ xa
+        step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
             break

@@ -135,6 +135,7 @@ def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7)
         weight = np.where(sign > 0, 0.5 / max((sign > 0).sum(), 1), 0.5 / max((sign < 0).sum(), 1)) * len(sign)
         coefficients, constant = sk.support_vector_machine(landmarks.project(windows), sign, weight, PENALTY)
         table = landmarks.table(coefficients)
+        del landmarks
 
     x = document_features([t for t, h in zip(texts, held) if h], codes, table, constant)
     target = toxic[held] == 1
@@ -175,7 +176,8 @@ def _contrast(trained: list[tuple[str, int]], codes: np.ndarray) -> np.ndarray:
         positive = signs[pairs // size] > 0
         np.add.at(toxic, pairs[positive] % size, np.float32(1))
         np.add.at(clean, pairs[~positive] % size, np.float32(1))
-    return np.log(toxic / clean) - np.float32(np.log(share / (1 - share)))
+    toxic /= clean
+    return np.log(toxic, out=toxic) - np.float32(np.log(share / (1 - share)))
 
 
 def _witnesses(trained: list[tuple[str, int]], codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
