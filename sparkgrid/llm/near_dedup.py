@@ -244,9 +244,10 @@ def _long_list_links(members: DataFrame, shared: DataFrame) -> DataFrame:
     """Compare the members of a list block by block; a large component has blocks of its own."""
     counts = members.groupBy("list", "label").agg(F.count("*").alias("c"))
     large = F.col("c") >= BLOCK
-    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("length")) / BLOCK)
+    rest = counts.groupBy("list").agg(F.sum(F.when(large, 0).otherwise(F.col("c"))).alias("rest"))
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK)
     dealt = F.when(large, F.xxhash64("uid")).otherwise(F.xxhash64("label"))
-    homes = stage(members.join(counts, ["list", "label"]).select(
+    homes = stage(members.join(counts, ["list", "label"]).join(rest, "list").select(
         "list", "uid", "label", F.when(large, F.col("label")).otherwise(-1).alias("home"),
         F.pmod(dealt, parts).alias("part")), "homes")
     blocks = stage(homes.select("list", "home", "part").distinct(), "blocks")
