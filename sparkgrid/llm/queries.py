@@ -88,3 +88,20 @@ def op7_quality_rules(spark, sf_dir):
 def op8_secret_scan(spark, sf_dir):
     found = secret_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+# All pairs of sets with a common shingle, and the reach of each document over the links.
+SQL["op10_minhash_near_dedup"] = """
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce("text", ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b
+  where 100 * c >= 75 * (x.n + y.n - c)),
+r as (select doc_id, doc_id reached from w union select r.doc_id, e.b from r join e on e.a = r.reached)
+select w.doc_id, coalesce(n.n, 0) n_shingles, m.component_id, w.doc_id = m.component_id kept
+  from w left join n on n.doc_id = w.doc_id join (select doc_id, min(reached) component_id from r group by 1) m
+  on m.doc_id = w.doc_id
+"""
