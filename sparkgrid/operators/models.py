@@ -40,10 +40,14 @@ def demand_boosted(train: DataFrame, rounds: int = 500, depth: int = 6) -> Pipel
     return boosted_trees(train, DEMAND_FEATURES, "load_actual", rounds, depth)
 
 
-def demand_forest(train: DataFrame, trees: int = 200, depth: int = 20) -> PipelineModel:
-    """Random forest; nodes of fewer than five rows need not split, here by a leaf minimum of two."""
+def demand_forest(train: DataFrame, trees: int = 200, depth: int = 20, memory_mb: int = 256) -> PipelineModel:
+    """Random forest; nodes of fewer than five rows need not split, here by a leaf minimum of two.
+
+    ``memory_mb`` bounds the histograms of one pass; more of it means fewer passes over large tables.
+    """
     return _fit(train, DEMAND_FEATURES, "load_actual", RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, checkpointInterval=10))
+        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, checkpointInterval=10,
+        maxMemoryInMB=memory_mb))
 
 
 def solar_boosted(train: DataFrame, rounds: int = 400, depth: int = 6) -> PipelineModel:
