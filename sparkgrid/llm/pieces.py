@@ -48,6 +48,9 @@ class Ragged:
         self.rows += 1
         self.ends[self.rows] = end
 
+    def row(self, k: int) -> np.ndarray:
+        return self.values[self.ends[k]:self.ends[k + 1]]
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen rows one after another, and their lengths."""
         starts = self.ends[rows]

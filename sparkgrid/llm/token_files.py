@@ -15,6 +15,7 @@ hot id is split between shards; an empty table gives an empty file table.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -33,18 +34,32 @@ from sparkgrid.session import join_small, staging_path
 
 END = 2
 SEGMENT = 1 << 18
-CACHE = 300_000
+CACHE = 450_000
 GROUP_CHARS = 1 << 19
 
 WHITE = "\n\t\r\x0b\x0c"
+# A word of letters that no normalization changes but for their case, and at most one sign after it: two pre-tokens.
+PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
 FILE_COLUMNS = "shard int, segment int, n_docs long, n_ids long, ids array<{id}>, lengths binary, words binary, offsets binary"
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves."""
+    out, spare = [], 256
+    for b in range(256):
+        printable = 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE
+        out.append(chr(b if printable else spare))
+        spare += not printable
+    return out
+
+
 class PieceIds:
     """Ids of pieces between ASCII white space, for a tokenizer that drops white space; lives in a worker."""
 
     def __init__(self, path: str, limit: int = CACHE):
         self.tokenizer, self.added, self.limit = load_tokenizer(path), added_tokens(path), limit
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
@@ -60,6 +75,18 @@ class PieceIds:
         # The tokenizer lowers case itself; for ASCII it can as well be done for all pieces at once.
         return (text.lower() if text.isascii() else text).split(" ")
 
+    def ids_of(self, ids: list[int]) -> int:
+        self.ids.append(ids)
+        return len(self.ids) - 1
+
+    def word(self, word: str) -> int:
+        """Row of the ids of one pre-token, from the merges alone; this takes a quarter of a whole encoding."""
+        row = self.known.get(word)
+        if row is None:
+            letters = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
+            row = self.known[word] = self.ids_of([t.id for t in self.model.tokenize(letters)])
+        return row
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and how many each text has."""
         cut = [self.pieces(t) for t in texts]
@@ -68,11 +95,18 @@ class PieceIds:
         if len(self.known) + len(missing) > self.limit and self.known:
             self.forget()
             missing = list(dict.fromkeys(flat))
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
+        others = []
+        for p in missing:
+            plain = PLAIN.fullmatch(p)
+            if plain is None:
+                others.append(p)
+            elif p not in self.known:
+                word, sign = self.word(plain[1].lower()), plain[2]
+                self.known[p] = self.ids_of([*self.ids.row(word), *self.ids.row(self.word(sign))]) if sign else word
+        for start in range(0, len(others), 4096):
+            part = others[start:start + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = len(self.ids)
-                self.ids.append(e.ids)
+                self.known[p] = self.ids_of(e.ids)
         rows = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         values, lengths = self.ids.gather(rows)
         return values, row_sums(lengths, np.fromiter(map(len, cut), np.int64, len(cut)))
