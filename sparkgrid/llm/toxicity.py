@@ -1,6 +1,6 @@
 """Toxicity of whole texts: a subsequence-kernel support vector machine over sentence windows.
 
-Training sees a bounded sample of labelled documents (``MAX_POSITIVE``,
+Training runs in one task on a bounded sample of labelled documents (``MAX_POSITIVE``,
 ``MAX_NEGATIVE``, texts up to ``MAX_CHARS``), cut into sentences that carry the
 label of their document. Only some sentences of a toxic document are toxic, so
 the machine is trained in rounds: each sentence is represented by the window
@@ -20,9 +20,11 @@ share of toxic ones (0.5 without any).
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -48,11 +50,19 @@ BLOCK_CHARS = 1 << 20
 @dataclass
 class ToxicityModel:
     codes: np.ndarray
-    table: np.ndarray
+    numbers: np.ndarray          # of the features that have a weight
+    weights: np.ndarray
     constant: float
     logistic: np.ndarray | None
     share: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The weights of all features, for lookups; made where texts are scored."""
+        out = np.zeros(sk.SIZE ** sk.ORDER, np.float32)
+        out[self.numbers] = self.weights
+        return out
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability that a text is toxic, for each text."""
         if self.logistic is None:
@@ -91,8 +101,8 @@ def document_features(texts: list[str], codes: np.ndarray, table: np.ndarray, co
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id",
-                    label: str = "toxic") -> pd.DataFrame:
-    """(text, toxic) of a bounded sample, the same for the same ids whatever the order of rows."""
+                    label: str = "toxic") -> DataFrame:
+    """(id, text, toxic) of a bounded sample, the same for the same ids whatever the order of rows."""
     known = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1)").dropDuplicates(["id"])
     bodies = docs.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text")).where(
@@ -101,22 +111,34 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_c
     for value, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
         chosen = known.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         parts.append(chosen)
-    rows = join_small(bodies, parts[0].union(parts[1]), ["id"]).dropDuplicates(["id"]).toPandas()
-    return rows.sort_values("id", ignore_index=True)
+    return join_small(bodies, parts[0].union(parts[1]), ["id"]).dropDuplicates(["id"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id",
         label: str = "toxic") -> ToxicityModel:
-    share = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    """Train in one task on the bounded sample; the driver only sees the weights."""
+    ship(docs.sparkSession)
+    found = labels.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = 0.5 if found is None else float(found)
+
+    def train(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch["text"].tolist()
+            toxic += batch["toxic"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit_sample(texts, np.array(toxic, dtype=np.int64), share))]})
+
     sample = training_sample(docs, labels, text, id_column, label)
-    return fit_sample(sample.text.tolist(), sample.toxic.to_numpy(), 0.5 if share is None else float(share))
+    ordered = sample.repartition(1).sortWithinPartitions("id").select("text", "toxic")
+    row = ordered.mapInPandas(train, "model binary").first()
+    return pickle.loads(row.model) if row else fit_sample([], np.zeros(0, np.int64), share)
 
 
 def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7) -> ToxicityModel:
     """``share``: toxic documents among all labelled ones; the sample may hold more of them."""
     held = np.arange(len(texts)) % HELD_BACK == 0
     if min(np.bincount(toxic[held], minlength=2).min(), np.bincount(toxic[~held], minlength=2).min()) < 2:
-        return ToxicityModel(np.zeros(1, np.uint8), np.zeros(1, np.float32), 0.0, None, share)
+        return ToxicityModel(np.zeros(1, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, None, share)
     letters: Counter[str] = Counter()
     for text in texts:
         letters.update(text.lower())
@@ -141,7 +163,9 @@ def fit_sample(texts: list[str], toxic: np.ndarray, share: float, seed: int = 7)
     target = toxic[held] == 1
     found = target.mean()
     weight = np.where(target, share / found, (1 - share) / (1 - found))
-    return ToxicityModel(codes, table, float(constant), sk.logistic_regression(x, target.astype(float), weight), share)
+    numbers = np.flatnonzero(table).astype(np.int32)
+    return ToxicityModel(codes, numbers, table[numbers], float(constant),
+                         sk.logistic_regression(x, target.astype(float), weight), share)
 
 
 def _groups(trained: list[tuple[str, int]]) -> Iterator[tuple[list[str], np.ndarray]]:
