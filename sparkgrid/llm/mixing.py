@@ -2,9 +2,13 @@
 
 Documents are counted once into cells (source, language, topic). Iterative
 proportional fitting scales the cells' token weights until their sums match
-the targets of each margin; a document of a cell is then kept with the
-probability of the cell, in proportion to fitted over found tokens and
-calibrated to a token budget. The cells are few against the documents and stay
+the targets of each margin. A document of a cell is then kept with the
+probability of the cell. No cell can give more tokens than it has, so the
+sample is raked again under that bound: cells that reach probability 1 stay
+there and the others make up for them, until the margins of the sample meet
+their targets within the token budget. A category whose target exceeds all it
+holds is kept whole, and the others of its margin share the rest in proportion
+to their targets (``sample_goals``). The cells are few against the documents and stay
 a distributed table; the documents are read once more for the join with their
 cell's probability. DataFrame functions only.
 
@@ -114,6 +118,50 @@ def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("probability", F.coalesce(F.round(F.least(F.lit(1.0), ratio * F.lit(scale)), 9), F.lit(1.0)))
 
 
+def sample_goals(cells: DataFrame, target: DataFrame, margin: str, budget: float = BUDGET) -> DataFrame:
+    """(margin, goal): tokens of each category in a sample of ``budget`` times all tokens.
+
+    Goals are in proportion to the target shares; a category that has fewer
+    tokens than that is kept whole, and the others share the rest.
+    """
+    found = stage(join_small(cells.groupBy(margin).agg(F.sum("tokens").alias("tokens")),
+                             target.select(margin, F.col("share").cast("double").alias("weight")), [margin],
+                             "left").fillna(0.0, ["weight"]), "goals")
+    return probabilities(found, budget).select(margin, (F.col("tokens") * F.col("probability")).alias("goal"))
+
+
+def rake_sample(cells: DataFrame, targets: dict[str, DataFrame], budget: float = BUDGET, sweeps: int = SWEEPS,
+                tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` of ``rake`` with ``probability``: tokens * probability meets the goals of each margin.
+
+    A factor per category scales the cells, of which none passes 1. Of the
+    cells by falling ratio, let the first k be full: the factor that then meets
+    the goal is (goal - full tokens) / rest, and the largest over all k is the
+    one that holds. Goals that contradict one another end at the last sweep.
+    """
+    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    fitted = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens") * budget))
+    for margin, target in targets.items():
+        goals = sample_goals(cells, target, margin, budget)
+        fitted = join_small(fitted, goals.withColumnRenamed("goal", f"goal_{margin}"), [margin])
+    fitted = stage(fitted, "cells")
+    expected = F.col("tokens") * F.least(F.lit(1.0), F.col("ratio"))
+    for done in range(0, sweeps, SWEEPS_PER_PLAN):
+        if max(_deviation(fitted.withColumn("weight", expected), m) for m in targets) <= tolerance * max(total, 1):
+            break
+        for _ in range(min(SWEEPS_PER_PLAN, sweeps - done)):
+            for margin in targets:
+                falling = Window.partitionBy(margin).orderBy(F.desc("ratio"))
+                full = F.coalesce(F.sum("tokens").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                rest = F.sum(F.col("tokens") * F.col("ratio")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+                factor = F.when(rest > 0, (F.col(f"goal_{margin}") - full) / rest)
+                fitted = fitted.withColumn("factor", factor).withColumn("ratio", F.col("ratio") * F.coalesce(
+                    F.max("factor").over(Window.partitionBy(margin)), F.lit(1.0))).drop("factor")
+        fitted = stage(fitted, "cells")
+    return fitted.withColumn("probability", F.coalesce(
+        F.round(F.least(F.lit(1.0), F.col("ratio")), 9), F.lit(1.0))).drop("ratio", *[f"goal_{m}" for m in targets])
+
+
 def mix(df: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET,
         text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """All rows of ``df`` with source, lang, topic, n_tokens, weight, probability and sampled.
@@ -128,7 +176,7 @@ def mix(df: DataFrame, targets: dict[str, DataFrame] | None = None, budget: floa
     cells = stage(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     if targets is None:
         targets = {m: tempered_targets(cells, m) for m in MARGINS}
-    fitted = stage(probabilities(rake(cells, targets), budget).select(
+    fitted = stage(rake_sample(rake(cells, targets), targets, budget).select(
         *MARGINS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("weight"),
         "probability"), "probabilities")
     joined = join_small(rows, fitted, list(MARGINS))

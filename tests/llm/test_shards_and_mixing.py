@@ -96,3 +96,32 @@ def test_mix_of_nothing(spark):
     blank = data.frame(spark, [(1, None, None, None, None), (2, "", "", "", 0)])
     assert [r.probability for r in mixing.mix(blank).collect()] == [1.0, 1.0]
     assert mixing.sampled_documents(blank).count() == 2
+
+
+def test_sample_meets_all_margins_though_cells_are_full(spark):
+    """One document per cell; expected tokens of the sample against the goals, from dense tables."""
+    rng = np.random.default_rng(5)
+    table, budget = rng.integers(200, 500, (3, 2, 4)), 0.7
+    table[0, 0], table[2, 1, 3], table[1, 0, 0] = 4000, 20, 30
+    kinds = {"legal": "License", "prose": "word", "tabular": "a | b", "technical": "http://x"}
+    starts = {0: "legal", 1: "prose", 2: "tabular", 3: "technical"}
+    rows = []
+    for (i, j, k), n in np.ndenumerate(table):
+        start = kinds[starts[k]]
+        rows.append((len(rows), start + " w" * (int(n) - len(start.split())), f"l{j}", f"s{i}", 1))
+    found = mixing.mix(data.frame(spark, rows), budget=budget).cache()
+    assert found.where("probability = 1").count() > 0
+    names = {"source": [f"s{i}" for i in range(3)], "lang": [f"l{j}" for j in range(2)], "topic": list(kinds)}
+    full = 0
+    for axis, m in enumerate(mixing.MARGINS):
+        held = table.sum(axis=tuple(a for a in range(3) if a != axis)).astype(float)
+        share, whole = held ** mixing.TEMPER, np.zeros(len(held), bool)
+        while True:  # a category that has less than its goal is whole, the others share the rest
+            goal = np.where(whole, held, (budget * table.sum() - held[whole].sum()) * share / share[~whole].sum())
+            if (goal <= held).all():
+                break
+            whole |= goal > held
+        full += whole.sum()
+        sums = {r[0]: r.s for r in found.groupBy(m).agg(F.sum(F.col("n_tokens") * F.col("probability")).alias("s")).collect()}
+        assert [sums[n] for n in names[m]] == pytest.approx(list(goal), abs=1e-5 * table.sum())
+    assert full == 3
