@@ -4,10 +4,11 @@ The patterns give the base spans. The field tags tokens as begin, inside or
 outside of a secret. Its features are the shape of a token, the words and
 shapes around it, and properties of the file; it is trained on a bounded
 sample of documents (``SAMPLE_DOCS`` of up to ``SAMPLE_CHARS`` characters) in
-which the patterns supply the tags, and decoded by Viterbi. Whole texts are
-scanned: tagging runs on every stretch within ``REACH`` tokens of a token with
-a digit or a key word; tokens farther off are outside by definition. Tagged
-spans that touch no base span are added as kind ``crf``.
+which the patterns supply the tags, and decoded by Viterbi over all tokens of
+the text. The scores of a token are sums of table rows; Viterbi then runs
+where tags other than outside can win at all: a bound on what any run of such
+tags gains over outside (``Field.open_runs``) proves the rest to be outside.
+Tagged spans that touch no base span are added as kind ``crf``.
 
 Defined cases: NULL text counts as empty and has no spans; a sample without
 secrets trains a field that adds nothing; NULL ids do not train; repeated rows
@@ -39,8 +40,11 @@ KINDS = ["assign", "access", "hex", "crf"]
 
 SAMPLE_DOCS = 6_000
 SAMPLE_CHARS = 20_000
-REACH = 3
-MIN_LENGTH = 8
+TRAIN_TOKENS = 200_000  # in parts of PART tokens; parts that stand for others count as often
+PART = 40
+CACHED_TOKENS = 100_000
+STEPS_AROUND = (-3, -2, -1, 1, 2)
+MIN_LENGTH = 6
 MIN_SEEN = 3
 STEPS = 120
 RIDGE = 0.5
@@ -85,49 +89,37 @@ def _letters(token: str) -> float:
     return -sum(c / len(token) * math.log2(c / len(token)) for c in counts.values())
 
 
-def stretches(text: str) -> list[list[re.Match]]:
-    """Runs of tokens around each token with a digit or a key word."""
-    lower = text.lower()
-    if not DIGIT.search(text) and not any(k in lower for k in KEY_WORDS):
-        return []
-    tokens = list(TOKEN.finditer(text))
-    runs: list[list[int]] = []
-    for i, m in enumerate(tokens):
-        token = m.group()
-        if DIGIT.search(token) or any(k in token.lower() for k in KEY_WORDS):
-            if runs and i - REACH <= runs[-1][1] + 1:
-                runs[-1][1] = i + REACH
-            else:
-                runs.append([max(i - REACH, 0), i + REACH])
-    return [tokens[a:b + 1] for a, b in runs]
-
-
-def file_features(text: str, n_runs: int) -> list[str]:
+def file_features(text: str) -> list[str]:
     sample = len(text) or 1
     digits = sum(map(text.count, "0123456789")) / sample
-    return [f"file digits {min(int(digits * 50), 5)}", f"file runs {min(n_runs, 4)}",
-            f"file assigns {min(text.count('=') + text.count(':'), 3)}"]
+    return [f"file digits {min(int(digits * 50), 5)}", f"file assigns {min(text.count('=') + text.count(':'), 3)}"]
+
 
+def own_features(w: str) -> list[str]:
+    length = len(w)
+    return ["bias", f"shape {shape(w)}", f"length {min(length // 4, 10)}",
+            f"bits {int(_letters(w) * 2) if length > 5 else 0}",
+            f"hex {bool(re.fullmatch('[0-9a-f]+', w))} {min(length // 8, 5)}",
+            f"upper {w.isupper()} {w[:4] == 'AKIA'} {length >= 16}", f"digits {DIGIT.search(w) is not None}"]
 
-def token_features(run: list[re.Match], common: list[str]) -> list[list[str]]:
-    words = [m.group() for m in run]
-    shapes = [shape(w) for w in words]
+
+def seen_as(w: str) -> str:
+    """A token as its neighbours see it: key word, short word or shape."""
+    near = w.lower()
+    return next((k for k in KEY_WORDS if k in near), None) or (near if len(near) < 4 else shape(w))
+
+
+def token_features(words: list[str], common: list[str], start: int = 0, stop: int | None = None) -> list[list[str]]:
+    """Features of the tokens from ``start`` to ``stop``, with neighbours from the whole text."""
     out = []
-    for i, w in enumerate(words):
-        length = len(w)
-        f = ["bias", f"shape {shapes[i]}", f"length {min(length // 4, 10)}",
-             f"bits {int(_letters(w) * 2) if length > 5 else 0}",
-             f"hex {bool(re.fullmatch('[0-9a-f]+', w))} {min(length // 8, 5)}",
-             f"upper {w.isupper()} {w[:4] == 'AKIA'} {length >= 16}", f"digits {DIGIT.search(w) is not None}",
-             *common]
-        for step in (-3, -2, -1, 1, 2):
+    for i in range(start, len(words) if stop is None else stop):
+        f = own_features(words[i]) + common
+        for step in STEPS_AROUND:
             j = i + step
             if 0 <= j < len(words):
-                near = words[j].lower()
-                key = next((k for k in KEY_WORDS if k in near), None)
-                f.append(f"{step} {key or near if len(near) < 4 or key else shapes[j]}")
+                f.append(f"{step} {seen_as(words[j])}")
                 if step == -1:
-                    f.append(f"{step} {shapes[j]} {shapes[i]}")
+                    f.append(f"{step} {shape(words[j])} {shape(words[i])}")
             else:
                 f.append(f"{step} edge")
         out.append(f)
@@ -139,87 +131,173 @@ class Field:
 
     def __init__(self, weights: dict[str, tuple[float, float, float]], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
-
-    def decode(self, features: list[list[str]]) -> list[int]:
-        """The most probable tags (Viterbi)."""
-        best, back = None, []
-        for names in features:
-            e = [0.0, 0.0, 0.0]
-            for name in names:
-                w = self.weights.get(name)
-                if w:
-                    e[0] += w[0]
-                    e[1] += w[1]
-                    e[2] += w[2]
-            if best is None:
-                best = [e[0], e[1], -math.inf]
-                back.append([0, 0, 0])
-                continue
+        pairs = [n.split(" ") for n in weights if n.startswith("-1 ") and n.count(" ") == 2]
+        self.shapes = {x: k for k, x in enumerate(sorted({x for _, *both in pairs for x in both}), 1)}
+        self.pairs = np.zeros((len(self.shapes) + 1, len(self.shapes) + 1, 3))
+        for name in pairs:
+            self.pairs[self.shapes[name[1]], self.shapes[name[2]]] = weights[" ".join(name)]
+        self.edges = np.array([weights.get(f"{step} edge", (0, 0, 0)) for step in STEPS_AROUND], float)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the table of known tokens: number of the shape; own scores and those lent to neighbours."""
+        self.known: dict[str, int] = {}
+        self.shape_of = np.zeros(1024, np.int64)
+        self.rows = np.zeros((1024, 1 + len(STEPS_AROUND), 3))
+
+    def _number(self, w: str) -> int:
+        k = self.known[w] = len(self.known)
+        if k == len(self.rows):
+            self.shape_of = np.concatenate([self.shape_of, np.zeros_like(self.shape_of)])
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        near = seen_as(w)
+        self.shape_of[k] = self.shapes.get(shape(w), 0)
+        self.rows[k, 0] = self._sum(own_features(w))
+        for at, step in enumerate(STEPS_AROUND, 1):
+            self.rows[k, at] = self._sum([f"{step} {near}"])
+        return k
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return np.sum([self.weights.get(n, (0.0, 0.0, 0.0)) for n in names], axis=0)
+
+    def scores(self, words: list[str], common: list[str]) -> np.ndarray:
+        """Scores of the three tags for each token: the sums of the weights of ``token_features``."""
+        if len(self.known) > CACHED_TOKENS:
+            self._forget()
+        n, known = len(words), self.known
+        ids = np.array([known[w] if w in known else self._number(w) for w in words], np.int64)
+        found, shapes = self.rows[ids], self.shape_of[ids]
+        e = found[:, 0] + self._sum(common)
+        for at, step in enumerate(STEPS_AROUND):
+            if step < 0:
+                e[-step:] += found[:n + step, at + 1]
+                e[:-step] += self.edges[at]
+            else:
+                e[:max(n - step, 0)] += found[step:, at + 1]
+                e[max(n - step, 0):] += self.edges[at]
+        e[1:] += self.pairs[shapes[:-1], shapes[1:]]
+        return e
+
+    def open_runs(self, e: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of tokens outside of which the best tags are proven to be OUTSIDE.
+
+        A run of other tags gains at most the sum of ``gain`` over its tokens,
+        plus ``ends``, against tags of OUTSIDE in its place; a token that no
+        run with a positive bound holds is outside.
+        """
+        m = np.array(self.moves) - self.moves[OUTSIDE][OUTSIDE]
+        inner = m[1:, 1:].max()
+        ends = max(m[OUTSIDE, 1:].max(), 0.0) + max(m[1:, OUTSIDE].max(), 0.0) - inner
+        gain = e[:, 1:].max(axis=1) - e[:, OUTSIDE] + inner
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+        around = np.concatenate([[False], best + ends + 1e-6 > 0, [False]])
+        starts, stops = np.flatnonzero(around[1:] & ~around[:-1]), np.flatnonzero(around[:-1] & ~around[1:])
+        return list(zip(starts.tolist(), stops.tolist()))
+
+    def tags(self, e: np.ndarray) -> list[int]:
+        """The most probable tags of a whole text, by Viterbi on its open runs."""
+        out = [OUTSIDE] * len(e)
+        for a, b in self.open_runs(e):
+            # The tokens before and after a run are outside.
+            rows, after = e[a:b].tolist(), [0.0, 0.0, 0.0] if b == len(e) else [row[OUTSIDE] for row in self.moves]
+            first = [rows[0][t] + self.moves[OUTSIDE][t] for t in range(3)] if a else [*rows[0][:2], -math.inf]
+            out[a:b] = self._best(rows, first, after)
+        return out
+
+    def _best(self, rows: list[list[float]], first: list[float], after: list[float]) -> list[int]:
+        best, back, moves = first, [], self.moves
+        for e in rows[1:]:
             step, come = [], []
             for t in range(3):
-                scores = [best[s] + self.moves[s][t] for s in range(3)]
-                s = max(range(3), key=scores.__getitem__)
-                step.append(scores[s] + e[t])
+                a, b, c = best[0] + moves[0][t], best[1] + moves[1][t], best[2] + moves[2][t]
+                s, most = (0, a) if a >= b else (1, b)
+                s, most = (s, most) if most >= c else (2, c)
+                step.append(most + e[t])
                 come.append(s)
             best = step
             back.append(come)
+        best = [x + y for x, y in zip(best, after)]
         tags = [max(range(3), key=best.__getitem__)]
-        for come in reversed(back[1:]):
+        for come in reversed(back):
             tags.append(come[tags[-1]])
         return tags[::-1]
 
+    def decode(self, features: list[list[str]]) -> list[int]:
+        """The most probable tags (Viterbi)."""
+        rows = [self._sum(names).tolist() for names in features]
+        return self._best(rows, [*rows[0][:2], -math.inf], [0.0, 0.0, 0.0])
+
     def spans(self, text: str) -> list[tuple[int, int]]:
-        runs = stretches(text)
-        if not runs or not self.weights:
+        words = TOKEN.findall(text) if self.weights else []
+        if not words:
             return []
-        common, found = file_features(text, len(runs)), []
-        for run in runs:
-            tags = self.decode(token_features(run, common))
-            start = None
-            for m, tag in zip(run, tags):
-                if tag == BEGIN or (tag == INSIDE and start is None):
-                    if start is not None:
-                        found.append((start, end))
-                    start = m.start()
-                elif tag == OUTSIDE and start is not None:
+        tags = self.tags(self.scores(words, file_features(text)))
+        if not any(tags):
+            return []
+        found, start = [], None
+        for m, tag in zip(TOKEN.finditer(text), tags):
+            if tag == BEGIN or (tag == INSIDE and start is None):
+                if start is not None:
                     found.append((start, end))
-                    start = None
-                end = m.end()
-            if start is not None:
+                start = m.start()
+            elif tag == OUTSIDE and start is not None:
                 found.append((start, end))
+                start = None
+            end = m.end()
+        if start is not None:
+            found.append((start, end))
         return [(a, b) for a, b in found if b - a >= MIN_LENGTH]
 
 
+def tags_of(text: str, tokens: list[re.Match]) -> list[int]:
+    """Tags that the patterns supply."""
+    values, y, last, k = sorted(value_spans(text)), [], None, 0
+    for m in tokens:
+        while k < len(values) and values[k][1] <= m.start():
+            k += 1
+        home = next((v for v in values[k:k + 3] if m.start() < v[1] and v[0] < m.end() and m.group() not in "=:"), None)
+        y.append(OUTSIDE if home is None else INSIDE if home == last else BEGIN)
+        last = home
+    return y
+
+
 def train(texts: list[str]) -> Field:
-    """Maximum likelihood with a ridge, by gradient steps on all stretches of the sample at once."""
+    """Maximum likelihood with a ridge, by gradient steps on parts of all texts of the sample at once.
+
+    Of the parts with tags, and of those without, every so many-th is taken if
+    they have more than half of ``TRAIN_TOKENS`` each, and counts as often.
+    """
     forbidden = -20.0
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = forbidden
-    sequences, tags, seen = [], [], Counter()
-    for text in texts:
-        runs = stretches(text)
-        if not runs:
-            continue
-        values, common = value_spans(text), file_features(text, len(runs))
-        for run in runs:
-            f = token_features(run, common)
-            y, last = [], None
-            for m in run:
-                home = next((v for v in values if m.start() < v[1] and v[0] < m.end() and m.group() not in "=:"), None)
-                y.append(OUTSIDE if home is None else INSIDE if home == last else BEGIN)
-                last = home
-            for start in range(0, len(run), 40):  # long stretches train in parts
-                sequences.append(f[start:start + 40])
-                part = y[start:start + 40]
-                tags.append([BEGIN if part[0] == INSIDE else part[0], *part[1:]])
-            seen.update(name for names in f for name in names)
+    parts: list[list[tuple[int, int, list[int]]]] = [[], []]
+    for at, text in enumerate(texts):
+        y = tags_of(text, list(TOKEN.finditer(text)))
+        for start in range(0, len(y), PART):
+            part = y[start:start + PART]
+            part[0] = BEGIN if part[0] == INSIDE else part[0]
+            parts[any(part)].append((at, start, part if any(part) else [OUTSIDE] * len(part)))
+    sequences, tags, often, seen = [], [], [], Counter()
+    chosen = []
+    for kind in parts:
+        every = -(-sum(len(y) for _, _, y in kind) * 2 // TRAIN_TOKENS) or 1
+        chosen += [(*part, every) for part in kind[::every]]
+    last, words, common = None, [], []
+    for at, start, y, every in sorted(chosen, key=lambda part: part[:2]):
+        if at != last:
+            last, words, common = at, TOKEN.findall(texts[at]), file_features(texts[at])
+        sequences.append(token_features(words, common, start, start + len(y)))
+        tags.append(y)
+        often.append(every)
+        seen.update(name for names in sequences[-1] for name in names)
     if not any(t != OUTSIDE for y in tags for t in y):
         return Field({}, moves.tolist())
 
     number = {name: k for k, name in enumerate(sorted(n for n, c in seen.items() if c >= MIN_SEEN))}
     n, longest = len(sequences), max(map(len, sequences))
     most = max(len(names) for f in sequences for names in f)
-    ids = np.full((n, longest, most), len(number), np.int64)
+    ids = np.full((n, longest, most), len(number), np.int32)
     gold, real = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
     for i, (f, y) in enumerate(zip(sequences, tags)):
         gold[i, :len(y)], real[i, :len(y)] = y, True
@@ -227,16 +305,18 @@ def train(texts: list[str]) -> Field:
             known = [number[name] for name in names if name in number]
             ids[i, j, :len(known)] = known
     at, rows = np.nonzero(real), real.sum()
-    flat = ids[at]
+    flat, often = ids[at], np.array(often, float)
+    del ids, sequences
 
     weights = np.zeros((len(number) + 1, 3))
     pull_w, pull_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
     for _ in range(STEPS):
         emit = np.zeros((n, longest, 3))
-        emit[at] = weights[flat].sum(axis=1)
-        marginal, pairs = _marginals(emit, moves, real)
+        emit[at] = sum(weights[flat[:, k]] for k in range(most))
+        marginal, pairs = _marginals(emit, moves, real, often)
         wrong = -marginal[at]
         wrong[np.arange(rows), gold[at]] += 1
+        wrong *= often[at[0], None]
         grad_w = np.zeros_like(weights)
         for k in range(most):
             for t in range(3):
@@ -245,7 +325,7 @@ def train(texts: list[str]) -> Field:
         grad_w[-1] = 0
         both = real[:, 1:]
         grad_m = -pairs
-        np.add.at(grad_m, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        np.add.at(grad_m, (gold[:, :-1][both], gold[:, 1:][both]), np.broadcast_to(often[:, None], both.shape)[both])
         grad_m -= RIDGE * moves
         grad_m[OUTSIDE, INSIDE] = 0
         pull_w += grad_w ** 2
@@ -255,8 +335,13 @@ def train(texts: list[str]) -> Field:
     return Field({name: tuple(map(float, weights[k])) for name, k in number.items()}, moves.tolist())
 
 
-def _marginals(emit: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tag probabilities of each token, and expected numbers of each pair of tags, by forward-backward sums."""
+def _marginals(emit: np.ndarray, moves: np.ndarray, real: np.ndarray,
+               often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tag probabilities of each token, and expected numbers of each pair of tags, by forward-backward sums.
+
+    Sequences count as ``often`` in the numbers of pairs, by default once.
+    """
+    often = np.ones(len(emit)) if often is None else often
     n, longest, _ = emit.shape
     forward, backward = np.full_like(emit, -1e9), np.zeros_like(emit)
     forward[:, 0] = emit[:, 0]
@@ -273,7 +358,7 @@ def _marginals(emit: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[n
     for j in range(1, longest):
         ok = real[:, j]
         joint = forward[ok, j - 1, :, None] + moves[None] + (emit[ok, j] + backward[ok, j])[:, None, :]
-        pairs += np.exp(joint - whole[ok, None, None]).sum(axis=0)
+        pairs += np.tensordot(often[ok], np.exp(joint - whole[ok, None, None]), 1)
     return marginal, pairs
 
 

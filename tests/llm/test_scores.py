@@ -235,3 +235,37 @@ def test_field_probabilities_and_decoding():
                 sum(w for w, tags in zip(weight, every) if tags[j] == t) / weight.sum(), abs=1e-6)
     field = secret_scan.Field({f"t{j}": tuple(emit[0, j]) for j in range(4)}, moves.tolist())
     assert field.decode([[f"t{j}"] for j in range(4)]) == list(every[int(np.argmax(weight))])
+
+
+def test_every_token_is_decoded():
+    """Tables and open runs against features and Viterbi over all tokens, and names that no pattern knows."""
+    field = secret_scan.train([r[1] for r in secret_rows()])
+    rng = random.Random(8)
+    for text in [r[1] for r in secret_rows()[:60]] + SECRETS + ["x", "= x", " ".join(data.sentence(rng, 300).split())]:
+        words, common = secret_scan.TOKEN.findall(text), secret_scan.file_features(text)
+        features = secret_scan.token_features(words, common)
+        e = field.scores(words, common)
+        assert np.allclose(e, [field._sum(f) for f in features])
+        assert field.tags(e) == field.decode(features)
+    for _ in range(200):  # any weights
+        other = secret_scan.Field({"bias": (0.0, 0.0, 0.0)}, np.random.default_rng(rng.randrange(1 << 30)).normal(
+            size=(3, 3)).tolist())
+        e = np.random.default_rng(rng.randrange(1 << 30)).normal(size=(30, 3)) + [1.5, 0, 0]
+        whole = other._best(e.tolist(), [*e[0][:2].tolist(), -np.inf], [0.0, 0.0, 0.0])
+        assert other.tags(e) == whole
+
+
+def test_letters_only_after_an_unknown_name():
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = []
+    for k in range(300):
+        parts = data.sentence(rng, 30).split(" ")
+        if k % 3 == 0:
+            parts.insert(rng.randrange(20), f"secret = {''.join(rng.choice(letters) for _ in range(24))}")
+        texts.append(" ".join(parts))
+    field = secret_scan.train(texts)
+    value = "CorrectHorseBatteryStaple"
+    text = f"thasel wern pwd = {value} lokap minx"
+    assert not secret_scan.base_spans(text)
+    assert any(text[a:b] == value for a, b in field.spans(text))
