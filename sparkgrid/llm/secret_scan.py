@@ -2,16 +2,17 @@
 
 The patterns give the base spans. The field tags tokens as begin, inside or
 outside of a secret. Its features are the shape of a token, the words and
-shapes around it, and properties of the file; it is trained on a bounded
-sample of documents (``SAMPLE_DOCS`` of up to ``SAMPLE_CHARS`` characters) in
-which the patterns supply the tags, and decoded by Viterbi over all tokens of
-the text. The scores of a token are sums of table rows; Viterbi then runs
+shapes around it, and properties of the file. It is trained in one task on
+bounded samples, in which the patterns supply the tags: of all documents, up to
+``SAMPLE_HITS`` with base spans of each kind and ``SAMPLE_CLEAN`` without any,
+of each up to ``SAMPLE_CHARS`` characters around its first span. It is decoded
+by Viterbi over all tokens of the text. The scores of a token are sums of table rows; Viterbi then runs
 where tags other than outside can win at all: a bound on what any run of such
 tags gains over outside (``Field.open_runs``) proves the rest to be outside.
 Tagged spans that touch no base span are added as kind ``crf``.
 
-Defined cases: NULL text counts as empty and has no spans; a sample without
-secrets trains a field that adds nothing; NULL ids do not train; repeated rows
+Defined cases: NULL text counts as empty and has no spans; a corpus without
+base spans trains a field that adds nothing; NULL ids do not train; repeated rows
 get the same spans; an empty table gives an empty result.
 """
 
@@ -19,16 +20,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgrid.llm.common import packed, sample_texts, ship, text_or_empty
+from sparkgrid.llm.common import packed, ship, text_or_empty
+from sparkgrid.session import join_small, stage
 
 # Fixed by the definition of the base spans.
 ASSIGN = re.compile(
@@ -38,7 +41,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LENGTH, ACCESS_LENGTH = 6, 20
 KINDS = ["assign", "access", "hex", "crf"]
 
-SAMPLE_DOCS = 6_000
+SAMPLE_HITS = 2_000     # documents of each kind of base span
+SAMPLE_CLEAN = 6_000
 SAMPLE_CHARS = 20_000
 TRAIN_TOKENS = 200_000  # in parts of PART tokens; parts that stand for others count as often
 PART = 40
@@ -378,6 +382,54 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
+def excerpt(text: str) -> str:
+    """``SAMPLE_CHARS`` characters of a text, with its first base span in them."""
+    if len(text) <= SAMPLE_CHARS:
+        return text
+    first = next(iter(base_spans(text)), (0, 0, 0))[0]
+    start = max(first - SAMPLE_CHARS // 2, 0)
+    return text[start:start + SAMPLE_CHARS]
+
+
+def training_sample(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(id, text): excerpts of documents with base spans, bounded by kind, and of documents without.
+
+    The same for the same documents whatever the order of rows; of rows with
+    one id one is taken, of most kinds.
+    """
+    @F.pandas_udf("int")
+    def kinds(texts: pd.Series) -> pd.Series:
+        return pd.Series([sum({1 << kind for _, kind, _ in base_spans(t)}) for t in texts], dtype="int32")
+
+    @F.pandas_udf("string")
+    def excerpts(texts: pd.Series) -> pd.Series:
+        return pd.Series([excerpt(t) for t in texts], dtype=object)
+
+    bodies = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text")).where("id is not null")
+    known = stage(bodies.select("id", kinds("text").alias("kinds")).groupBy("id").agg(F.max("kinds").alias("kinds")),
+                  "kinds")
+    chosen = [known.where("kinds = 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_CLEAN)]
+    for k in range(3):
+        held = known.where(F.col("kinds").bitwiseAND(1 << k) > 0)
+        chosen.append(held.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_HITS))
+    wanted = stage(chosen[0].union(chosen[1]).union(chosen[2]).union(chosen[3]).select("id").distinct(), "wanted")
+    found = join_small(bodies, wanted, ["id"]).select("id", excerpts("text").alias("text"), kinds("text").alias("kinds"))
+    return found.groupBy("id").agg(F.max(F.struct("kinds", "text")).alias("x")).select("id", "x.text")
+
+
+def fit(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> Field:
+    """Train in one task on the bounded sample; the driver only sees the weights."""
+    ship(df.sparkSession)
+
+    def task(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        field = train([t for batch in batches for t in batch["text"]])
+        yield pd.DataFrame({"field": [pickle.dumps((field.weights, field.moves))]})
+
+    ordered = training_sample(df, text, id_column).repartition(1).sortWithinPartitions("id").select("text")
+    row = ordered.mapInPandas(task, "field binary").first()
+    return Field(*pickle.loads(row.field)) if row else train([])
+
+
 SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -386,7 +438,7 @@ def scan(df: DataFrame, field: Field | None = None, text: str = "text", id_colum
     spark = df.sparkSession
     ship(spark)
     if field is None:
-        field = train(sample_texts(df, SAMPLE_DOCS, SAMPLE_CHARS, text, id_column))
+        field = fit(df, text, id_column)
     shared = spark.sparkContext.broadcast(field)
 
     @F.pandas_udf(SCAN)
