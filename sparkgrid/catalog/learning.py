@@ -114,7 +114,7 @@ def _(spark, d):
 def _(spark, d):
     rows = demand_split(spark, d)
     path = staging_path(spark, "model")
-    fitted = models.demand_forest(_train(rows), 20, 8)
+    fitted = models.demand_forest(_train(rows), TREES, FOREST_DEPTH)
     models.save_model(fitted, path)
     model = models.load_model(path)
     models.check_features(model, DEMAND_FEATURES)
@@ -134,7 +134,8 @@ model_rows as (select *, """ + _SPLIT + """ from known where before is not null)
 select ts, load_actual, load_forecast baseline_forecast, true gbt_known, true rf_known from model_rows
   where split = 'test'""", "clean")
 def _(spark, d):
-    found = forecast_demand(clean_hourly(spark, d), gbt_rounds=2, gbt_depth=DEPTH, rf_trees=20, rf_depth=8).predictions
+    found = forecast_demand(clean_hourly(spark, d), gbt_rounds=2, gbt_depth=DEPTH, rf_trees=TREES,
+                            rf_depth=FOREST_DEPTH).predictions
     return found.select("ts", "load_actual", "baseline_forecast", F.col("pred_gbt").isNotNull().alias("gbt_known"),
                         F.col("pred_rf").isNotNull().alias("rf_known"))
 
@@ -180,7 +181,7 @@ select m.ts, m.split, m.load_actual actual_demand, round(solar + wind, 6) actual
   where s.before is not null""", "hourly")
 def _(spark, d):
     raw = stage(_raw(spark, d), "raw")
-    demand = models.demand_forest(_train(demand_split(spark, d)), 20, 8)
+    demand = models.demand_forest(_train(demand_split(spark, d)), TREES, FOREST_DEPTH)
     supply = supply_gap(raw, None, mode="peak", rounds=1, solar_depth=DEPTH, wind_depth=DEPTH)
     rows = _balance(full_gap(raw.select("ts", "load_actual"), raw, demand, supply.solar, supply.wind, supply.mode))
     return rows.select("ts", "split", "actual_demand", F.round("actual_supply", 6).alias("actual_supply"),

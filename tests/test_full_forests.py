@@ -1,0 +1,25 @@
+"""The forests of the registered queries have the size of the reference."""
+
+import pytest
+
+import __spark_entry__
+from sparkgrid.catalog import learning
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["demand_random_forest", "reloaded_model", "demand_predictions", "full_gap"])
+def test_forests_are_whole(spark, monkeypatch, name):
+    def forest(rows, trees=200, depth=20, *rest, **more):
+        raise Asked(trees, depth)
+
+    def forecast(*args, rf_trees=200, rf_depth=20, **more):
+        raise Asked(rf_trees, rf_depth)
+
+    monkeypatch.setattr(learning.models, "demand_forest", forest)
+    monkeypatch.setattr(learning, "forecast_demand", forecast)
+    with pytest.raises(Asked) as asked:
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked.value.args == (200, 20)
