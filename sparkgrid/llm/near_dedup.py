@@ -104,7 +104,7 @@ def _sketches(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
             sizes.append(len(found))
             digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
             signatures.append(signature(found).view(np.int64) if len(found) else [])
-        columns = [batch.column("id"), sizes, digests, signatures]
+        columns = [batch.column("uid"), batch.column("id"), sizes, digests, signatures]
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
                                           for c, f in zip(columns, schema)], schema=schema)
 
@@ -124,13 +124,14 @@ def _sets(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(uid, id, n_shingles, component_id, kept) for each row of ``df``; ``uid`` numbers the rows."""
     ship(df.sparkSession)
-    docs = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text"))
+    # Written with a number for each row, since ids may repeat or be NULL.
+    docs = stage(df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_column}`").alias("id"),
+                           text_or_empty(text).alias("text")), "texts")
     sketch_schema = T.StructType([
-        T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
+        T.StructField("uid", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
         T.StructField("digest", T.BinaryType()), T.StructField("signature", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(sketch_schema)
-    sketches = stage(docs.mapInArrow(lambda b: _sketches(b, arrow), sketch_schema).withColumn(
-        "uid", F.monotonically_increasing_id()), "sketches")
+    sketches = stage(docs.mapInArrow(lambda b: _sketches(b, arrow), sketch_schema), "sketches")
 
     # One representative for all documents with the same words.
     classes = stage(sketches.where("n > 0").groupBy("digest").agg(
@@ -181,10 +182,9 @@ def _prefixes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _wanted_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
-    keys = stage(reps.join(wanted, "uid", "left_semi").select("id", "uid", "digest"), "wanted")
-    texts = join_small(docs, keys, ["id"]).select("uid", "digest", "text")
-    # Rows that repeat an id and its words give the same set again.
-    return stage(texts.mapInArrow(lambda b: _sets(b, arrow), schema).dropDuplicates(["uid"]), "sets")
+    keys = stage(reps.join(wanted, "uid", "left_semi").select("uid", "digest"), "wanted")
+    texts = join_small(docs, keys, ["uid"]).select("uid", "digest", "text")
+    return stage(texts.mapInArrow(lambda b: _sets(b, arrow), schema), "sets")
 
 
 def _hub_pairs(prefixes: DataFrame) -> DataFrame:
