@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sparkgrid.llm import (
-    distinct_bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_counts, token_files, toxicity,
+    conversations, distinct_bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_counts, token_files, toxicity,
 )
 from sparkgrid.llm.common import documents
 
@@ -90,6 +90,12 @@ def op8_secret_scan(spark, sf_dir):
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversations.repair_report(conversations.damaged(turns), present=F.col("present"))
+
+
 # All pairs of sets with a common shingle, and the reach of each document over the links.
 SQL["op10_minhash_near_dedup"] = """
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce("text", ''),
