@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sparkgrid.llm import (
-    conversations, distinct_bpe, exact_dedup, mixing, near_dedup, quality, secret_scan, sharding, token_counts, token_files, toxicity,
+    conversations, distinct_bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secret_scan, sharding, spelling,
+    token_counts, token_files, toxicity,
 )
 from sparkgrid.llm.common import documents
+from sparkgrid.session import stage
 
 QUERIES, SQL = {}, {}
 
@@ -90,12 +92,25 @@ def op8_secret_scan(spark, sf_dir):
     return found.select("row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+@query
+def op11_hnsw_search(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    index = stage(neighbours.build_index(vectors), "index")
+    return neighbours.search(index, vectors.where("vec_id % 100 = 0"))
+
+
 @query
 def op12_conversation_repair(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return conversations.repair_report(conversations.damaged(turns), present=F.col("present"))
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    counts = spelling.word_counts(documents(spark, sf_dir, "doc_id", "text"), misspell=True)
+    return spelling.spelling_variants(counts)
+
+
 # All pairs of sets with a common shingle, and the reach of each document over the links.
 SQL["op10_minhash_near_dedup"] = """
 with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce("text", ''),
