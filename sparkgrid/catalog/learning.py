@@ -1,25 +1,20 @@
 """Models, metrics and comparisons."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkgrid.catalog.base import query, rounded, tidy
 from sparkgrid.catalog.cleaning import clean_hourly
 from sparkgrid.catalog.ordered import SUPPLY_SQL, supply_rows
-from sparkgrid.constants import DEMAND_FEATURES, FIXED_THRESHOLDS
-from sparkgrid.operators import levels, models, stats
+from sparkgrid.constants import DEMAND_FEATURES
+from sparkgrid.operators import models, stats
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.plans.demand import compare, forecast_demand
 from sparkgrid.plans.full_gap import full_gap
 from sparkgrid.plans.supply_gap import supply_gap
-from sparkgrid.session import one_row, stage, staging_path
+from sparkgrid.session import stage, staging_path
 from sparkgrid.sources.views import demand_predictions, grid_hourly
 
-# Boosting rounds follow one another and take about a second each here, so the registered queries use few of them;
-# the forest has its full size. The functions' defaults are the full numbers.
-ROUNDS, DEPTH = 3, 3
-TREES, FOREST_DEPTH = 200, 20
-
-
 def demand_split(spark, d):
     rows = demand_features(grid_hourly(spark, d).select("ts", "load_actual", "load_forecast"))
     return time_split(rows)
@@ -33,7 +28,7 @@ def _train(rows):
     return rows.where(F.col("split") == "train")
 
 
-# What SQL can say of a fitted model: which rows it trains on and scores, and the range its answers keep to.
+# Which rows a model trains on and scores.
 _SPLIT = """case when row_number() over (order by ts) - 1 < floor(count(*) over () * 0.80) then 'train'
   else 'test' end split"""
 _LOADS = f""", known as (select ts, load_actual, lag(load_actual, 168) over (order by ts) before
@@ -41,82 +36,72 @@ _LOADS = f""", known as (select ts, load_actual, lag(load_actual, 168) over (ord
 model_rows as (select ts, load_actual, {_SPLIT} from known where before is not null)"""
 
 
-def _generation(kind):
-    return f"""{SUPPLY_SQL}, model_rows as (select ts, {kind}_gen, {_SPLIT} from built
-  where solar_lag_168h is not null and wind_lag_168h is not null)"""
+@query("demand_model_rows", _LOADS + " select ts, split, load_actual from model_rows", "hourly")
+def _(spark, d):
+    return demand_split(spark, d).select("ts", "split", "load_actual")
 
 
-def _within(scored, column, target):
-    """Every prediction is a number inside the range of the training target (means of leaves cannot leave it)."""
-    span = _train(scored).agg(F.min(target).alias("low"), F.max(target).alias("high")).first()
-    return scored.withColumn("in_range", F.coalesce(F.col(column).between(span.low, span.high), F.lit(False)))
+@query("supply_model_rows", f"""{SUPPLY_SQL}, model_rows as (select ts, solar_gen, wind_gen, {_SPLIT} from built
+  where solar_lag_168h is not null and wind_lag_168h is not null) select * from model_rows""", "hourly")
+def _(spark, d):
+    return supply_split(spark, d).select("ts", "solar_gen", "wind_gen", "split")
 
 
-def _is_number(scored, column):
-    value = F.col(column)
-    return scored.withColumn("is_number", F.coalesce(value.isNotNull() & ~F.isnan(value) & (
-        F.abs(value) < float("inf")), F.lit(False)))
+# Fitted trees have no SQL twin: these queries return what the models say, at full size, and the tests compare the models
+# with plain versions that try every split.
+@query("demand_boosted_trees")
+def _(spark, d):
+    rows = demand_split(spark, d)
+    model = models.demand_boosted(_train(rows))
+    return rounded(models.score(model, rows, "pred_gbt").select("ts", "split", "load_actual", "pred_gbt"))
 
 
-@query("demand_boosted_trees", _LOADS + " select ts, split, load_actual, true is_number from model_rows", "hourly")
+@query("demand_random_forest")
 def _(spark, d):
     rows = demand_split(spark, d)
-    model = models.demand_boosted(_train(rows), ROUNDS, DEPTH)
-    scored = _is_number(models.score(model, rows, "pred_gbt"), "pred_gbt")
-    return scored.select("ts", "split", "load_actual", "is_number")
+    model = models.demand_forest(_train(rows))
+    return rounded(models.score(model, rows, "pred_rf").select("ts", "split", "load_actual", "pred_rf"))
 
 
-@query("demand_random_forest", _LOADS + " select ts, split, load_actual, true in_range from model_rows", "hourly")
+@query("solar_boosted_trees")
 def _(spark, d):
-    rows = demand_split(spark, d)
-    model = models.demand_forest(_train(rows), TREES, FOREST_DEPTH)
-    return _within(models.score(model, rows, "pred_rf"), "pred_rf", "load_actual").select(
-        "ts", "split", "load_actual", "in_range")
+    rows = supply_split(spark, d)
+    model = models.solar_boosted(_train(rows))
+    return rounded(models.score(model, rows, "pred_solar", 0).select("ts", "split", "solar_gen", "pred_solar"))
 
 
-@query("solar_boosted_trees", _generation("solar") + """ select ts, split, solar_gen, true is_number,
-  true not_negative from model_rows""", "hourly")
+@query("wind_boosted_trees")
 def _(spark, d):
     rows = supply_split(spark, d)
-    model = models.solar_boosted(_train(rows), ROUNDS, DEPTH)
-    scored = _is_number(models.score(model, rows, "pred_solar", 0), "pred_solar")
-    return scored.select("ts", "split", "solar_gen", "is_number", (F.col("pred_solar") >= 0).alias("not_negative"))
+    model = models.wind_boosted(_train(rows))
+    return rounded(models.score(model, rows, "pred_wind", 0).select("ts", "split", "wind_gen", "pred_wind"))
 
 
-@query("wind_boosted_trees", _generation("wind") + """ select ts, split, wind_gen, true is_number,
-  true not_negative from model_rows""", "hourly")
+@query("boosting_rounds")
 def _(spark, d):
+    """Errors of the solar and the wind model on the test rows after each round."""
     rows = supply_split(spark, d)
-    model = models.wind_boosted(_train(rows), ROUNDS, DEPTH)
-    scored = _is_number(models.score(model, rows, "pred_wind", 0), "pred_wind")
-    return scored.select("ts", "split", "wind_gen", "is_number", (F.col("pred_wind") >= 0).alias("not_negative"))
+    pair = models.supply_boosted(_train(rows), test=rows.where(F.col("split") == "test"))
+    each = [m.rounds.select(F.lit(n).alias("model"), "*") for n, m in zip(("solar", "wind"), pair)]
+    return rounded(each[0].unionByName(each[1]))
 
 
-@query("feature_importances", """select cast(12 as bigint) "rows", true of_the_model, true not_negative, true ascending,
-  true sums_to_one""")
+@query("feature_importances")
 def _(spark, d):
-    model = models.demand_forest(_train(demand_split(spark, d)), TREES, FOREST_DEPTH)
-    every = models.importances(model, spark)
-    whole = one_row(every.agg(F.sum("importance").alias("sum")))
-    top = models.top_importances(every)
-    numbered = top.select("feature", "importance", F.monotonically_increasing_id().alias("at"))
-    w = F.array_sort(F.collect_list(F.struct("at", "importance")))
-    return numbered.agg(
-        F.count("*").alias("rows"), F.bool_and(F.col("feature").isin(*DEMAND_FEATURES)).alias("of_the_model"),
-        F.bool_and(F.col("importance") >= 0).alias("not_negative"),
-        (F.transform(w, lambda x: x["importance"]) == F.array_sort(F.collect_list("importance"))).alias("ascending"),
-    ).withColumn("_sum", whole).select(
-        "rows", "of_the_model", "not_negative", "ascending",
-        (F.abs(F.col("_sum.sum") - 1) < 1e-9).alias("sums_to_one"))
+    """The twelve most important features of the boosted demand model, the least of them first."""
+    model = models.demand_boosted(_train(demand_split(spark, d)))
+    top = models.top_importances(models.importances(model))
+    place = F.row_number().over(Window.orderBy("importance", F.desc("feature")))  # twelve rows
+    return rounded(top.select(place.alias("place"), "feature", "importance"), 9)
 
 
 @query("reloaded_model", _LOADS + """ select ts, true same, true other_features_refused from model_rows""", "hourly")
 def _(spark, d):
     rows = demand_split(spark, d)
     path = staging_path(spark, "model")
-    fitted = models.demand_forest(_train(rows), TREES, FOREST_DEPTH)
+    fitted = models.demand_forest(_train(rows))
     models.save_model(fitted, path)
-    model = models.load_model(path)
+    model = models.load_model(spark, path)
     models.check_features(model, DEMAND_FEATURES)
     try:
         models.check_features(model, DEMAND_FEATURES[::-1])
@@ -128,64 +113,27 @@ def _(spark, d):
                        F.lit(refused).alias("other_features_refused"))
 
 
-@query("demand_predictions", """, known as (select ts, load_actual, load_forecast,
-  lag(load_actual, 168) over (order by ts) before from clean),
-model_rows as (select *, """ + _SPLIT + """ from known where before is not null)
-select ts, load_actual, load_forecast baseline_forecast, true gbt_known, true rf_known from model_rows
-  where split = 'test'""", "clean")
+@query("demand_predictions")
 def _(spark, d):
-    found = forecast_demand(clean_hourly(spark, d), gbt_rounds=2, gbt_depth=DEPTH, rf_trees=TREES,
-                            rf_depth=FOREST_DEPTH).predictions
-    return found.select("ts", "load_actual", "baseline_forecast", F.col("pred_gbt").isNotNull().alias("gbt_known"),
-                        F.col("pred_rf").isNotNull().alias("rf_known"))
+    return rounded(forecast_demand(clean_hourly(spark, d)).predictions)
 
 
 def _raw(spark, d):
     return grid_hourly(spark, d).withColumnsRenamed({"solar_gen": "solar_raw", "wind_gen": "wind_raw"})
 
 
-_BALANCE = "true supply_adds_up, true gap_adds_up, true level_fits"
-
-
-def _balance(rows):
-    supply = F.col("pred_solar") + F.col("pred_wind")
-    return rows.withColumns({
-        "supply_adds_up": (F.col("pred_supply") == supply) & (F.col("pred_solar") >= 0) & (F.col("pred_wind") >= 0),
-        "gap_adds_up": F.col("pred_gap") == F.col("pred_demand") - F.col("pred_supply")})
+# The profiles have fewer rows than the plan asks for, so the measured generation is taken.
+@query("gap_interventions")
+def _(spark, d):
+    return rounded(supply_gap(_raw(spark, d), demand_predictions(spark, d)).interventions)
 
 
-# The profiles have fewer rows than the plan asks for, so the measured generation is taken.
-@query("gap_interventions", """, filled as (select ts, load_actual, solar_gen, wind_gen,
-  last_value(solar_cap ignore nulls) over (order by ts) solar_cap,
-  last_value(wind_cap ignore nulls) over (order by ts) wind_cap from hourly),
-built as (select *, lag(ts, 168) over (order by ts) before from filled
-  where load_actual is not null and solar_gen is not null and wind_gen is not null),
-model_rows as (select ts, solar_gen, wind_gen, """ + _SPLIT + """ from built
-  where before is not null and solar_cap is not null and wind_cap is not null)
-select m.ts, p.load_actual actual_demand, p.pred_gbt pred_demand, p.load_actual - (solar_gen + wind_gen) actual_gap,
-  """ + _BALANCE + " from model_rows m join predictions p on m.ts = p.ts where split = 'test'", "predictions")
-def _(spark, d):
-    found = supply_gap(_raw(spark, d), demand_predictions(spark, d), rounds=2, solar_depth=DEPTH, wind_depth=DEPTH)
-    rows = _balance(found.interventions)
-    return rows.select("ts", "actual_demand", "pred_demand", "actual_gap", "supply_adds_up", "gap_adds_up",
-                       (F.col("level") == levels.level(F.col("pred_gap"), FIXED_THRESHOLDS)).alias("level_fits"))
-
-
-@query("full_gap", _LOADS + """, tops as (select max(solar_profile) s, max(wind_profile) w from hourly),
-peaked as (select ts, load_actual, case when s > 1 then solar_profile / s else solar_profile end * 30000.0 solar,
-  case when w > 1 then wind_profile / w else wind_profile end * 45000.0 wind from hourly, tops),
-supplied as (select ts, solar, wind, lag(ts, 168) over (order by ts) before from peaked
-  where load_actual is not null and solar is not null and wind is not null)
-select m.ts, m.split, m.load_actual actual_demand, round(solar + wind, 6) actual_supply,
-  true supply_adds_up, true gap_adds_up, true has_level from model_rows m join supplied s on m.ts = s.ts
-  where s.before is not null""", "hourly")
+@query("full_gap")
 def _(spark, d):
     raw = stage(_raw(spark, d), "raw")
-    demand = models.demand_forest(_train(demand_split(spark, d)), TREES, FOREST_DEPTH)
-    supply = supply_gap(raw, None, mode="peak", rounds=1, solar_depth=DEPTH, wind_depth=DEPTH)
-    rows = _balance(full_gap(raw.select("ts", "load_actual"), raw, demand, supply.solar, supply.wind, supply.mode))
-    return rows.select("ts", "split", "actual_demand", F.round("actual_supply", 6).alias("actual_supply"),
-                       "supply_adds_up", "gap_adds_up", F.col("level").isNotNull().alias("has_level"))
+    demand = models.demand_forest(_train(demand_split(spark, d)))
+    supply = supply_gap(raw, None, mode="peak")
+    return rounded(full_gap(raw.select("ts", "load_actual"), raw, demand, supply.solar, supply.wind, supply.mode))
 
 
 _MODELS = {"gbt": "pred_gbt", "rf": "pred_rf", "baseline": "baseline_forecast"}

@@ -1,4 +1,4 @@
-"""Tree models, scaling and scoring with pyspark.ml."""
+"""The demand, solar and wind models, scaling and scoring."""
 
 from __future__ import annotations
 
@@ -6,89 +6,74 @@ from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.constants import DEMAND_FEATURES, SOLAR_FEATURES, WIND_FEATURES
 from sparkgrid.functions.columns import clip
-from sparkgrid.session import ensure_checkpoint_dir
+from sparkgrid.operators import trees
+from sparkgrid.operators.trees import Boosting, TreeModel
 
-SEED = 42
+# Rounds (or trees) and depths of the models.
+DEMAND_SIZE, FOREST_SIZE, SOLAR_SIZE, WIND_SIZE = (500, 6), (200, 20), (400, 6), (400, 7)
 
 
-def _fit(train: DataFrame, features: list[str], target: str, regressor) -> PipelineModel:
-    ensure_checkpoint_dir(train.sparkSession)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    learner = regressor.setFeaturesCol("features").setLabelCol(target).setPredictionCol("prediction")
-    return Pipeline(stages=[assembler, learner]).fit(train.select(*features, target))
+def demand_boosted(train: DataFrame, rounds: int = DEMAND_SIZE[0], depth: int = DEMAND_SIZE[1],
+                   test: DataFrame | None = None) -> TreeModel:
+    return trees.fit_boosted(train, {"demand": Boosting(DEMAND_FEATURES, "load_actual", rounds, depth)}, test)["demand"]
 
 
-def boosted_trees(train: DataFrame, features: list[str], target: str, rounds: int, depth: int,
-                  rate: float = 0.05, share: float = 0.8) -> PipelineModel:
-    """Gradient-boosted regression trees with row and column sampling.
+def demand_forest(train: DataFrame, number: int = FOREST_SIZE[0], depth: int = FOREST_SIZE[1]) -> TreeModel:
+    """Random forest; nodes of fewer than five rows are not split."""
+    return trees.fit_forest(train, DEMAND_FEATURES, "load_actual", number, depth, least_rows=5)
 
-    Rounds follow one another; the growing lineage is cut every ten rounds in
-    the checkpoint folder.
-    """
-    return _fit(train, features, target, GBTRegressor(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share,
-        featureSubsetStrategy=str(share), seed=SEED, checkpointInterval=10, cacheNodeIds=True))
-
-
-def demand_boosted(train: DataFrame, rounds: int = 500, depth: int = 6) -> PipelineModel:
-    return boosted_trees(train, DEMAND_FEATURES, "load_actual", rounds, depth)
 
-
-def demand_forest(train: DataFrame, trees: int = 200, depth: int = 20, memory_mb: int = 256) -> PipelineModel:
-    """Random forest; nodes of fewer than five rows need not split, here by a leaf minimum of two.
-
-    ``memory_mb`` bounds the histograms of one pass; more of it means fewer passes over large tables.
-    """
-    return _fit(train, DEMAND_FEATURES, "load_actual", RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, checkpointInterval=10,
-        maxMemoryInMB=memory_mb))
+def supply_boosted(train: DataFrame, rounds: int = SOLAR_SIZE[0], solar_depth: int = SOLAR_SIZE[1],
+                   wind_depth: int = WIND_SIZE[1], test: DataFrame | None = None) -> tuple[TreeModel, TreeModel]:
+    """The solar and the wind model, grown in the same passes."""
+    both = trees.fit_boosted(train, {"solar": Boosting(SOLAR_FEATURES, "solar_gen", rounds, solar_depth),
+                                     "wind": Boosting(WIND_FEATURES, "wind_gen", rounds, wind_depth)}, test)
+    return both["solar"], both["wind"]
 
 
-def solar_boosted(train: DataFrame, rounds: int = 400, depth: int = 6) -> PipelineModel:
-    return boosted_trees(train, SOLAR_FEATURES, "solar_gen", rounds, depth)
+def solar_boosted(train: DataFrame, rounds: int = SOLAR_SIZE[0], depth: int = SOLAR_SIZE[1],
+                  test: DataFrame | None = None) -> TreeModel:
+    return trees.fit_boosted(train, {"solar": Boosting(SOLAR_FEATURES, "solar_gen", rounds, depth)}, test)["solar"]
 
 
-def wind_boosted(train: DataFrame, rounds: int = 400, depth: int = 7) -> PipelineModel:
-    return boosted_trees(train, WIND_FEATURES, "wind_gen", rounds, depth)
+def wind_boosted(train: DataFrame, rounds: int = WIND_SIZE[0], depth: int = WIND_SIZE[1],
+                 test: DataFrame | None = None) -> TreeModel:
+    return trees.fit_boosted(train, {"wind": Boosting(WIND_FEATURES, "wind_gen", rounds, depth)}, test)["wind"]
 
 
-def score(model: PipelineModel, df: DataFrame, name: str, floor: float | None = None) -> DataFrame:
+def score(model: TreeModel, df: DataFrame, name: str, floor: float | None = None) -> DataFrame:
     """Add the prediction as ``name``; generation is bounded below by ``floor=0``."""
-    scored = model.transform(df).drop("features", "rawPrediction")
-    prediction = F.col("prediction") if floor is None else clip("prediction", floor)
-    return scored.withColumn(name, prediction).drop("prediction")
+    scored = trees.predict(model, df, name)
+    return scored if floor is None else scored.withColumn(name, clip(name, floor))
 
 
-def feature_names(model: PipelineModel) -> list[str]:
-    return list(model.stages[0].getInputCols())
+def feature_names(model: TreeModel) -> list[str]:
+    return list(model.features)
 
 
-def check_features(model: PipelineModel, features: Iterable[str]) -> None:
+def check_features(model: TreeModel, features: Iterable[str]) -> None:
     """Fail unless the model was trained on exactly these features in this order."""
     trained, given = feature_names(model), list(features)
     if trained != given:
         raise ValueError(f"feature mismatch: trained on {trained}, given {given}")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: TreeModel, path: str) -> None:
+    trees.save(model, path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark, path: str) -> TreeModel:
+    return trees.load(spark, path)
 
 
-def importances(model: PipelineModel, spark) -> DataFrame:
-    """(feature, importance), one row per feature of the model."""
-    learner = model.stages[-1]
-    rows = [(n, float(v)) for n, v in zip(feature_names(model), learner.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+def importances(model: TreeModel) -> DataFrame:
+    """(feature, importance), one row per feature of the model: mean gain, or for forests the share of all gains."""
+    return trees.importances(model, "total_gain" if model.average else "gain")
 
 
 def top_importances(table: DataFrame, n: int = 12) -> DataFrame:
@@ -105,7 +90,7 @@ class MinMax:
     def __init__(self, model: PipelineModel):
         self.model = model
         scaler = model.stages[-1]
-        names = feature_names(model)
+        names = model.stages[0].getInputCols()
         self.low = dict(zip(names, map(float, scaler.originalMin)))
         self.high = dict(zip(names, map(float, scaler.originalMax)))
 
@@ -116,10 +101,10 @@ class MinMax:
 
     @classmethod
     def load(cls, path: str) -> MinMax:
-        return cls(load_model(path))
+        return cls(PipelineModel.load(path))
 
     def save(self, path: str) -> None:
-        save_model(self.model, path)
+        self.model.write().overwrite().save(path)
 
     def _range(self, column: str) -> float:
         return (self.high[column] - self.low[column]) or 1.0

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.operators.models import demand_boosted, demand_forest, score
 from sparkgrid.operators.stats import model_comparison
+from sparkgrid.operators.trees import TreeModel
 from sparkgrid.session import stage
 
 MODELS = {"gbt": "pred_gbt", "rf": "pred_rf"}
@@ -19,7 +19,7 @@ MODELS = {"gbt": "pred_gbt", "rf": "pred_rf"}
 
 @dataclass
 class DemandResult:
-    models: dict[str, PipelineModel]
+    models: dict[str, TreeModel]
     predictions: DataFrame      # test rows: keys, ts, load_actual, pred_gbt, pred_rf, [baseline_forecast]
     comparison: DataFrame       # on the test rows
     scored: DataFrame           # all rows, with split; "train" rows are in-sample
@@ -35,8 +35,8 @@ def forecast_demand(clean: DataFrame, ts: str = "ts", keys: Iterable[str] = (),
     keys = list(keys)
     # Read by two fits and by scoring; the split has written the rows once, and found their times unique.
     rows = time_split(demand_features(clean, ts, keys), ts=ts, keys=keys)
-    train = rows.where(F.col("split") == "train")
-    models = {"gbt": demand_boosted(train, gbt_rounds, gbt_depth), "rf": demand_forest(train, rf_trees, rf_depth)}
+    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+    models = {"gbt": demand_boosted(train, gbt_rounds, gbt_depth, test), "rf": demand_forest(train, rf_trees, rf_depth)}
     scored = rows
     for name, column in MODELS.items():
         scored = score(models[name], scored, column)

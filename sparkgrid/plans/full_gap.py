@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from sparkgrid.constants import DEMAND_FEATURES, SOLAR_FEATURES, WIND_FEATURES
@@ -14,11 +13,12 @@ from sparkgrid.operators.joins import full_gap_rows
 from sparkgrid.operators.levels import classify, quantile_thresholds
 from sparkgrid.operators.models import check_features, score
 from sparkgrid.operators.supply import reconstruct
+from sparkgrid.operators.trees import TreeModel
 from sparkgrid.session import stage
 
 
-def full_gap(clean: DataFrame, raw: DataFrame, demand_model: PipelineModel, solar_model: PipelineModel,
-             wind_model: PipelineModel, mode: str, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+def full_gap(clean: DataFrame, raw: DataFrame, demand_model: TreeModel, solar_model: TreeModel,
+             wind_model: TreeModel, mode: str, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
     """Score every complete hour, join demand with supply, classify by quantile thresholds.
 
     ``split`` tells the hours that the demand model was trained on ("train")

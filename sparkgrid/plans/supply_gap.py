@@ -5,24 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.constants import FIXED_THRESHOLDS
 from sparkgrid.operators.features import supply_features, time_split
 from sparkgrid.operators.levels import classify
-from sparkgrid.operators.models import score, solar_boosted, wind_boosted
+from sparkgrid.operators.models import score, supply_boosted
 from sparkgrid.operators.stats import metrics
 from sparkgrid.operators.supply import reconstruct
+from sparkgrid.operators.trees import TreeModel
 from sparkgrid.session import join_keys, stage
 from sparkgrid.sources.readers import demand_source
 
 
 @dataclass
 class SupplyResult:
-    solar: PipelineModel
-    wind: PipelineModel
+    solar: TreeModel
+    wind: TreeModel
     metrics: DataFrame
     interventions: DataFrame
     mode: str                   # how the models' generation was made; score with the same
@@ -53,7 +53,7 @@ def supply_gap(raw: DataFrame, predictions: DataFrame | None, mode: str = "capac
         *keys, ts, "load_actual", "solar_gen", "wind_gen", "solar_cap", "wind_cap")
     rows = time_split(supply_features(made, ts, keys, fill_capacity=False), ts=ts, keys=keys)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
-    solar, wind = solar_boosted(train, rounds, solar_depth), wind_boosted(train, rounds, wind_depth)
+    solar, wind = supply_boosted(train, rounds, solar_depth, wind_depth, test)
     # Written, so that metrics and result do not run the trees again.
     scored = stage(score(wind, score(solar, test, "pred_solar", 0), "pred_wind", 0).select(
         *keys, ts, "load_actual", "solar_gen", "wind_gen", "pred_solar", "pred_wind"), "scored")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def build_session(app: str = "sparkgrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Where the package is not installed on the executors nor on a shared path,
+    submit it with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables: ``spark.checkpoint.dir``, as the cluster names it.
 

@@ -32,12 +32,12 @@ def raw(spark):
 
 @pytest.fixture(scope="module")
 def demand(raw):
-    return forecast_demand(raw, gbt_rounds=10, gbt_depth=4, rf_trees=10, rf_depth=8)
+    return forecast_demand(raw, gbt_rounds=300, gbt_depth=4, rf_trees=10, rf_depth=8)
 
 
 @pytest.fixture(scope="module")
 def supply(raw, demand):
-    return supply_gap(raw, demand.predictions, mode="peak", rounds=4, solar_depth=4, wind_depth=4)
+    return supply_gap(raw, demand.predictions, mode="peak", rounds=100, solar_depth=4, wind_depth=4)
 
 
 def test_demand_models_beat_the_value_a_week_ago(raw, demand):
@@ -60,7 +60,7 @@ def test_comparison_has_a_baseline(demand):
 def test_saved_model_scores_the_same(spark, demand, tmp_path):
     path = str(tmp_path / "model")
     models.save_model(demand.models["rf"], path)
-    again = models.load_model(path)
+    again = models.load_model(spark, path)
     assert models.feature_names(again) == DEMAND_FEATURES
     rows = spark.createDataFrame([tuple(map(float, range(len(DEMAND_FEATURES))))], DEMAND_FEATURES)
     assert (models.score(again, rows, "p").first().p == models.score(demand.models["rf"], rows, "p").first().p)
@@ -74,7 +74,7 @@ def test_feature_contract(demand):
 
 
 def test_importances_cover_all_features(spark, demand):
-    table = models.importances(demand.models["rf"], spark)
+    table = models.importances(demand.models["rf"])
     assert {r.feature for r in table.collect()} == set(DEMAND_FEATURES)
     top = [r.importance for r in models.top_importances(table).collect()]
     assert len(top) == 12 and top == sorted(top)
