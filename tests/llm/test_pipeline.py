@@ -43,12 +43,30 @@ def plain_probabilities(docs):
         share = np.where(found > 0, found ** mixing.TEMPER, 0)
         goals.append(share / share.sum() * table.sum())
     ratio = np.divide(raked(table, goals, mixing.SWEEPS), table, out=np.zeros_like(table), where=table > 0)
-    low, high = 0.0, 1e6
-    for _ in range(200):
-        scale = (low + high) / 2
-        kept = (np.minimum(1, ratio * scale) * table).sum()
-        low, high = (scale, high) if kept < mixing.BUDGET * table.sum() else (low, scale)
-    p = np.where(table > 0, np.minimum(1, ratio * low), 1.0)
+
+    def factor(weights, held, goal):
+        """What scales ``weights`` so that cells of ``held`` tokens, each kept at most whole, hold ``goal`` tokens."""
+        low, high = 0.0, 1e12
+        for _ in range(300):
+            middle = (low + high) / 2
+            kept = np.minimum(held, weights * middle).sum()
+            low, high = (middle, high) if kept < goal else (low, middle)
+        return high
+
+    # Goals of the sample: a category that holds less than its share of the budget is kept whole.
+    ratio, whole = ratio * mixing.BUDGET, table.sum()
+    wanted = []
+    for k in range(3):
+        found = table.sum(axis=tuple(j for j in range(3) if j != k))
+        scale = factor(goals[k], found, mixing.BUDGET * whole * (1 - 1e-13))
+        wanted.append(np.minimum(found, goals[k] * scale))
+    for _ in range(mixing.SWEEPS):
+        for k in range(3):
+            for c, goal in enumerate(wanted[k]):
+                at = tuple(c if j == k else slice(None) for j in range(3))
+                if (ratio[at] * table[at]).sum() > 0:
+                    ratio[at] *= factor(ratio[at] * table[at], table[at], goal * (1 - 1e-13))
+    p = np.where(table > 0, np.minimum(1, ratio), 1.0)
     return [p[tuple(a.index(x) for a, x in zip(axes, v))] for v in values]
 
 
