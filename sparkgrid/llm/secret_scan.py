@@ -3,17 +3,23 @@
 The patterns give the base spans. The field tags tokens as begin, inside or
 outside of a secret. Its features are the shape of a token, the words and
 shapes around it, and properties of the file. It is trained in one task on
-bounded samples, in which the patterns supply the tags: of all documents, up to
-``SAMPLE_HITS`` with base spans of each kind and ``SAMPLE_CLEAN`` without any,
-of each up to ``SAMPLE_CHARS`` characters around its first span. It is decoded
-by Viterbi over all tokens of the text. The scores of a token are sums of table rows; Viterbi then runs
-where tags other than outside can win at all: a bound on what any run of such
-tags gains over outside (``Field.open_runs``) proves the rest to be outside.
-Tagged spans that touch no base span are added as kind ``crf``.
+bounded samples: of all documents, up to ``SAMPLE_HITS`` with base spans of
+each kind and ``SAMPLE_CLEAN`` without any, of each up to ``SAMPLE_CHARS``
+characters around its first span. The patterns supply the tags, and because
+they would teach nothing but themselves, every text with a hit is also learnt
+twice with names, joints and half of the values replaced (``masked``), and some
+clean ones with secrets put between their words (``planted``). It is decoded by
+Viterbi over all tokens of the text. The scores of a token are sums of table
+rows; Viterbi then runs where tags other than outside can win at all: a bound
+on what any run of such tags gains over outside (``Field.open_runs``) proves
+the rest to be outside. Tagged spans that touch no base span are added as kind
+``crf``.
 
 Defined cases: NULL text counts as empty and has no spans; a corpus without
-base spans trains a field that adds nothing; NULL ids do not train; repeated rows
-get the same spans; an empty table gives an empty result.
+base spans trains on planted secrets only; NULL ids do not train; repeated rows
+get the same spans; very long texts are scanned whole, tokens over
+``LONG_TOKEN`` characters by their first ones; columns of ``df`` lie in a
+struct, so that their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+import random
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,17 +54,20 @@ SAMPLE_CLEAN = 6_000
 SAMPLE_CHARS = 20_000
 TRAIN_TOKENS = 200_000  # in parts of PART tokens; parts that stand for others count as often
 PART = 40
-CACHED_TOKENS = 100_000
+HELD_BYTES = 24 << 20   # of known tokens that a worker keeps
 STEPS_AROUND = (-3, -2, -1, 1, 2)
 MIN_LENGTH = 6
 MIN_SEEN = 3
 STEPS = 120
 RIDGE = 0.5
+SEED = 8
 OUTSIDE, BEGIN, INSIDE = range(3)
 
 KEY_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia", "credential", "private", "bearer")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[=:]|[^\sA-Za-z0-9+/_.=:-]+")
-DIGIT = re.compile(r"[0-9]")
+HEX_ONLY = re.compile("[0-9a-f]+")
+KEYS = re.compile("|".join(KEY_WORDS))
+LONG_TOKEN = 200        # characters of a token that are looked at for its entropy and key words
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -78,19 +89,34 @@ def value_spans(text: str) -> list[tuple[int, int]]:
     return values + [(s, e) for s, kind, e in base_spans(text) if kind]
 
 
+class _Kinds(dict):
+    """Kind of each character, for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        k = "d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c if c in "+/_.=:-\"'" else "x"
+        self[code] = k
+        return k
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"(.)\1+")
+
+
 def shape(token: str) -> str:
     """Kinds of characters in their order, runs shortened: 'Ab12-' is 'Aad-'."""
-    out = []
-    for c in token[:40]:
-        k = "d" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c if c in "+/_.=:-\"'" else "x"
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out[:8])
+    return _RUNS.sub(r"\1", token[:40].translate(_KINDS))[:8]
 
 
 def _letters(token: str) -> float:
-    counts = Counter(token)
-    return -sum(c / len(token) * math.log2(c / len(token)) for c in counts.values())
+    """Bits a character, from the counts of the token's own characters."""
+    return _entropy(tuple(sorted(map(token.count, set(token)))))
+
+
+@lru_cache(1 << 16)
+def _entropy(counts: tuple[int, ...]) -> float:
+    n = sum(counts)
+    return -sum(c / n * math.log2(c / n) for c in counts)
 
 
 def file_features(text: str) -> list[str]:
@@ -99,18 +125,24 @@ def file_features(text: str) -> list[str]:
     return [f"file digits {min(int(digits * 50), 5)}", f"file assigns {min(text.count('=') + text.count(':'), 3)}"]
 
 
-def own_features(w: str) -> list[str]:
+def own_signs(w: str) -> tuple:
+    """What the features of a token itself depend on."""
     length = len(w)
-    return ["bias", f"shape {shape(w)}", f"length {min(length // 4, 10)}",
-            f"bits {int(_letters(w) * 2) if length > 5 else 0}",
-            f"hex {bool(re.fullmatch('[0-9a-f]+', w))} {min(length // 8, 5)}",
-            f"upper {w.isupper()} {w[:4] == 'AKIA'} {length >= 16}", f"digits {DIGIT.search(w) is not None}"]
+    return (shape(w), min(length // 4, 10), int(_letters(w) * 2) if 5 < length <= LONG_TOKEN else 0,
+            HEX_ONLY.fullmatch(w) is not None, min(length // 8, 5), w.isupper(), w[:4] == "AKIA", length >= 16)
+
+
+def own_features(w: str) -> list[str]:
+    form, quarter, bits, is_hex, eighth, upper, access, long = own_signs(w)
+    return ["bias", f"shape {form}", f"length {quarter}", f"bits {bits}", f"hex {is_hex} {eighth}",
+            f"upper {upper} {access} {long}", f"digits {'d' in form}"]
 
 
 def seen_as(w: str) -> str:
     """A token as its neighbours see it: key word, short word or shape."""
-    near = w.lower()
-    return next((k for k in KEY_WORDS if k in near), None) or (near if len(near) < 4 else shape(w))
+    near = w[:LONG_TOKEN].lower()
+    key = KEYS.search(near)
+    return key[0] if key else near if len(near) < 4 else shape(w)
 
 
 def token_features(words: list[str], common: list[str], start: int = 0, stop: int | None = None) -> list[list[str]]:
@@ -130,6 +162,21 @@ def token_features(words: list[str], common: list[str], start: int = 0, stop: in
     return out
 
 
+class _Rows:
+    """Score rows by key, in one growing array."""
+
+    def __init__(self, width: int):
+        self.number: dict = {}
+        self.values = np.zeros((256, width, 3))
+
+    def add(self, key, rows: list) -> int:
+        k = self.number[key] = len(self.number)
+        if k == len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[k] = rows
+        return k
+
+
 class Field:
     """Weights of a trained field: of each feature for the three tags, and from tag to tag."""
 
@@ -144,40 +191,53 @@ class Field:
         self._forget()
 
     def _forget(self) -> None:
-        """Start the table of known tokens: number of the shape; own scores and those lent to neighbours."""
+        """Start the tables of known tokens, of their own scores and of those lent to neighbours."""
         self.known: dict[str, int] = {}
-        self.shape_of = np.zeros(1024, np.int64)
-        self.rows = np.zeros((1024, 1 + len(STEPS_AROUND), 3))
-
-    def _number(self, w: str) -> int:
-        k = self.known[w] = len(self.known)
-        if k == len(self.rows):
-            self.shape_of = np.concatenate([self.shape_of, np.zeros_like(self.shape_of)])
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        near = seen_as(w)
-        self.shape_of[k] = self.shapes.get(shape(w), 0)
-        self.rows[k, 0] = self._sum(own_features(w))
-        for at, step in enumerate(STEPS_AROUND, 1):
-            self.rows[k, at] = self._sum([f"{step} {near}"])
-        return k
-
-    def _sum(self, names: list[str]) -> np.ndarray:
-        return np.sum([self.weights.get(n, (0.0, 0.0, 0.0)) for n in names], axis=0)
+        self.held = 0
+        self.own, self.near = _Rows(1), _Rows(len(STEPS_AROUND))
+        self.places = np.zeros((1024, 3), np.int32)  # of each known token: row of own, row of near, number of the shape
+
+    def _place(self, w: str) -> tuple[int, int, int]:
+        signs, near = own_signs(w), seen_as(w)
+        own, lent = self.own.number.get(signs), self.near.number.get(near)
+        if own is None:
+            own = self.own.add(signs, [self._sum(own_features(w))])
+        if lent is None:
+            lent = self.near.add(near, [self._sum([f"{step} {near}"]) for step in STEPS_AROUND])
+        return own, lent, self.shapes.get(signs[0], 0)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        for w in words:
+            if w not in known:
+                k = known[w] = len(known)
+                if k == len(self.places):
+                    self.places = np.concatenate([self.places, np.zeros_like(self.places)])
+                self.places[k] = self._place(w)
+                self.held += len(w) + 100
+        return self.places[[known[w] for w in words]]
+
+    def _sum(self, names: list[str]) -> tuple[float, float, float]:
+        x = y = z = 0.0
+        for n in names:
+            found = self.weights.get(n)
+            if found is not None:
+                x, y, z = x + found[0], y + found[1], z + found[2]
+        return x, y, z
 
     def scores(self, words: list[str], common: list[str]) -> np.ndarray:
         """Scores of the three tags for each token: the sums of the weights of ``token_features``."""
-        if len(self.known) > CACHED_TOKENS:
+        if self.held > HELD_BYTES:
             self._forget()
-        n, known = len(words), self.known
-        ids = np.array([known[w] if w in known else self._number(w) for w in words], np.int64)
-        found, shapes = self.rows[ids], self.shape_of[ids]
-        e = found[:, 0] + self._sum(common)
+        n, places = len(words), self._places(words)
+        shapes = places[:, 2]
+        e, lent = self.own.values[places[:, 0], 0] + self._sum(common), self.near.values[places[:, 1]]
         for at, step in enumerate(STEPS_AROUND):
             if step < 0:
-                e[-step:] += found[:n + step, at + 1]
+                e[-step:] += lent[:n + step, at]
                 e[:-step] += self.edges[at]
             else:
-                e[:max(n - step, 0)] += found[step:, at + 1]
+                e[:max(n - step, 0)] += lent[step:, at]
                 e[max(n - step, 0):] += self.edges[at]
         e[1:] += self.pairs[shapes[:-1], shapes[1:]]
         return e
@@ -229,7 +289,7 @@ class Field:
 
     def decode(self, features: list[list[str]]) -> list[int]:
         """The most probable tags (Viterbi)."""
-        rows = [self._sum(names).tolist() for names in features]
+        rows = [list(self._sum(names)) for names in features]
         return self._best(rows, [*rows[0][:2], -math.inf], [0.0, 0.0, 0.0])
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -254,9 +314,9 @@ class Field:
         return [(a, b) for a, b in found if b - a >= MIN_LENGTH]
 
 
-def tags_of(text: str, tokens: list[re.Match]) -> list[int]:
-    """Tags that the patterns supply."""
-    values, y, last, k = sorted(value_spans(text)), [], None, 0
+def tags_of(values: list[tuple[int, int]], tokens: list[re.Match]) -> list[int]:
+    """Tags of the tokens of a text whose secrets are ``values``."""
+    values, y, last, k = sorted(values), [], None, 0
     for m in tokens:
         while k < len(values) and values[k][1] <= m.start():
             k += 1
@@ -266,8 +326,94 @@ def tags_of(text: str, tokens: list[re.Match]) -> list[int]:
     return y
 
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+JOINTS = (" = ", "=", ": ", " => ", ":", " ", " := ", "='", '": "')
+
+
+def _ordinary(text: str) -> list[str]:
+    """Words of the text for names and values; none that a pattern knows."""
+    return [w for w in text.split() if w.isalpha() and len(w) > 2 and not KEYS.search(w.lower())][:2000] or ["note"]
+
+
+def masked(text: str, rng: random.Random, values: list[tuple[int, int]] | None = None) -> tuple[str, list[tuple[int, int]]]:
+    """The text with its secrets under other names, and where they then are.
+
+    What stands before a value on its line is replaced by ordinary words of the
+    text, so that names, signs and quotes of the patterns cannot carry the
+    decision; half of the values become made-up ones.
+    """
+    if values is None:
+        values = value_spans(text)
+    words = _ordinary(text)
+    out, spans, at, length = [], [], 0, 0
+    for s, e in sorted(values):
+        name = ASSIGN.search(text, max(at, s - 60), e)
+        begin = name.start() if name and name.end() >= e else s
+        if begin < at:
+            continue
+        kept = text[at:begin]
+        # The rest of a compound name goes with it.
+        stem = len(kept) - len(kept.rstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-.\"'"))
+        kept = kept[:len(kept) - stem] if begin < s else kept
+        lead = "_".join(rng.choice(words).lower() for _ in range(rng.randint(1, 2))) + rng.choice(JOINTS)
+        value = text[s:e] if rng.random() < 0.5 else made_up(rng, words)
+        out += [kept, lead, value]
+        length += len(kept) + len(lead)
+        spans.append((length, length + len(value)))
+        length += len(value)
+        at = e
+    out.append(text[at:])
+    return "".join(out), spans
+
+
+def made_up(rng: random.Random, words: list[str]) -> str:
+    """A value such as people and services choose: random characters, with or without a prefix, or words put together."""
+    kind = rng.randrange(4)
+    if kind == 0:
+        return "".join(rng.choice(words).capitalize() for _ in range(rng.randint(3, 4)))
+    letters = "0123456789abcdef" if kind == 1 else ALNUM + "+/" * (kind == 2)
+    body = "".join(rng.choice(letters) for _ in range(rng.randint(14, 40)))
+    lead = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 4)))
+    return f"{lead}_{body}" if kind == 3 else body
+
+
+def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """The text with one or two made-up secrets between its words, and where they are."""
+    places = [m.end() for m in re.finditer(r"\w(?=\s)", text)] or [len(text)]
+    chosen = sorted(rng.sample(places, min(len(places), rng.randint(1, 2))))
+    marked, values, shift = text, [], 0
+    for place in chosen:
+        marked = f"{marked[:place + shift]} #{marked[place + shift:]}"
+        values.append((place + shift + 1, place + shift + 2))
+        shift += 2
+    words = _ordinary(text)
+    out, spans, at, length = [], [], 0, 0
+    for s, e in values:
+        lead = "_".join(rng.choice(words).lower() for _ in range(rng.randint(1, 2))) + rng.choice(JOINTS)
+        value = made_up(rng, words)
+        out += [marked[at:s], lead, value]
+        length += s - at + len(lead)
+        spans.append((length, length + len(value)))
+        length += len(value)
+        at = e
+    return "".join([*out, marked[at:]]), spans
+
+
+def lessons(texts: list[str]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts and where their secrets are: as the patterns have them, masked, and every eighth clean text with planted ones."""
+    rng = random.Random(SEED)
+    for k, text in enumerate(texts):
+        values = value_spans(text)
+        yield text, values
+        if values:
+            yield masked(text, rng, values)
+            yield masked(text, rng, values)
+        elif k % 8 == 0 and text:
+            yield planted(text, rng)
+
+
 def train(texts: list[str]) -> Field:
-    """Maximum likelihood with a ridge, by gradient steps on parts of all texts of the sample at once.
+    """Maximum likelihood with a ridge, by gradient steps on parts of all lessons of the sample at once.
 
     Of the parts with tags, and of those without, every so many-th is taken if
     they have more than half of ``TRAIN_TOKENS`` each, and counts as often.
@@ -276,8 +422,9 @@ def train(texts: list[str]) -> Field:
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = forbidden
     parts: list[list[tuple[int, int, list[int]]]] = [[], []]
+    texts, spans = map(list, zip(*lessons(texts))) if texts else ([], [])
     for at, text in enumerate(texts):
-        y = tags_of(text, list(TOKEN.finditer(text)))
+        y = tags_of(spans[at], list(TOKEN.finditer(text)))
         for start in range(0, len(y), PART):
             part = y[start:start + PART]
             part[0] = BEGIN if part[0] == INSIDE else part[0]
