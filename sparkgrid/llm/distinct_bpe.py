@@ -60,6 +60,11 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def route(block: int, buckets: int) -> int:
+    """Task of the stream of a block; block numbers of different tasks differ in their high bits only."""
+    return zlib.crc32(block.to_bytes(8, "little")) % buckets
+
+
 class Block:
     """Documents of one task whose pre-tokens are numbered together."""
 
@@ -99,7 +104,7 @@ class Block:
         by_home = np.argsort(homes, kind="stable")
         ends = np.searchsorted(homes[by_home], np.arange(1, buckets + 1))
         pack = zstandard.ZstdCompressor(level=3).compress
-        yield (number % buckets, number, -1, None, self.ids, squeeze(np.array(self.counts)), squeeze(rank[stream]),
+        yield (route(number, buckets), number, -1, None, self.ids, squeeze(np.array(self.counts)), squeeze(rank[stream]),
                squeeze(homes))
         for bucket, (a, b) in enumerate(zip(np.append(0, ends[:-1]), ends)):
             if b > a:
