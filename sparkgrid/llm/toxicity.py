@@ -102,16 +102,19 @@ def document_features(texts: list[str], codes: np.ndarray, table: np.ndarray, co
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id",
                     label: str = "toxic") -> DataFrame:
-    """(id, text, toxic) of a bounded sample, the same for the same ids whatever the order of rows."""
+    """(id, text, toxic) of a bounded sample, the same for the same rows in whatever order.
+
+    Of several labels of an id toxic wins; of several texts the greatest is taken.
+    """
     known = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("toxic")).where(
-        "id is not null and toxic in (0, 1)").dropDuplicates(["id"])
+        "id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     bodies = docs.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text")).where(
         F.char_length("text") <= MAX_CHARS)
     parts = []
     for value, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
         chosen = known.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         parts.append(chosen)
-    return join_small(bodies, parts[0].union(parts[1]), ["id"]).dropDuplicates(["id"])
+    return join_small(bodies, parts[0].union(parts[1]), ["id"]).groupBy("id", "toxic").agg(F.max("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str = "doc_id",
