@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparkgrid.catalog.base import FIXED_SQL, level_case, lookup_case, query
 from sparkgrid.constants import ACTIONS, CLEANING_COLUMNS, RAW_TIME
 from sparkgrid.operators.clean import date_slice
+from sparkgrid.operators.features import first_rows
 from sparkgrid.operators.levels import classify
 from sparkgrid.operators.stats import column_types
 from sparkgrid.session import staging_path
@@ -82,7 +83,15 @@ def _(spark, d):
     return readers.read_table(spark, path, "csv").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query("column_types", """select cast(0 as int) "position", 'o_orderkey' "column", 'bigint' "type"
-  union all select 1, 'o_totalprice', 'double'""")
+@query("column_types", " union all ".join(
+    f"""select cast({k} as int) "position", '{c}' "column", '{t}' "type", count({c}) known from orders"""
+    for k, (c, t) in enumerate([("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                                ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")])))
 def _(spark, d):
-    return column_types(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
+    return column_types(table(spark, d, "orders"))
+
+
+@query("preview_rows", "select * from daily order by ts limit 5", "daily")
+def _(spark, d):
+    """The first five rows in time, with all columns."""
+    return first_rows(grid_daily(spark, d), 5)

@@ -48,9 +48,11 @@ def preview(df: DataFrame, ts: str = "ts", keys: Iterable[str] = ()) -> DataFram
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """(position, column, type), one row per column of the table."""
-    return df.sparkSession.createDataFrame(
-        [(k, *pair) for k, pair in enumerate(df.dtypes)], "position int, column string, type string")
+    """(position, column, type, known), one row per column: its type and how many rows have a value, from one pass."""
+    columns = [F.struct(F.lit(k).alias("position"), F.lit(c).alias("column"),
+                        F.coalesce(F.max(F.typeof(c)), F.lit(kind)).alias("type"), F.count(c).alias("known"))
+               for k, (c, kind) in enumerate(df.dtypes)]
+    return df.agg(F.array(*columns).alias("_all")).select(F.inline("_all"))
 
 
 def extremes(df: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,35 @@ def read_raw(spark: SparkSession, path: str, columns: Iterable[str], ts: str = R
     return nan_to_null(parse_time(rows.select(ts, *columns), ts))
 
 
+def read_checked(spark: SparkSession, path: str, columns: Iterable[str], ts: str = RAW_TIME) -> tuple[DataFrame, DataFrame]:
+    """The readable rows of a wide raw CSV, as ``read_raw`` has them, and the others as (file, line, reason).
+
+    ``reason`` is "columns" where a line has too few or too many of them,
+    "value" where a listed measurement is no number, else "time". Every line of
+    the files is in one of the two tables.
+    """
+    columns = list(columns)
+    names = csv_columns(spark, path)
+    missing = {ts, *columns} - set(names)
+    if missing:
+        raise ValueError(f"columns not in {path}: {sorted(missing)}")
+    # As text, so that a line is whole whatever its values are.
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]])
+    # Lines are counted by all their columns, in both tables.
+    rows = spark.read.schema(schema).option("header", True).option("columnPruning", False).csv(path)
+    numbers = {c: F.col(c).try_cast("double") for c in columns}
+    bad_value = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & numbers[c].isNull() for c in columns])
+    bad_time = F.try_to_timestamp(ts).isNull()
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "columns").when(bad_value, "value").when(bad_time, "time")
+    marked = rows.withColumn("_reason", reason)
+    good = marked.where(F.col("_reason").isNull()).select(
+        F.try_to_timestamp(ts).alias(ts), *[numbers[c].alias(c) for c in columns])
+    line = F.coalesce("_corrupt_record", F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in names]))
+    rejected = marked.where(F.col("_reason").isNotNull()).select(
+        F.col("_metadata.file_path").alias("file"), line.alias("line"), F.col("_reason").alias("reason"))
+    return nan_to_null(good), rejected
+
+
 def parse_time(df: DataFrame, ts: str = RAW_TIME) -> DataFrame:
     """Time text as a UTC timestamp; text that is no time becomes NULL."""
     if isinstance(df.schema[ts].dataType, T.StringType):
