@@ -1,4 +1,4 @@
-"""Tables that are written once and kept up to date: day states, counts per month, checked raw files."""
+"""Tables that are kept up to date as hours arrive: day states, counts per month, checked raw files, live features."""
 
 from datetime import datetime
 
@@ -9,7 +9,9 @@ from sparkgrid.constants import CLEANING_COLUMNS, MONTH_NAMES, RAW_TIME
 from sparkgrid.operators import daystates, rangequantiles
 from sparkgrid.session import staging_path
 from sparkgrid.sources import readers, writers
-from sparkgrid.sources.views import grid_daily, grid_hourly, regional_demand
+from sparkgrid.sources.views import cents, grid_daily, grid_hourly, regional_demand, table
+from sparkgrid.streaming.features import stream_features
+from sparkgrid.streaming.live import run_to_table
 
 # Hours up to 1996 are there, the later ones arrive, and with them corrections of the seventh of May of each year.
 _ARRIVES = datetime(1997, 1, 1)
@@ -108,3 +110,21 @@ def _(spark, d):
     both = good.select(F.lit("good").alias("outcome"), F.lit(None).cast("string").alias("line")).unionByName(
         rejected.select(F.col("reason").alias("outcome"), "line"))
     return both.groupBy("outcome").agg(F.count("*").alias("rows"), F.count("line").alias("lines"))
+
+
+@query("live_features", """, rolled as (select series_id, ts, "value", lag("value", 1) over w lag_1,
+  lag("value", 24) over w lag_24,
+  case when count("value") over f = 24 then avg("value") over f end mean_24,
+  case when count("value") over f = 24 then stddev_samp("value") over f end std_24
+  from series window w as (partition by series_id order by ts, "value"),
+  f as (partition by series_id order by ts, "value" rows between 24 preceding and 1 preceding))
+select series_id, ts, "value", lag_1, lag_24, round(mean_24, 6) + 0.0 mean_24, round(std_24, 6) + 0.0 std_24 from rolled
+  where ts <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from series)""", "series")
+def _(spark, d):
+    """Features of arriving events, one series per type; those of the last hour still wait for the watermark."""
+    schema = table(spark, d, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = arriving.select(F.col("event_type").alias("series_id"), "ts", cents("value").cast("double").alias("value"))
+    made = stream_features(rows, "value", {"lag_1": 1, "lag_24": 24}, {24: ("mean_24", "std_24")}, "1 hour",
+                           keys=["series_id"])
+    return rounded(run_to_table(made), 6, "mean_24", "std_24")
