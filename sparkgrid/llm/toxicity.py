@@ -44,7 +44,7 @@ PENALTY = 20.0
 TOP_SENTENCES = 3
 HELD_BACK = 4             # every so many-th document trains the logistic model only
 THRESHOLD = 0.3
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 
 @dataclass
