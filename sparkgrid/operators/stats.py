@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from sparkgrid.constants import HISTOGRAM_BINS
 from sparkgrid.functions.columns import share
+from sparkgrid.operators.comoments import correlation_pairs  # noqa: F401
 from sparkgrid.operators.quantiles import exact_quantiles
 from sparkgrid.session import join_keys, join_small, stage
 
@@ -105,21 +105,6 @@ def correlation(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
-    """(keys…, first, second, corr) for every pair below the diagonal of the matrix, pairwise complete.
-
-    Each row yields its pairs, which are summed up before the shuffle; only one
-    partial state per pair and task is exchanged.
-    """
-    pairs = [F.struct(F.lit(b).alias("first"), F.lit(a).alias("second"),
-                      F.col(b).cast("double").alias("x"), F.col(a).cast("double").alias("y"))
-             for a, b in combinations(columns, 2)]
-    rows = df.select(*keys, F.inline(F.array(*pairs))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    found = rows.groupBy(*keys, "first", "second").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
-    return found
-
-
 def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]], keys: Iterable[str] = ()) -> DataFrame:
     """One row per series with one correlation per name."""
     return df.groupBy(*keys).agg(*[correlation(F.col(a), F.col(b)).alias(n) for n, (a, b) in pairs.items()])
