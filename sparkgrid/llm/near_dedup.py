@@ -17,7 +17,8 @@
    into one component needs no further pairs. What is left open are members of
    different components in one list. A shingle that no other open document has
    cannot be common, so a document of which over a quarter is its own drops
-   out, and pairs need enough shared shingles on both sides. Short lists are
+   out (shingles of its own component count as its own), and pairs need enough
+   shared shingles on both sides. Short lists are
    paired by a join; long ones are compared in blocks of ``BLOCK`` documents,
    from which only links come out, and blocks of one component meet only
    others. A group of thousands of copies thus costs one pair per member and
@@ -53,7 +54,8 @@ COORDINATES = 32
 MATCHES = 12
 CHUNK = 4096
 SHORT_LIST = 64       # members up to which the open pairs of a list are joined as rows
-BLOCK = 512           # documents on a side that are compared at a time
+BLOCK = 1024          # documents on a side that are compared at a time,
+BLOCK_SHINGLES = 1 << 20  # or so many shingles of them
 
 _rng = np.random.default_rng(20_24)
 SEEDS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -208,10 +210,12 @@ def _open_links(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame, sets:
     one = lists.where("low < high").groupBy("c", "members").agg(F.min("list").alias("list")).select("list")
     opened = stage(marked.join(one, "list", "left_semi"), "open")
 
-    # Only shingles that two open documents have can be common to a pair.
-    entries = sets.join(opened.select("uid").distinct(), "uid", "left_semi").select(
-        "uid", F.explode("set").alias("shingle"))
-    known = stage(entries.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "shingles")
+    # Only shingles that open documents of two components have can be common to a pair.
+    entries = sets.join(opened.select("uid", "label").distinct(), "uid").select(
+        "uid", "label", F.explode("set").alias("shingle"))
+    known = stage(entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
+        "low < high").select("shingle"), "shingles")
+    entries = entries.select("uid", "shingle")
     shared = entries.join(known, "shingle").groupBy("uid").agg(F.collect_list("shingle").alias("shared")).join(
         narrow.select("uid", "n"), "uid").withColumn("s", F.size("shared"))
     shared = stage(shared.where(100 * F.col("s") >= SIMILAR * F.col("n")), "shared")
@@ -242,10 +246,11 @@ def _short_list_links(members: DataFrame, shared: DataFrame) -> DataFrame:
 
 def _long_list_links(members: DataFrame, shared: DataFrame) -> DataFrame:
     """Compare the members of a list block by block; a large component has blocks of its own."""
-    counts = members.groupBy("list", "label").agg(F.count("*").alias("c"))
-    large = F.col("c") >= BLOCK
-    rest = counts.groupBy("list").agg(F.sum(F.when(large, 0).otherwise(F.col("c"))).alias("rest"))
-    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK)
+    counts = members.groupBy("list", "label").agg(
+        F.greatest(F.count("*") / BLOCK, F.sum("s") / BLOCK_SHINGLES).alias("c"))
+    large = F.col("c") >= 1
+    rest = counts.groupBy("list").agg(F.sum(F.when(large, 0.0).otherwise(F.col("c"))).alias("rest"))
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")))
     dealt = F.when(large, F.xxhash64("uid")).otherwise(F.xxhash64("label"))
     homes = stage(members.join(counts, ["list", "label"]).join(rest, "list").select(
         "list", "uid", "label", F.when(large, F.col("label")).otherwise(-1).alias("home"),
