@@ -7,7 +7,7 @@ from sparkgrid.catalog.base import query, rounded, tidy
 from sparkgrid.catalog.cleaning import clean_hourly
 from sparkgrid.catalog.ordered import SUPPLY_SQL, supply_rows
 from sparkgrid.constants import DEMAND_FEATURES
-from sparkgrid.operators import models, stats
+from sparkgrid.operators import models, recurrent, stats
 from sparkgrid.operators.features import demand_features, time_split
 from sparkgrid.plans.demand import compare, forecast_demand
 from sparkgrid.plans.full_gap import full_gap
@@ -15,6 +15,7 @@ from sparkgrid.plans.supply_gap import supply_gap
 from sparkgrid.session import stage, staging_path
 from sparkgrid.sources.views import demand_predictions, grid_hourly
 
+
 def demand_split(spark, d):
     rows = demand_features(grid_hourly(spark, d).select("ts", "load_actual", "load_forecast"))
     return time_split(rows)
@@ -95,6 +96,24 @@ def _(spark, d):
     return rounded(top.select(place.alias("place"), "feature", "importance"), 9)
 
 
+def _recurrent(spark, d):
+    rows = demand_split(spark, d)
+    return rows, recurrent.fit_recurrent(_train(rows), DEMAND_FEATURES, "load_actual")
+
+
+@query("demand_recurrent")
+def _(spark, d):
+    """The recurrent network's answers on the test rows that have a day of test rows before them."""
+    rows, model = _recurrent(spark, d)
+    return rounded(recurrent.predict(model, rows.where(F.col("split") == "test"), "pred_lstm"), 3)
+
+
+@query("recurrent_epochs")
+def _(spark, d):
+    """Errors in training and validation after each epoch, of the scaled load."""
+    return rounded(spark.createDataFrame(_recurrent(spark, d)[1].epochs, "epoch int, loss double, val_loss double"), 6)
+
+
 @query("reloaded_model", _LOADS + """ select ts, true same, true other_features_refused from model_rows""", "hourly")
 def _(spark, d):
     rows = demand_split(spark, d)

@@ -32,7 +32,7 @@ def raw(spark):
 
 @pytest.fixture(scope="module")
 def demand(raw):
-    return forecast_demand(raw, gbt_rounds=300, gbt_depth=4, rf_trees=10, rf_depth=8)
+    return forecast_demand(raw, gbt_rounds=300, gbt_depth=4, rf_trees=10, rf_depth=8, lstm_epochs=3)
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,8 @@ def test_demand_models_beat_the_value_a_week_ago(raw, demand):
 
 def test_comparison_has_a_baseline(demand):
     table = {r.model: r for r in demand.comparison.collect()}
-    assert set(table) == {"gbt", "rf", "baseline"}
+    assert set(table) == {"gbt", "rf", "lstm", "baseline"}
+    assert demand.predictions.where("pred_lstm is null").count() == 24
     assert table["baseline"].improvement_pct is None and table["baseline"].verdict == "baseline"
     base = table["baseline"].mae
     assert table["rf"].improvement_pct == pytest.approx((base - table["rf"].mae) / base * 100)
