@@ -2,20 +2,24 @@
 
 Each task cuts its texts into runs of pre-tokens and looks their lengths up in
 two tiers: a broadcast table of frequent runs, and a cache of its worker that
-is filled by the tokenizer itself and emptied when it holds ``CACHE`` entries.
-The frequent table comes from a bounded sample (``SAMPLE_DOCS`` documents of up
-to ``SAMPLE_CHARS`` characters, ``FREQUENT`` entries); it saves time only, a
-missing entry is encoded like any other.
+is filled by the tokenizer itself and emptied when it holds ``HELD_BYTES``. Runs
+over ``LONGEST`` characters are encoded each time and kept nowhere. The frequent
+table comes from a bounded sample (``SAMPLE_DOCS`` documents of up to
+``SAMPLE_CHARS`` characters, ``FREQUENT`` entries); it saves time only, a missing
+entry is encoded like any other.
 
 Defined cases: NULL text counts as empty and has no tokens; texts that hold an
-added token of the vocabulary go through the tokenizer as a whole; repeated
-rows are counted each; an empty table gives an empty result.
+added token of the vocabulary go through the tokenizer as a whole; very long
+texts are counted whole, also without any break; repeated rows are counted
+each; columns of ``df`` lie in a struct, so that their names cannot clash; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections import Counter
 
 import pandas as pd
@@ -29,7 +33,9 @@ LIMIT = 512
 FREQUENT = 50_000
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 20_000
-CACHE = 600_000
+HELD_BYTES = 96 << 20    # of runs that a worker keeps, with ENTRY_BYTES for each besides its characters
+ENTRY_BYTES = 160
+LONGEST = 64
 MISSES = 4_096
 
 
@@ -47,19 +53,25 @@ def added_tokens(path: str) -> list[str]:
 class PieceLengths:
     """Tokens of runs of pre-tokens; lives in a worker."""
 
-    def __init__(self, path: str, frequent: dict[str, int], limit: int = CACHE):
+    def __init__(self, path: str, frequent: dict[str, int], limit: int = HELD_BYTES):
         self.tokenizer, self.added = load_tokenizer(path), added_tokens(path)
-        self.frequent, self.cache, self.limit = frequent, {}, limit
+        self.frequent, self.cache, self.limit, self.held = frequent, {}, limit, 0
 
     def encode(self, pieces: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > self.limit:
-            self.cache.clear()
+    def learn(self, pieces: list[str]) -> dict[str, int]:
+        """Lengths of runs with a space before them; the short ones stay known."""
+        if self.held > self.limit:
+            self.cache, self.held = {}, 0
+        found = {}
         for start in range(0, len(pieces), MISSES):
             part = pieces[start:start + MISSES]
-            self.cache.update(zip(part, self.encode([" " + p for p in part])))
+            found.update(zip(part, self.encode([" " + p for p in part])))
+        kept = {p: n for p, n in found.items() if len(p) <= LONGEST}
+        self.cache.update(kept)
+        self.held += sum(map(len, kept)) + ENTRY_BYTES * len(kept)
+        return found
 
     def count(self, text: str) -> int:
         if any(token in text for token in self.added):
@@ -70,9 +82,8 @@ class PieceLengths:
         lengths = [frequent.get(p) or cache.get(p, 0) for p in rest]
         if 0 in lengths:
             missing = [p for p, n in zip(rest, lengths) if not n]
-            self.learn(list(dict.fromkeys(missing)))
-            cache = self.cache
-            total += sum(cache[p] for p in missing)
+            found = self.learn(list(dict.fromkeys(missing)))
+            total += sum(found[p] for p in missing)
         return total + sum(lengths)
 
 
@@ -84,9 +95,7 @@ def frequent_pieces(df: DataFrame, path: str, text: str = "text", id_column: str
     texts = sample_texts(df, SAMPLE_DOCS, SAMPLE_CHARS, text, id_column)
     counts = Counter(p for body in texts for p in cut(body)[1:])
     common = [p for p, _ in counts.most_common(FREQUENT)]
-    lengths = PieceLengths(path, {}, len(common) + 1)
-    lengths.learn(common)
-    return lengths.cache
+    return {p: n for p, n in PieceLengths(path, {}).learn(common).items() if len(p) <= LONGEST}
 
 
 def token_count(df: DataFrame, path: str, text: str = "text", id_column: str = "doc_id") -> Column:
@@ -94,10 +103,10 @@ def token_count(df: DataFrame, path: str, text: str = "text", id_column: str = "
     spark = df.sparkSession
     ship(spark)
     frequent = spark.sparkContext.broadcast(frequent_pieces(df, path, text, id_column))
+    key = (path, uuid.uuid4().hex)  # a worker may serve several tables
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        key = (path, id(frequent.value))
         if key not in _loaded:
             _loaded.clear()
             _loaded[key] = PieceLengths(path, frequent.value)
