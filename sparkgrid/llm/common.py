@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from functools import wraps
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +36,37 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it.
 
     Where the package is not installed on the executors nor on a shared path,
-    submit it with ``--py-files``.
+    submit it with ``--py-files``. Batches of rows become smaller, unless the
+    session has a size of its own.
     """
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+    if spark.conf.get(BATCH_SETTING) == "10000":  # Spark's own default
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Rows of a batch between the JVM and a Python worker: documents are long rows, and both sides hold a batch several times.
+BATCH_ROWS = 2_000
+
+
+def released() -> None:
+    """Give memory that is free now back to the system: a worker lives on after its task, and idles or serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def lean(function):
+    """A task's generator that releases its memory at its end."""
+    @wraps(function)
+    def wrapped(*args):
+        yield from function(*args)
+        released()
+    return wrapped
 
 
 def packed(df: DataFrame, name: str = "row") -> Column:

@@ -35,15 +35,19 @@ def best_selectors(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     n = len(values)
     bits = bit_lengths(values)
     least = int(bits.min())
-    room = (np.repeat(ends, ends - starts) - np.arange(n)).astype(np.int32)
+    room = np.minimum(np.repeat(ends, ends - starts) - np.arange(n), 255).astype(np.uint8)
     selector = np.full(n, ESCAPE, np.uint8)
-    too_wide = np.zeros(n + 1, np.int32)
-    for s in range(ESCAPE - 1, -1, -1):
+    # The widest of the next ``count`` values, from windows half as long.
+    widest, length = bits, 1
+    for s in range(ESCAPE, -1, -1):
         count = int(COUNTS[s])
-        if count > n or least > BITS[s]:
+        while length < count <= n:
+            step = min(length, count - length)
+            widest = np.maximum(widest[:len(widest) - step], widest[step:])
+            length += step
+        if count > n or least > BITS[s] or s == ESCAPE:
             continue
-        np.cumsum(bits > BITS[s], out=too_wide[1:], dtype=np.int32)
-        fits = (too_wide[count:] == too_wide[:-count]) & (room[:n - count + 1] >= count)
+        fits = (widest <= BITS[s]) & (room[:n - count + 1] >= count)
         selector[:n - count + 1][fits] = s
     return selector
 
@@ -110,3 +114,12 @@ def unpack(words: np.ndarray) -> np.ndarray:
     escaped = np.flatnonzero(tail)
     values[ends[escaped] - 1] |= (words[escaped] & np.uint64(15)) << np.uint64(60)
     return values
+
+
+def some(words: np.ndarray, offsets: np.ndarray, start: int, end: int) -> np.ndarray:
+    """The values from ``start`` to ``end``, from the words of their blocks alone."""
+    if start >= end:
+        return np.zeros(0, np.uint64)
+    first, last = start // BLOCK, (end - 1) // BLOCK
+    stop = offsets[last + 1] if last + 1 < len(offsets) else len(words)
+    return unpack(words[offsets[first]:stop])[start - first * BLOCK:end - first * BLOCK]
