@@ -15,7 +15,8 @@ cell's probability. DataFrame functions only.
 Defined cases: a NULL or empty source or language is the category "(none)";
 NULL and empty texts have no tokens and topic "empty", and are kept with the
 probability of their cell like any other; cells without tokens get probability
-1; a repeated row shares its twin's fate; an empty table gives an empty result;
+1; a repeated row shares its twin's fate; a very long text weighs by all its
+words; an empty table gives an empty result;
 added columns replace input columns of the same name.
 """
 

@@ -9,7 +9,9 @@ by it.
 
 Defined cases: NULL text has no words; NULL and unlisted languages share one
 reference; without any reference nothing is judged but the base rules;
-repeated rows get the same verdict; an empty table gives an empty result.
+repeated rows get the same verdict; very long texts are read whole, and count
+in the references by all their words; columns of ``df`` lie in a struct, so that
+their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ window of their own. DataFrame functions only.
 Defined cases: NULL text has no bytes (its size is the overhead); NULL ids come
 first; rows with equal ids are ordered by checksum and split freely between
 shards, so a hot id cannot overfill one; a document larger than a share leaves
-neighbouring shards empty; an empty table gives an empty result.
+neighbouring shards empty; repeated rows are documents of their own; only ids
+and texts are read, whatever other columns are called; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
