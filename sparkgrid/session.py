@@ -91,6 +91,17 @@ def staging(spark: SparkSession) -> Iterator[str]:
         remove_folder(spark, folder)
 
 
+@contextmanager
+def staging_as(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables staged inside lie in a folder of their own and stay; ``remove_folder`` drops them."""
+    _scopes.append(f"{name}-{uuid.uuid4().hex}")
+    folder = f"{application_folder(spark)}/{'/'.join(_scopes)}"
+    try:
+        yield folder
+    finally:
+        _scopes.pop()
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder in whatever store it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
