@@ -16,8 +16,9 @@ a lost executor costs only its own blocks. Blocks are bounded by
 follows ``spark.sql.shuffle.partitions``.
 
 Defined cases: NULL text counts as empty and has no ids; special strings are
-ordinary text; NULL and repeated ids are carried through row by row; an empty
-table gives an empty result.
+ordinary text; NULL and repeated ids are carried through row by row; a very long
+text is a block of its own; only ids and texts are read, whatever other columns
+are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgrid.llm.common import ship, text_or_empty
+from sparkgrid.llm.common import lean, released, ship, text_or_empty
 from sparkgrid.llm.pieces import Ragged, cut, gather, read_ranks, row_sums
 
 BLOCK_CHARS = 10 << 20
@@ -112,6 +113,7 @@ class Block:
                 yield bucket, number, bucket, held, None, None, None, None
 
 
+@lean
 def cut_blocks(batches: Iterable[pa.RecordBatch], pattern: str, buckets: int,
                schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     compiled = regex.compile(pattern)
@@ -137,6 +139,7 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+@lean
 def encode_buckets(batches: Iterable[pa.RecordBatch], path: str, pattern: str,
                    schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Puts ids in the place of pre-tokens; rows come sorted by bucket, and a bucket encodes a pre-token once."""
@@ -163,6 +166,7 @@ def encode_buckets(batches: Iterable[pa.RecordBatch], path: str, pattern: str,
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+@lean
 def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(id, ids) of each document; the rows of a block follow each other, its stream first."""
     head, parts = None, {}
@@ -242,6 +246,7 @@ def round_trip(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             # One document at a time: as Python numbers the ids of a batch would take ten times their size.
             yield pd.DataFrame([row(v.tolist()) for v in batch], columns=["ids_sha256", "decoded_sha256"])
+        released()
 
     return encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), digests("ids").alias("d")).select(
         "id", "n_tokens", "d.*")

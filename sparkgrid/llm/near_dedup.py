@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sparkgrid.llm.common import packed, ship, text_or_empty
+from sparkgrid.llm.common import lean, packed, ship, text_or_empty
 from sparkgrid.llm.components import connected_components
 from sparkgrid.session import join_small, stage
 
@@ -97,6 +97,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
+@lean
 def _sketches(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, digests, signatures = [], [], []
@@ -111,6 +112,7 @@ def _sketches(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[
                                           for c, f in zip(columns, schema)], schema=schema)
 
 
+@lean
 def _sets(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the texts that have the wanted words."""
     for batch in batches:
@@ -125,10 +127,14 @@ def _sets(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
 
 def near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(uid, id, n_shingles, component_id, kept) for each row of ``df``; ``uid`` numbers the rows."""
-    ship(df.sparkSession)
     # Written with a number for each row, since ids may repeat or be NULL.
-    docs = stage(df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_column}`").alias("id"),
-                           text_or_empty(text).alias("text")), "texts")
+    return _grouped(stage(df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_column}`").alias("id"),
+                                    text_or_empty(text).alias("text")), "texts"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The groups of a written table (uid, id, text)."""
+    ship(docs.sparkSession)
     sketch_schema = T.StructType([
         T.StructField("uid", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
         T.StructField("digest", T.BinaryType()), T.StructField("signature", T.ArrayType(T.LongType()))])
@@ -312,9 +318,9 @@ def _links(pairs: DataFrame, narrow: DataFrame, sets: DataFrame) -> DataFrame:
 
 def kept_documents(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row of each group, with the columns of ``df`` only."""
-    rows = stage(df.select(packed(df), F.monotonically_increasing_id().alias("number"), text_or_empty(text).alias("text"),
-                           F.col(f"`{id_column}`").alias("id")).withColumn(
-        "key", F.struct(F.col("id").isNull().alias("last"), "id", "number")), "numbered")
-    found = near_duplicates(rows, "text", "key")
-    dropped = stage(found.where(~F.col("kept")).select(F.col("id.number").alias("number")), "dropped")
-    return join_small(rows, dropped, ["number"], "left_anti").select("row.*")
+    rows = stage(df.select(packed(df), F.monotonically_increasing_id().alias("uid")), "numbered")
+    own_id = F.col(f"row.`{id_column}`")
+    docs = rows.select("uid", F.struct(own_id.isNull().alias("last"), own_id.alias("id"), F.col("uid").alias("number")).alias(
+        "id"), text_or_empty(f"row.`{text}`").alias("text"))
+    dropped = stage(_grouped(docs).where(~F.col("kept")).select("uid"), "dropped")
+    return join_small(rows, dropped, ["uid"], "left_anti").select("row.*")

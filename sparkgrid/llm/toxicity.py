@@ -13,9 +13,13 @@ Scoring reads every character of every text, in Arrow batches; the model is a
 table of under a megabyte whatever the size of the corpus.
 
 Defined cases: NULL text counts as empty; an empty text scores like a text
-whose windows are all as clean as can be; documents without id or label do not train;
-without labelled documents of both classes the score of every text is the
-share of toxic ones (0.5 without any).
+whose windows are all as clean as can be; documents without id or label do not
+train; of several labels of an id toxic wins, of several texts the greatest
+trains, and each row is scored for itself; without labelled documents of both
+classes the score of every text is the share of toxic ones (0.5 without any);
+very long texts are scored whole, in blocks, but do not train (``MAX_CHARS``);
+columns of ``df`` lie in a struct, so that their names cannot clash; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm import string_kernel as sk
-from sparkgrid.llm.common import packed, ship, text_or_empty
+from sparkgrid.llm.common import packed, released, ship, text_or_empty
 from sparkgrid.session import join_small
 
 MAX_POSITIVE = 2_500
@@ -129,7 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_column: str =
         for batch in batches:
             texts += batch["text"].tolist()
             toxic += batch["toxic"].tolist()
-        yield pd.DataFrame({"model": [pickle.dumps(fit_sample(texts, np.array(toxic, dtype=np.int64), share))]})
+        model = pickle.dumps(fit_sample(texts, np.array(toxic, dtype=np.int64), share))
+        texts.clear()
+        yield pd.DataFrame({"model": [model]})
+        released()
 
     sample = training_sample(docs, labels, text, id_column, label)
     ordered = sample.repartition(1).sortWithinPartitions("id").select("text", "toxic")
@@ -230,8 +237,10 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts.tolist()))
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts.tolist()))
+        released()
 
     return toxicity(text_or_empty(text))
 

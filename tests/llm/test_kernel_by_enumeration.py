@@ -2,6 +2,7 @@
 
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -86,6 +87,18 @@ def test_pipeline_handles_awkward_rows(spark, tmp_path):
 def test_pipeline_of_no_rows(spark, tmp_path):
     docs = data.frame(spark, data.rows(n=3)).limit(0)
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, str(tmp_path))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() == 0
+
+
+def test_a_stage_drops_what_the_one_before_staged(spark, tmp_path):
+    docs = data.frame(spark, data.rows(n=5))
+    docs.select("doc_id", F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    folders = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        folders += [Path(f.removeprefix("file:")) for f in corpus_pipeline._staged]
+        assert [f.exists() for f in folders] == [False] * k + [True]
