@@ -214,10 +214,12 @@ def _open_links(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame, sets:
         F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"),
         F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"))
     one = lists.where("low < high").groupBy("c", "members").agg(F.min("list").alias("list")).select("list")
-    opened = stage(marked.join(one, "list", "left_semi"), "open")
+    # A row per document with its lists, at most one for each coordinate, so that joins by document see it once.
+    opened = stage(marked.join(one, "list", "left_semi").groupBy("uid").agg(
+        F.first("label").alias("label"), F.collect_list("list").alias("lists")), "open")
 
     # Only shingles that open documents of two components have can be common to a pair.
-    entries = sets.join(opened.select("uid", "label").distinct(), "uid").select(
+    entries = sets.join(opened.select("uid", "label"), "uid").select(
         "uid", "label", F.explode("set").alias("shingle"))
     known = stage(entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
         "low < high").select("shingle"), "shingles")
@@ -226,7 +228,8 @@ def _open_links(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame, sets:
         narrow.select("uid", "n"), "uid").withColumn("s", F.size("shared"))
     shared = stage(shared.where(100 * F.col("s") >= SIMILAR * F.col("n")), "shared")
 
-    members = opened.join(shared.select("uid", "n", "s"), "uid")
+    members = opened.join(shared.select("uid", "n", "s"), "uid").select(
+        "uid", "label", "n", "s", F.explode("lists").alias("list"))
     sizes = members.groupBy("list").agg(F.count("*").alias("length"), F.min("label").alias("low"),
                                         F.max("label").alias("high")).where("low < high").select("list", "length")
     members = stage(members.join(sizes, "list"), "members")
