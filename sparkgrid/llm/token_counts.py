@@ -17,8 +17,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 from collections import Counter
 
@@ -27,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkgrid.llm.common import packed, sample_texts, ship, text_or_empty
-from sparkgrid.llm.pieces import cut
+from sparkgrid.llm.pieces import added_tokens, cut, load_tokenizer
 
 LIMIT = 512
 FREQUENT = 50_000
@@ -39,17 +37,6 @@ LONGEST = 64
 MISSES = 4_096
 
 
-def load_tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
-
-
-def added_tokens(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as file:
-        return [t["content"] for t in json.load(file).get("added_tokens", [])]
-
-
 class PieceLengths:
     """Tokens of runs of pre-tokens; lives in a worker."""
 
