@@ -16,7 +16,7 @@ S = ["series_id"]
 @query("positions", """select series_id, ts, row_number() over (partition by series_id order by ts) - 1 pos,
   count(*) over (partition by series_id) size from series""", "series")
 def _(spark, d):
-    return with_position(event_series(spark, d), "ts", S).df.select(
+    return with_position(event_series(spark, d), "ts", S, ties=["value"]).df.select(
         "series_id", "ts", F.col(POS).alias("pos"), F.col(SIZE).alias("size"))
 
 

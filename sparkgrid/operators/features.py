@@ -15,15 +15,16 @@ from sparkgrid.operators.ordered import POS, SIZE, Buckets, OrderedRows, buckets
 WEEK_ROWS = 168
 
 
-def lags(df: DataFrame, column: str, names: dict[str, int], ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+def lags(df: DataFrame, column: str, names: dict[str, int], ts: str = "ts", keys: Iterable[str] = (),
+         ties: Iterable[str] | None = None) -> DataFrame:
     """Values ``k`` rows earlier, by position."""
-    return buckets(df, max(names.values()), ts, keys).lags(column, names).close()
+    return buckets(df, max(names.values()), ts, keys, ties=ties).lags(column, names).close()
 
 
 def rolling(df: DataFrame, column: str, windows: dict[int, tuple[str | None, str | None]], ts: str = "ts",
-            keys: Iterable[str] = ()) -> DataFrame:
+            keys: Iterable[str] = (), ties: Iterable[str] | None = None) -> DataFrame:
     """Mean and deviation of the previous n rows: ``{n: (mean name, std name)}``."""
-    b = buckets(df, max(windows), ts, keys)
+    b = buckets(df, max(windows), ts, keys, ties=ties)
     for rows, (mean, std) in windows.items():
         b = b.rolling(column, rows, mean, std)
     return b.close()
@@ -66,18 +67,19 @@ def supply_features(df: DataFrame, ts: str = "ts", keys: Iterable[str] = (), sol
     return out.dropna("any", subset=list(needed))
 
 
-def time_split(df: DataFrame, train_share: float = TRAIN_SHARE, ts: str = "ts", keys: Iterable[str] = ()) -> DataFrame:
+def time_split(df: DataFrame, train_share: float = TRAIN_SHARE, ts: str = "ts", keys: Iterable[str] = (),
+               ties: Iterable[str] | None = None) -> DataFrame:
     """Add ``split``: the first ``int(rows × share)`` rows of a series are "train", the rest "test".
 
     The result reads a written table, so that several fits may use it.
     """
-    ordered = with_position(df, ts, keys).df
+    ordered = with_position(df, ts, keys, ties=ties).df
     train = F.col(POS) < F.floor(F.col(SIZE) * train_share)
     return ordered.withColumn("split", F.when(train, "train").otherwise("test")).drop(POS, SIZE)
 
 
 def sequences(df: DataFrame, features: list[str], target: str, rows: int = SEQUENCE_ROWS, ts: str = "ts",
-              keys: Iterable[str] = (), name: str = "sequence") -> DataFrame:
+              keys: Iterable[str] = (), name: str = "sequence", ties: Iterable[str] | None = None) -> DataFrame:
     """(keys…, ts, sequence, target): the feature rows of the ``rows`` rows before each row.
 
     A series starts anew per ``keys``; put the split into them to keep train and
@@ -85,7 +87,7 @@ def sequences(df: DataFrame, features: list[str], target: str, rows: int = SEQUE
     """
     step = F.array(*[F.col(c).cast("double") for c in features])
     keys = list(keys)
-    b = buckets(df.select(*dict.fromkeys([*keys, ts, *features, target])), rows, ts, keys)
+    b = buckets(df.select(*dict.fromkeys([*keys, ts, *features, target, *(ties or ())])), rows, ts, keys, ties=ties)
     out = b.rows_before(step, rows, name).close()
     return out.where(F.col(name).isNotNull()).select(*keys, ts, name, F.col(target).alias("target"))
 

@@ -34,9 +34,9 @@ class Fill:
 
 
 def fill(df: DataFrame, rules: dict[str, Fill], order: str = "ts", keys: Iterable[str] = (),
-         bucket_rows: int | None = None) -> DataFrame:
+         bucket_rows: int | None = None, ties: Iterable[str] | None = None) -> DataFrame:
     """Fill each column in ``rules``; other columns and all known values stay as they are."""
-    return fill_ordered(with_position(df, order, keys, bucket_rows), rules).drop(POS, SIZE)
+    return fill_ordered(with_position(df, order, keys, bucket_rows, ties), rules).drop(POS, SIZE)
 
 
 def fill_ordered(ordered: OrderedRows, rules: dict[str, Fill]) -> DataFrame:

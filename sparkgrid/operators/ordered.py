@@ -44,8 +44,8 @@ class OrderedRows:
         return max(min(wanted, MAX_BUCKET_ROWS), MIN_BUCKET_ROWS, 8 * back)
 
 
-def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
-                  bucket_rows: int | None = None) -> OrderedRows:
+def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (), bucket_rows: int | None = None,
+                  ties: Iterable[str] | None = None) -> OrderedRows:
     """Number the rows of each series by time: adds ``_pos`` (from 0) and ``_size``.
 
     The range-partitioned rows are written once to the shared folder. A second
@@ -53,18 +53,21 @@ def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
     then renumber rows; reading a written table cannot. Only one count per
     (partition, series) goes through a window of its own.
 
-    Rows without a time have no position and are left out. Two rows of a series
-    with the same time are an error; they are counted on the sorted rows, which
-    needs no further exchange.
+    Rows without a time have no position and are left out. Rows of a series
+    with the same time follow the columns ``ties``, NULL first; rows that are
+    equal in these too may change places. Without ``ties`` two rows with the
+    same time are an error; they are counted on the sorted rows, which needs no
+    further exchange.
     """
     keys = list(keys)
-    by = [*keys, order]
+    times = [*keys, order]
+    by = times if ties is None else list(dict.fromkeys([*times, *ties]))
     df = df.where(F.col(order).isNotNull())
     row_id = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
     staged = stage(
         ranged.withColumns({_PART: F.shiftright(row_id, 33), _ROW: row_id.bitwiseAND(F.lit((1 << 33) - 1))})
-        .withColumn(_SAME, F.count("*").over(Window.partitionBy(*by))),
+        .withColumn(_SAME, F.count("*").over(Window.partitionBy(*times)) if ties is None else F.lit(1)),
         "ordered",
     )
     blocks = staged.groupBy(*keys, _PART).agg(F.count("*").alias("_n"), F.min(_ROW).alias("_first"),
@@ -79,7 +82,7 @@ def with_position(df: DataFrame, order: str = "ts", keys: Iterable[str] = (),
     totals = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                         F.max("_same").alias("same")).first()
     if (totals.same or 0) > 1:
-        found = staged.where(F.col(_SAME) > 1).select(*by).first()
+        found = staged.where(F.col(_SAME) > 1).select(*times).first()
         raise ValueError(f"more than one row for {found.asDict()}")
     numbered = join_small(staged, offsets, [*keys, _PART], rows=totals.blocks)
     result = numbered.select(*df.columns, (F.col("_shift") + F.col(_ROW)).alias(POS), SIZE)
@@ -182,5 +185,5 @@ class Buckets:
 
 
 def buckets(df: DataFrame, back: int, order: str = "ts", keys: Iterable[str] = (),
-            bucket_rows: int | None = None) -> Buckets:
-    return Buckets(with_position(df, order, keys, bucket_rows), back)
+            bucket_rows: int | None = None, ties: Iterable[str] | None = None) -> Buckets:
+    return Buckets(with_position(df, order, keys, bucket_rows, ties), back)
