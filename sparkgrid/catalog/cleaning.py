@@ -106,7 +106,7 @@ def _(spark, d):
     v = F.when(F.col("value") >= 3000, F.col("value"))
     rows = event_series(spark, d).select("series_id", "ts", v.alias("short"), v.alias("full"), v.alias("line"))
     return fill(rows, {"short": Fill("forward", 3), "full": Fill("forward"), "line": Fill("interpolate", 6)},
-                keys=["series_id"])
+                keys=["series_id"], ties=["short"])
 
 
 query("clean_table", "select * from clean", "clean")(clean_hourly)
