@@ -291,7 +291,7 @@ def _(spark, d):
     v = F.when(F.col("value") >= 3000, F.col("value"))
     rows = event_series(spark, d).select(F.nullif(F.col("series_id"), F.lit("view")).alias("series_id"), "ts",
                                          v.alias("short"), v.alias("full"))
-    return fill(rows, {"short": Fill("forward", 3), "full": Fill("forward")}, keys=["series_id"])
+    return fill(rows, {"short": Fill("forward", 3), "full": Fill("forward")}, keys=["series_id"], ties=["short"])
 
 
 # Profiles by series: one exceeds 1, one is empty, one is negative in places.

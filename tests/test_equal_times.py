@@ -12,7 +12,7 @@ from sparkgrid.operators.ordered import POS, with_position
 from tests.compare import compare
 
 START = dt.datetime(2024, 1, 1)
-FILLS = ["fill_by_series"]
+FILLS = ["fill_by_series", "fill_null_series"]
 ORDERED = ["positions"]
 
 
