@@ -30,7 +30,7 @@ def _(spark, d):
 @query("lags_by_series", """select series_id, ts, lag("value", 1) over w lag_1h, lag("value", 168) over w lag_168h
   from series window w as (partition by series_id order by ts)""", "series")
 def _(spark, d):
-    return ops.lags(event_series(spark, d), "value", {"lag_1h": 1, "lag_168h": 168}, keys=S).drop("value")
+    return ops.lags(event_series(spark, d), "value", {"lag_1h": 1, "lag_168h": 168}, keys=S, ties=["value"]).drop("value")
 
 
 def _roll(column: str, n: int, f: str, by: str = "", decimals: int = 6) -> str:
