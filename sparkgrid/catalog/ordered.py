@@ -212,7 +212,7 @@ def null_series(spark, d):
 @query("lags_null_series", NULL_SERIES + """ select series_id, ts, lag("value", 1) over w lag_1h,
   lag("value", 24) over w lag_24h from parts window w as (partition by series_id order by ts)""", "series")
 def _(spark, d):
-    return ops.lags(null_series(spark, d), "value", {"lag_1h": 1, "lag_24h": 24}, keys=S).drop("value")
+    return ops.lags(null_series(spark, d), "value", {"lag_1h": 1, "lag_24h": 24}, keys=S, ties=["value"]).drop("value")
 
 
 @query("time_split_null_series", NULL_SERIES + """ select series_id, ts, case when row_number() over w - 1
