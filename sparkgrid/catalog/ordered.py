@@ -70,7 +70,7 @@ _by = "partition by series_id "
   {_roll('"value"', 168, 'stddev_samp', _by)} std_168 from series""", "series")
 def _(spark, d):
     rows = ops.rolling(event_series(spark, d), "value", {24: ("mean_24", "std_24"), 168: ("mean_168", "std_168")},
-                       keys=S)
+                       keys=S, ties=["value"])
     return rounded(rows.drop("value"))
 
 
