@@ -122,7 +122,7 @@ def _(spark, d):
   window f as (partition by series_id order by ts rows between 24 preceding and 1 preceding))
 select series_id, ts, target, total from framed where n = 24""", "series")
 def _(spark, d):
-    rows = ops.sequences(event_series(spark, d), ["value"], "value", 24, keys=S)
+    rows = ops.sequences(event_series(spark, d), ["value"], "value", 24, keys=S, ties=["value"])
     total = F.aggregate("sequence", F.lit(0.0), lambda acc, step: acc + step[0])
     return rows.select("series_id", "ts", "target", total.alias("total"))
 
