@@ -219,7 +219,7 @@ def _(spark, d):
   < floor(count(*) over (partition by series_id) * 0.80) then 'train' else 'test' end split from parts
   window w as (partition by series_id order by ts)""", "series")
 def _(spark, d):
-    return ops.time_split(null_series(spark, d).select("series_id", "ts"), keys=S)
+    return ops.time_split(null_series(spark, d).select("series_id", "ts"), keys=S, ties=())
 
 
 def _first_last(which, order):

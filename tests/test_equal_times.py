@@ -13,7 +13,7 @@ from tests.compare import compare
 
 START = dt.datetime(2024, 1, 1)
 FILLS = ["fill_by_series", "fill_null_series"]
-ORDERED = ["positions", "lags_by_series", "lags_null_series", "rolling_by_series", "sequences_by_series"]
+ORDERED = ["positions", "lags_by_series", "lags_null_series", "rolling_by_series", "sequences_by_series", "time_split_null_series"]
 
 
 @pytest.fixture(scope="module")
