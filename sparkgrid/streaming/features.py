@@ -7,7 +7,10 @@ goes out. So every hour goes out once, in order of time, with what the batch
 gives it. An hour that arrives behind the watermark is late: Spark leaves it
 out and counts it in the progress of the query; it is in no later window
 either. State and position survive a restart with the same checkpoint. State
-per series is bounded by ``back`` values and by what arrives within the delay.
+per series is bounded by ``back`` values and by what arrives within the delay,
+at 16 bytes an hour: times and values are kept as packed numbers, and features
+are made and handed on ``PART`` rows at a time, since one batch may bring, or
+pass, any number of hours of a series.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkgrid.session import ship
 
-STATE = "past array<double>, times array<bigint>, waiting array<double>"
+STATE = "past binary, times binary, waiting binary"   # float64, int64 (microseconds), float64
+PART = 8192
 
 
 def window_features(past: np.ndarray, lags: Mapping[str, int],
@@ -69,26 +73,29 @@ def stream_features(stream: DataFrame, column: str, lags: Mapping[str, int],
         F.lit(1).alias("_one")).withWatermark("_at", delay)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        past, times, waiting = ([np.nan if v is None else v for v in part] if i != 1 else list(part)
-                                for i, part in enumerate(state.get if state.exists else ([], [], [])))
-        for frame in frames:
-            times += frame["_us"].tolist()
-            waiting += frame[column].astype(float).tolist()
-        passed = state.getCurrentWatermarkMs() * 1000
-        order = sorted(range(len(times)), key=lambda i: (times[i], np.isnan(waiting[i]), waiting[i]))
-        ready = [i for i in order if times[i] <= passed]
-        held = [i for i in order if times[i] > passed]
-        made, values = [], np.array(past + [waiting[i] for i in ready], float)
-        for place, i in enumerate(ready, len(past)):
-            found = window_features(values[max(0, place - back):place], lags, windows)
-            made.append((*key, times[i], _known(waiting[i]), *[found[n] for n in names]))
-        kept = values[max(0, len(values) - back):]
-        state.update(([None if np.isnan(v) else float(v) for v in kept], [times[i] for i in held],
-                      [None if np.isnan(waiting[i]) else float(waiting[i]) for i in held]))
-        if held:
+        past, times, waiting = (np.frombuffer(part, kind) for part, kind in zip(
+            state.get if state.exists else (b"", b"", b""), (np.float64, np.int64, np.float64)))
+        arrived = [(frame["_us"].to_numpy(np.int64), frame[column].to_numpy(np.float64)) for frame in frames]
+        times = np.concatenate([times, *[t for t, _ in arrived]])
+        waiting = np.concatenate([waiting, *[v for _, v in arrived]])
+        del arrived
+        # By time, then value, missing ones last.
+        order = np.lexsort((waiting, times))
+        times, waiting = times[order], waiting[order]
+        del order
+        ready = int(np.searchsorted(times, state.getCurrentWatermarkMs() * 1000, "right"))
+        values = np.concatenate((past, waiting[:ready]))
+        state.update((values[max(0, len(values) - back):].tobytes(), times[ready:].tobytes(), waiting[ready:].tobytes()))
+        if ready < len(times):
             # Called again when the watermark has passed the first of those that wait.
-            state.setTimeoutTimestamp(max(times[held[0]] // 1000, state.getCurrentWatermarkMs() + 1))
-        if made:
+            state.setTimeoutTimestamp(max(int(times[ready]) // 1000, state.getCurrentWatermarkMs() + 1))
+        times, waiting = times[:ready].copy(), None
+        for first in range(0, ready, PART):
+            made = []
+            for i, time in enumerate(times[first:first + PART].tolist(), first):
+                place = len(past) + i
+                found = window_features(values[max(0, place - back):place], lags, windows)
+                made.append((*key, time, _known(values[place]), *[found[n] for n in names]))
             yield pd.DataFrame(made, columns=out.names).astype({n: "float64" for n in (column, *names)})
 
     grouped = rows.groupBy(*(keys or ["_one"]))
