@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -154,7 +154,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     tested = _hub_pairs(prefixes)
     links = _links(tested, narrow, sets)
     labels = connected_components(links)
-    more = _open_links(prefixes, labels, narrow, sets)
+    more = stage(_open_links(prefixes, labels, narrow, sets), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
@@ -219,12 +219,13 @@ def _open_links(prefixes: DataFrame, labels: DataFrame, narrow: DataFrame, sets:
         F.first("label").alias("label"), F.collect_list("list").alias("lists")), "open")
 
     # Only shingles that open documents of two components have can be common to a pair.
+    # A window finds them with one exchange of the entries and one of the sets.
     entries = sets.join(opened.select("uid", "label"), "uid").select(
         "uid", "label", F.explode("set").alias("shingle"))
-    known = stage(entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        "low < high").select("shingle"), "shingles")
-    entries = entries.select("uid", "shingle")
-    shared = entries.join(known, "shingle").groupBy("uid").agg(F.collect_list("shingle").alias("shared")).join(
+    owners = Window.partitionBy("shingle")
+    known = entries.select("uid", "shingle", F.min("label").over(owners).alias("low"),
+                           F.max("label").over(owners).alias("high")).where("low < high")
+    shared = known.groupBy("uid").agg(F.collect_list("shingle").alias("shared")).join(
         narrow.select("uid", "n"), "uid").withColumn("s", F.size("shared"))
     shared = stage(shared.where(100 * F.col("s") >= SIMILAR * F.col("n")), "shared")
 
