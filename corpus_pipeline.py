@@ -69,8 +69,7 @@ def mixed(spark, docs, sf_dir):
 def encoded(spark, docs, sf_dir):
     """Token ids of each document, checked by decoding them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = distinct_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    return distinct_bpe.round_trip(ids, path).withColumnRenamed("id", "doc_id")
+    return distinct_bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -42,13 +42,15 @@ def ship(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
-    if spark.conf.get(BATCH_SETTING) == "10000":  # Spark's own default
-        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    for name, default, value in BATCH_SETTINGS:
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
 
 
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-# Rows of a batch between the JVM and a Python worker: documents are long rows, and both sides hold a batch several times.
-BATCH_ROWS = 2_000
+# Rows and bytes of a batch between the JVM and a Python worker, after Spark's own defaults: documents, and blocks of
+# them, are long rows, and both sides hold a batch several times.
+BATCH_SETTINGS = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+                  ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")]
 
 
 def released() -> None:

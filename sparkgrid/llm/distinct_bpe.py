@@ -6,7 +6,9 @@
    copies of one meet in a bucket, where it is encoded once. However frequent
    it is, it arrives once per block.
 3. The ids go back to the blocks, where the stream of positions puts them in
-   order. Decoding looks the ids up in the table of token bytes.
+   order, some documents at a time. Decoding looks the ids up in the table of
+   token bytes; ``encode_and_decode`` does so in the task that has the ids, so
+   that they need not pass through a second Python worker.
 
 The pre-tokens of a block that fall into a bucket travel as one compressed
 row, so the shuffle carries no more rows than it has segments anyway. The
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,7 @@ from sparkgrid.llm.common import lean, released, ship, text_or_empty
 from sparkgrid.llm.pieces import Ragged, cut, gather, read_ranks, row_sums
 
 BLOCK_CHARS = 10 << 20
+PART = 1 << 19            # pre-tokens of a block whose ids are put together at a time
 MIN_BUCKETS = 48
 SEPARATOR = b"\xff"       # never part of UTF-8
 
@@ -175,15 +178,15 @@ def put_together(batches: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterat
             row = {name: batch.column(name)[k] for name in batch.schema.names}
             if row["bucket"].as_py() < 0:
                 if head is not None:
-                    yield _documents(head, parts, schema)
+                    yield from _documents(head, parts, schema)
                 head, parts = row, {}
             else:
                 parts[row["bucket"].as_py()] = row["words"].as_py()
     if head is not None:
-        yield _documents(head, parts, schema)
+        yield from _documents(head, parts, schema)
 
 
-def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> pa.RecordBatch:
+def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     homes = unsqueeze(head["homes"].as_py())
     order = np.argsort(homes, kind="stable")
     coded = [unsqueeze(parts[b]) for b in sorted(parts)] or [np.zeros(1, np.uint32)]
@@ -192,18 +195,24 @@ def _documents(head: dict, parts: dict[int, bytes], schema: pa.Schema) -> pa.Rec
     starts = np.cumsum(lengths) - lengths
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
-    stream = place[unsqueeze(head["stream"].as_py())]
-    counts = lengths[stream]
-    ids = gather(values, starts[stream], counts).view(np.int32)
-    per_document = row_sums(counts, unsqueeze(head["pieces"].as_py()).astype(np.int64))
-    ends = np.concatenate(([0], np.cumsum(per_document))).astype(np.int32)
-    rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(schema.field("ids").type)
-    return pa.RecordBatch.from_arrays([head["ids"].values.cast(schema.field("id").type), rows], schema=schema)
-
-
-def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
-                     id_column: str = "doc_id") -> DataFrame:
-    """(id, ids): the token ids of each whole text, one row per row of ``df``."""
+    stream = unsqueeze(head["stream"].as_py())
+    doc_ids = head["ids"].values.cast(schema.field("id").type)
+    pieces = unsqueeze(head["pieces"].as_py()).astype(np.int64)
+    piece_ends = np.concatenate(([0], np.cumsum(pieces)))
+    first = 0
+    while first < len(pieces):
+        last = max(first + 1, int(np.searchsorted(piece_ends, piece_ends[first] + PART, "right")) - 1)
+        words = place[stream[piece_ends[first]:piece_ends[last]]]
+        counts = lengths[words]
+        ids = gather(values, starts[words], counts).view(np.int32)
+        ends = np.concatenate(([0], np.cumsum(row_sums(counts, pieces[first:last])))).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)).cast(schema.field("ids").type)
+        yield pa.RecordBatch.from_arrays([doc_ids[first:last], rows], schema=schema)
+        first = last
+
+
+def _encoded_blocks(df: DataFrame, path: str, pattern: str, text: str, id_column: str) -> tuple[DataFrame, T.StructType]:
+    """Blocks with their ids, each in one task for ``put_together``, and the schema of what that gives."""
     spark = df.sparkSession
     ship(spark)
     rows = df.select(F.col(f"`{id_column}`").alias("id"), text_or_empty(text).alias("text"))
@@ -213,13 +222,29 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
     block_schema = T._parse_datatype_string(BLOCK_SCHEMA.format(id=kind))
     out_schema = T.StructType([T.StructField("id", rows.schema["id"].dataType),
                                T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    block_arrow, out_arrow = to_arrow_schema(block_schema), to_arrow_schema(out_schema)
+    block_arrow = to_arrow_schema(block_schema)
 
     blocks = rows.mapInArrow(lambda b: cut_blocks(b, pattern, buckets, block_arrow), block_schema)
     dealt = blocks.repartition(buckets, "route").sortWithinPartitions("bucket", "block")
     coded = dealt.mapInArrow(lambda b: encode_buckets(b, path, pattern, block_arrow), block_schema)
-    return coded.repartition(buckets, "block").sortWithinPartitions("block", "bucket").mapInArrow(
-        lambda b: put_together(b, out_arrow), out_schema)
+    return coded.repartition(buckets, "block").sortWithinPartitions("block", "bucket"), out_schema
+
+
+def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
+                     id_column: str = "doc_id") -> DataFrame:
+    """(id, ids): the token ids of each whole text, one row per row of ``df``."""
+    blocks, schema = _encoded_blocks(df, path, pattern, text, id_column)
+    arrow = to_arrow_schema(schema)
+    return blocks.mapInArrow(lambda b: put_together(b, arrow), schema)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text",
+                      id_column: str = "doc_id") -> DataFrame:
+    """``round_trip`` of ``encode_documents``: each text's ids are decoded where they were put together."""
+    blocks, ids_schema = _encoded_blocks(df, path, pattern, text, id_column)
+    schema = T.StructType([ids_schema["id"], *T._parse_datatype_string(f"n_tokens long, {DIGESTS}")])
+    ids_arrow, arrow = to_arrow_schema(ids_schema), to_arrow_schema(schema)
+    return blocks.mapInArrow(lambda b: _decoded(put_together(b, ids_arrow), path, arrow), schema)
 
 
 def token_table(path: str) -> list[bytes]:
@@ -231,21 +256,43 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
+DIGESTS = "ids_sha256 string, decoded_sha256 string"
+
+
+def digester(path: str) -> Callable[[np.ndarray], tuple[str, str]]:
+    """Digests of the ids of one document, as written in decimal and as decoded."""
+    table = token_table(path)
+    numbers = [str(i) for i in range(len(table))]
+
+    def row(ids: np.ndarray) -> tuple[str, str]:
+        # One document at a time: as Python numbers the ids of a batch would take ten times their size.
+        held = ids.tolist()
+        written = " ".join([numbers[i] for i in held]).encode()
+        return hashlib.sha256(written).hexdigest(), hashlib.sha256(b"".join([table[i] for i in held])).hexdigest()
+    return row
+
+
+@lean
+def _decoded(batches: Iterable[pa.RecordBatch], path: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    digests = digester(path)
+    for batch in batches:
+        ids = batch.column("ids")
+        ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        made = zip(*[digests(values[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+        columns = [batch.column("id"), np.diff(ends), *map(list, made)]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                          for c, f in zip(columns, schema)], schema=schema)
+
+
 def round_trip(encoded: DataFrame, path: str) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) from (id, ids)."""
     ship(encoded.sparkSession)
 
-    @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(DIGESTS)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = token_table(path)
-        numbers = [str(i) for i in range(len(table))]
-        def row(ids: list[int]) -> tuple[str, str]:
-            written = " ".join([numbers[i] for i in ids]).encode()
-            return hashlib.sha256(written).hexdigest(), hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest()
-
+        row = digester(path)
         for batch in batches:
-            # One document at a time: as Python numbers the ids of a batch would take ten times their size.
-            yield pd.DataFrame([row(v.tolist()) for v in batch], columns=["ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([row(v) for v in batch], columns=["ids_sha256", "decoded_sha256"])
         released()
 
     return encoded.select("id", F.size("ids").cast("long").alias("n_tokens"), digests("ids").alias("d")).select(
